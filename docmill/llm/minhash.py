@@ -31,41 +31,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_checkpoint, table
+from .tokens import WHITE_BYTES, hashed_words, mix, odd
 
 WORDS = 4
 BANDS, ROWS = 30, 5
 #: Link if PERCENT[0] * intersection >= PERCENT[1] * union.
 PERCENT = (100, 80)
 
-_WHITE = np.zeros(256, bool)
-_WHITE[[0x20, *range(0x09, 0x0E)]] = True
-_RANDOM = np.random.default_rng(20)
-_odd = lambda n: _RANDOM.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_NEAR, _FAR, _COMBINE, _BAND = _odd(4096), _odd(4096), _odd(64), _odd(256)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """Spread 64-bit values over all bits (the finaliser of a well-known public hash)."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+_COMBINE, _BAND = odd(64), odd(256)
 
 
 def word_hashes(data: bytes) -> np.ndarray:
     """A 64-bit hash for each word of UTF-8 ``data``: runs without ASCII white space, A-Z lower-cased."""
-    raw = np.frombuffer(data.lower(), np.uint8)
-    white = _WHITE[raw]
-    begins = np.flatnonzero(~white & np.concatenate(([True], white[:-1])))
-    if not len(begins):
-        return np.empty(0, np.uint64)
-    ends = np.flatnonzero(~white & np.concatenate((white[1:], [True]))) + 1
-    at = np.arange(len(raw)) - np.repeat(begins, np.diff(np.append(begins, len(raw))) + np.eye(1, len(begins), dtype=np.int64)[0] * begins[0])
-    at = np.maximum(at, 0)
-    value = (raw.astype(np.uint64) + np.uint64(1)) * _NEAR[at & 4095]
-    if at.max(initial=0) > 4095:
-        value *= _FAR[(at >> 12) & 4095]
-    value[white] = 0
-    return mix(np.add.reduceat(value, begins) ^ (ends - begins).astype(np.uint64))
+    return hashed_words(data.lower(), WHITE_BYTES)
 
 
 def shingle_set(data: bytes | None, words: int = WORDS) -> np.ndarray:
