@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import table
@@ -165,16 +166,17 @@ def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(key, text, starts, ends): every row with the byte runs to remove (overlapping, unsorted; null if none)."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    found = rows.select(F.col("key").alias("doc_id"), "text").mapInArrow(_anchor_rows, "anchor long, doc_id long, at int")
-    # One exchange serves both the count and the occurrences.
-    dealt = found.repartition("anchor")
-    often = dealt.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("anchor")
-    places = dealt.join(often, "anchor", "left_semi").groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("at").alias("places"), F.collect_list("anchor").alias("anchors"))
-    contexts = rows.select("key", "text", "doc_id").join(places, "key").select("key", "text", "places", "anchors").mapInArrow(_contexts, "anchor long, doc_id long, at int, left int, context binary")
+    # The same two columns wherever texts are dealt by key, so that one exchange serves both joins.
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), F.col("text").cast("binary").alias("text"))
+    found = rows.mapInArrow(_anchor_rows, "anchor long, doc_id long, at int")
+    # Anchors at two places, found in the one exchange that brings their occurrences together.
+    place, around = F.struct("doc_id", "at"), W.partitionBy("anchor")
+    often = found.withColumn("first", F.min(place).over(around)).withColumn("last", F.max(place).over(around)).filter("first < last")
+    places = often.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("at").alias("places"), F.collect_list("anchor").alias("anchors"))
+    contexts = rows.join(places, "key").mapInArrow(_contexts, "anchor long, doc_id long, at int, left int, context binary")
     runs = contexts.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "at").mapInArrow(_repeats, "doc_id long, start int, end int")
     by_doc = runs.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    return rows.select("key", "text", "doc_id").join(by_doc, "key", "left").select("doc_id", "text", "starts", "ends")
+    return rows.join(by_doc, "key", "left").select(F.when(F.col("key") != _LAST, F.col("key")).alias("doc_id"), "text", "starts", "ends")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
