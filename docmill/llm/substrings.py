@@ -7,7 +7,7 @@ doc_id, or earlier in the same document) is removed; strings are judged on the i
     some window of LENGTH - GRAM + 1 neighbours.  Two equal strings of LENGTH bytes select
     the same anchor at the same place within them, so nothing repeated is missed.
 2.  Anchors that occur once are dropped.  For the others, the bytes around each occurrence
-    (its context, all LENGTH-byte strings that hold the anchor) are brought together by
+    (its context, the LENGTH-byte strings whose first least gram it is) are brought together by
     anchor, in order of document and place.
 3.  In each group every LENGTH-byte string of every context is compared with the earlier
     ones at the same distance from the anchor; those seen before are repeated.
@@ -71,16 +71,27 @@ def _slide(x: np.ndarray, width: int, take: np.ufunc) -> np.ndarray:
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place) of the selected anchors of a text."""
+    """(hash, place) of the selected anchors of a text.
+
+    Each string of LENGTH bytes belongs to the leftmost of its least grams.  A place is
+    packed as at << 16 | before << 8 | after: the strings of this anchor start from
+    ``before`` to ``after`` bytes before it.
+    """
     if len(data) < LENGTH:
-        return np.empty(0, np.int64), np.empty(0, np.int32)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     h = _rolled(np.frombuffer(data, np.uint8), GRAM)
     width = _REACH + 1
     least = _slide(h, width, np.minimum)
     # A gram is least in some window around it if the greatest of the minima of these windows is its own.
     padded = np.concatenate((np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)))
     at = np.flatnonzero(_slide(padded, width, np.maximum)[: len(h)] == h)
-    return h[at].view(np.int64), at.astype(np.int32)
+    mine = np.searchsorted(at, np.arange(len(least)))
+    while len(off := np.flatnonzero(h[at[mine]] != least)):
+        mine[off] += 1
+    begins = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1])))
+    last = np.append(begins[1:], len(mine)) - 1
+    own = at[mine[begins]]
+    return h[own].view(np.int64), own << 16 | (own - begins) << 8 | (own - last)
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +99,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [anchors(t or b"") for t in batch.column(1).to_pylist()]
         ids = np.repeat(batch.column(0).to_numpy(), [len(h) for h, _ in found])
         h = np.concatenate([h for h, _ in found]) if found else np.empty(0, np.int64)
-        at = np.concatenate([a for _, a in found]) if found else np.empty(0, np.int32)
+        at = np.concatenate([a for _, a in found]) if found else np.empty(0, np.int64)
         for i in range(0, max(1, len(h)), 200_000):
             part = slice(i, i + 200_000)
             yield pa.RecordBatch.from_arrays([pa.array(h[part]), pa.array(ids[part]), pa.array(at[part])], names=["anchor", "doc_id", "at"])
@@ -99,9 +110,9 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: tuple[list, ...] = ([], [], [], [], [])
         for doc_id, text, places, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for at, anchor in zip(places, hashes, strict=True):
-                left = min(at, _REACH)
-                for column, value in zip(out, (anchor, doc_id, at, left, text[at - left : at + LENGTH]), strict=True):
+            for place, anchor in zip(places, hashes, strict=True):
+                at, left, right = place >> 16, place >> 8 & 255, place & 255
+                for column, value in zip(out, (anchor, doc_id, at, left, text[at - left : at - right + LENGTH]), strict=True):
                     column.append(value)
             if len(out[0]) > 20_000:
                 yield _context_batch(out)
@@ -168,7 +179,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(key, text, starts, ends): every row with the byte runs to remove (overlapping, unsorted; null if none)."""
     # The same two columns wherever texts are dealt by key, so that one exchange serves both joins.
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), F.col("text").cast("binary").alias("text"))
-    found = rows.mapInArrow(_anchor_rows, "anchor long, doc_id long, at int")
+    found = rows.mapInArrow(_anchor_rows, "anchor long, doc_id long, at long")
     # Anchors at two places, found in the one exchange that brings their occurrences together.
     place, around = F.struct("doc_id", "at"), W.partitionBy("anchor")
     often = found.withColumn("first", F.min(place).over(around)).withColumn("last", F.max(place).over(around)).filter("first < last")
