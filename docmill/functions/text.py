@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # What cleaning deletes, in this order.
 _REST = r".*?(\n|\z)"
@@ -40,7 +41,7 @@ BOILERPLATE = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
@@ -114,7 +115,7 @@ def source_tag(name: Column, date: Column, kind: str, as_of: str) -> Column:
     return F.concat(file_slug(name), F.lit(f"_{kind}_"), F.year(at).cast("string"), F.lit("Q"), F.quarter(at).cast("string"), F.lit(".parquet"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def chunk_text(s: pd.Series) -> pd.Series:
     """Pieces of at most 5000 characters that join to the text: cut after the last blank line, else the last sentence end, of the second half."""
     size = 5000

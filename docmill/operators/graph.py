@@ -7,6 +7,7 @@ from urllib.parse import urldefrag, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.keys import base_domain, bare_host, url_key
 from .dedup import cut_lineage
@@ -23,7 +24,7 @@ def raw_links(pages: DataFrame) -> DataFrame:
     return found.filter(~F.col("link").rlike(SCHEMES) & ~F.col("link").rlike(ASSETS))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _resolve(base: pd.Series, link: pd.Series) -> pd.Series:
     def one(b: str, x: str) -> str | None:
         try:
