@@ -163,12 +163,15 @@ def _missed(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: tuple
     # Shingles of one document only come first in the order, take up the prefix, and match nothing.
     shared = rows.join(common, "s").groupBy("doc_id", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("known"))
     room = F.col("n") - least + 1 - (F.col("n") - F.size("known"))
-    prefix = shared.filter(room > 0).select("doc_id", "c", "n", F.explode(F.slice("known", F.lit(1), room)).alias("k")).select("doc_id", "c", "n", "k.s")
+    prefix = shared.filter(room > 0).select("doc_id", "c", "n", (F.col("n") - F.size("known")).alias("before"), F.posexplode(F.slice("known", F.lit(1), room)).alias("i", "k"))
+    # rest: shingles from this one on.  If it is the first that a pair shares, they share no more than that.
+    prefix = shared_checkpoint(prefix.select("doc_id", "c", "n", (F.col("n") - F.col("before") - F.col("i")).alias("rest"), "k.s"))
     # In each group only documents outside its commonest component look for partners.
     main = prefix.groupBy("s", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("s").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     groups = prefix.join(main, "s")
-    minor = groups.filter("c != main").select("s", F.col("doc_id").alias("p"), F.col("c").alias("cp"), F.col("n").alias("np"))
+    minor = groups.filter("c != main").select("s", F.col("doc_id").alias("p"), F.col("c").alias("cp"), F.col("n").alias("np"), F.col("rest").alias("rp"))
     near = (F.lit(percent[0]) * F.least("n", "np") >= F.lit(percent[1]) * F.greatest("n", "np")) & (F.col("c") != F.col("cp"))
+    near &= F.lit(sum(percent)) * F.least("rest", "rp") >= F.lit(percent[1]) * (F.col("n") + F.col("np"))
     pairs = minor.join(groups, "s").filter(near)
     return pairs.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct()
 
