@@ -106,9 +106,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) -> DataF
     """``docs`` with every found span replaced by ``mark``; rows and columns stay, n_chars follows the text where there is one."""
     found = find_secrets(docs.select("doc_id", "text"), scope).select("row_key", *BASE, "linked")
     every = F.array_sort(F.concat(*BASE, "linked"))
-    hit = found.filter(F.size(every) > 0).select("row_key", every.alias("_spans")).dropDuplicates(["row_key"])
+    hit = found.filter(F.size(every) > 0).select(F.col("row_key").alias("_hit"), every.alias("_spans")).dropDuplicates(["_hit"])
     keyed = docs.withColumn("_row_key", row_key(F.col("doc_id"), F.col("text")))
-    joined = keyed.join(hit, F.col("_row_key") == hit["row_key"], "left")
+    joined = keyed.join(hit, F.col("_row_key") == F.col("_hit"), "left")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
