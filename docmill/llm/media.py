@@ -5,8 +5,8 @@ being its bytes, padded with zeros).  The file is cut where a rolling gear hash
 last 32 bytes has 13 zero bits, within bounds; chunks are named by their SHA-256 digest.
 Equal chunks, of whatever document, are stored once: Spark groups them by digest.  Each
 distinct file is an ordered list of digests.  Reading joins the lists with the store,
-brings the chunks of a file together in order, verifies every digest and the file's, and
-decodes the samples.  Chunks travel compressed.  A digest that very many files share is
+brings the chunks of a file together in order (a file of one chunk needs no further
+shuffle), verifies every digest and the file's, and decodes the samples.  Chunks travel compressed.  A digest that very many files share is
 joined by several tasks.
 
 Nulls and edge cases: a null text is empty, and empty text is one row of zero samples;
@@ -157,14 +157,17 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_media(lists: DataFrame, store: DataFrame) -> DataFrame:
     """(file, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature): each distinct file, reassembled from the store."""
     files = lists.select("file", "digests").dropDuplicates(["file"])
-    parts = files.select("file", F.posexplode("digests").alias("at", "digest"))
+    # A file of one chunk is that chunk: the store already deals it whole to one task.
+    single = files.filter(F.size("digests") == 1).select("file", F.col("digests")[0].alias("digest")).join(store, "digest").select("file", F.lit(0).alias("at"), "digest", "packed")
+    parts = files.filter(F.size("digests") > 1).select("file", F.posexplode("digests").alias("at", "digest"))
     hot = parts.groupBy("digest").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > HOT).select("digest")
     cold = parts.join(hot, "digest", "left_anti").join(store, "digest").select("file", "at", "digest", "packed")
     salt = F.pmod(F.hash("file"), F.lit(SALTS))
     copies = store.join(hot, "digest", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     warm = parts.join(hot, "digest", "left_semi").withColumn("salt", salt).join(copies, ["digest", "salt"]).select("file", "at", "digest", "packed")
     rows = cold.unionByName(warm).repartition("file").sortWithinPartitions("file", "at")
-    return rows.mapInArrow(_decode, "file binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    schema = "file binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return rows.mapInArrow(_decode, schema).unionByName(single.mapInArrow(_decode, schema))
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
