@@ -11,10 +11,12 @@ the largest ratio of any one word and of any run of ``RUN`` words: a short expre
 counts alike in a short and in a long text.  A logistic
 curve, fitted on labelled texts that were not counted, turns them into a score.
 
-Counts cover all distinct labelled texts outside the calibration part (ordinary texts at the rate
-that makes the classes equally large) and are summed by Spark; words, stems and bigrams
-are hashed to a fixed number of buckets, so the model has a fixed largest size (some
-50 MB) however many texts are counted, and only counts over the discount leave Spark.
+Counts cover all distinct labelled texts outside the calibration part; the classes are
+balanced by each model's own total alone.  The model is a Spark table keyed by the full
+64-bit hash of a word, stem or bigram, so it grows with the corpus and no gram shares
+another's counts; only a few totals come to the driver.  To score, texts are dealt into
+blocks of some ``BLOCK`` bytes by a hash of id and text, the distinct grams of each block
+are joined to the table, and each block meets the counts of its own grams.
 
 Nulls and edge cases: a null, empty or wordless text has no evidence, and its score is
 the curve's value at zero; equal texts score alike; a null doc_id is not held out; labels
@@ -24,6 +26,7 @@ score is the share of toxic labels (0 without labels).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +34,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .calibration import fit_logistic, held_out, logistic
+from .calibration import fit_logistic, held_out
 from .common import table
 from .quality import sample
 from .tokens import OUTSIDE_WORDS, hashed_words, mix
 
-WORD_BITS, STEM_BITS, PAIR_BITS = 20, 18, 20
 STEM = 5
 #: Kneser-Ney's absolute discounts of words and stems, and of bigrams.
 DISCOUNT = 1.5
@@ -44,101 +46,157 @@ RUN = 5
 #: One labelled text in so many calibrates, at most so many of each class.
 CALIBRATE, CALIBRATION = 5, 1500
 THRESHOLD = 0.5
+#: Bytes of text that meet the counts of their grams at once, and grams held before they are made distinct and passed on.
+BLOCK, HELD = 16 << 20, 1 << 20
+#: First bits of a gram by which texts leave out grams that the table does not have, before any are shuffled.
+KNOWN = 26
 
-_LOW = (1 << WORD_BITS) - 1
+_STEMS = np.uint64(0x5851F42D4C957F2D)
 
 
 def grams(data: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket numbers of the words, stems and bigrams (one fewer than words) of a text."""
+    """64-bit hashes of the words, stems and bigrams (one fewer than words) of a text."""
     words, stems = hashed_words((data or b"").lower(), OUTSIDE_WORDS, STEM)
-    pairs = mix(words[:-1] * np.uint64(3) + words[1:])
-    cut = lambda x, bits: (x >> np.uint64(64 - bits)).astype(np.int64)
-    return cut(words, WORD_BITS), cut(stems, STEM_BITS), cut(pairs, PAIR_BITS)
+    return words, mix(stems ^ _STEMS), pair_hashes(words[:-1], words[1:])
+
+
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * np.uint64(3) + second)
+
+
+def _batch(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=names)
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, y) to distinct (y, word, pair, before): word and its stem, the bigram that ends there and its first word, the word before that."""
+    """(text, y) to (y, before, prev, word): each word but the first of a text, the word before it, and the word before that (0 if none)."""
+    names, held, size = ["y", "before", "prev", "word"], [], 0
+
+    def flush() -> pa.RecordBatch:
+        y = np.concatenate([np.full(len(w) - 1, v, np.int32) for v, w in held])
+        before = np.concatenate([np.append(np.uint64(0), w[:-2]) for _, w in held])
+        prev, word = np.concatenate([w[:-1] for _, w in held]), np.concatenate([w[1:] for _, w in held])
+        # Equal rows lie together after the sort; a first row differs from the one before it.
+        order = np.lexsort((before, word, prev, y))
+        columns = [c[order] for c in (y, before, prev, word)]
+        first = np.ones(len(y), bool)
+        first[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        return _batch([c[first] for c in columns], names)
+
+    for batch in batches:
+        for text, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words = grams(text)[0]
+            if len(words) > 1:
+                held.append((y, words))
+                size += len(words)
+            if size > HELD:
+                yield flush()
+                held, size = [], 0
+    if held:
+        yield flush()
+
+
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, y) to (word, stem)."""
     for batch in batches:
-        ys = np.array(batch.column(1).to_pylist(), np.int64)
-        made = [grams(t) for t in batch.column(0).to_pylist()]
-        for y in (0, 1):
-            mine = [g for g, v in zip(made, ys, strict=True) if v == y and len(g[0]) > 1]
-            if not mine:
-                continue
-            word = np.concatenate([(w << WORD_BITS | s)[1:] for w, s, _ in mine])
-            pair = np.concatenate([p << WORD_BITS | w[:-1] for w, _, p in mine])
-            before = np.concatenate([np.append(np.int64(-1), w[:-2]) for w, _, _ in mine])
-            rows = np.unique(np.column_stack([word, pair, before]), axis=0) if len(word) < 2_000_000 else np.column_stack([word, pair, before])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), y, np.int32)), pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy()), pa.array(rows[:, 2].astype(np.int32))], names=["y", "word", "pair", "before"])
+        words, stems = zip(*(grams(t)[:2] for t in batch.column(0).to_pylist()), strict=True) if batch.num_rows else ((), ())
+        if words:
+            word, first = np.unique(np.concatenate(words), return_index=True)
+            yield _batch([word, np.concatenate(stems)[first]], ["word", "stem"])
+
+
+def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(prev, word, a0, a1) to (gram, a0, a1)."""
+    for batch in batches:
+        prev, word = (batch.column(i).to_numpy().view(np.uint64) for i in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array(pair_hashes(prev, word).view(np.int64)), *batch.columns[2:]], names=["gram", "a0", "a1"])
+
+
+def _by_class(counts: DataFrame, keys: list[str], **columns: str) -> DataFrame:
+    """``counts`` with one row per ``keys``, each column c as c0 (ordinary) and c1 (toxic)."""
+    return counts.groupBy(*keys).agg(*[F.sum(F.when(F.col("y") == y, F.col(c)).otherwise(0)).cast("float").alias(f"{name}{y}") for name, c in columns.items() for y in (0, 1)])
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> dict:
-    """The model: count tables of fixed size and the curve."""
+    """The model: a table of counts by gram, a few totals, and the curve."""
     known = labels.filter(usable & F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("y")).distinct()
     fold = F.pmod(F.xxhash64(F.lit(11), "_id"), F.lit(CALIBRATE))
     size = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(size) < 2:
         return {"constant": 1.0 if 1 in size else 0.0}
-    rate = min(1.0, size[1] / size[0])
-    part = (F.pmod(F.xxhash64(F.lit(13), "_id"), F.lit(1 << 20)) < int(rate * (1 << 20))) | (F.col("y") == 1)
-    counted = known.filter((fold != 0) & part)
-    texts = docs.join(counted, F.col("doc_id") == F.col("_id")).select(F.col("text").cast("binary").alias("text"), "y")
-    pairs = texts.mapInArrow(_trigrams, "y int, word long, pair long, before int").distinct().groupBy("pair", "word", "y").agg(F.count(F.lit(1)).alias("n")).persist()
-    low = lambda c: F.col(c).bitwiseAND(_LOW)
-    words = pairs.groupBy("word", "y").agg(F.count(F.lit(1)).alias("n")).persist()
-    stems = words.groupBy(low("word").alias("at"), "y").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types"))
+    texts = docs.join(known.filter(fold != 0), F.col("doc_id") == F.col("_id")).select(F.col("text").cast("binary").alias("text"), "y")
+    # Dealt by bigram, so that one exchange serves the distinct rows and their counts.
+    triples = texts.mapInArrow(_trigrams, "y int, before long, prev long, word long").repartition("prev", "word").distinct()
+    pairs = triples.groupBy("y", "prev", "word").agg(F.count(F.lit(1)).alias("n")).persist()
+    stem_of = texts.mapInArrow(_vocabulary, "word long, stem long").distinct()
     left = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0))
-    contexts = pairs.groupBy(low("pair").alias("at"), "y").agg(F.sum("n").alias("n"), F.sum(left).alias("left")).filter("left > 0")
-    high = lambda c: F.shiftright(c, WORD_BITS).alias("at")
+    # As word: the number of words before it (a); as context: the bigrams it begins (b) and what the discounts leave of them (c).
+    as_word = pairs.groupBy("word", "y").agg(F.count(F.lit(1)).alias("a"), F.lit(0).alias("b"), F.lit(0.0).alias("c"))
+    as_context = pairs.groupBy(F.col("prev").alias("word"), "y").agg(F.lit(0).alias("a"), F.sum("n").alias("b"), F.sum(left).alias("c")).filter("c > 0")
+    words = _by_class(as_word.unionByName(as_context), ["word"], a="a", b="b", c="c").join(stem_of, "word").persist()
+    # Types: the distinct words that begin with the stem and follow another, which both classes share.
+    stems = words.filter("a0 + a1 > 0").groupBy(F.col("stem").alias("gram")).agg(F.sum("a0").cast("float").alias("a0"), F.sum("a1").cast("float").alias("a1"), F.count(F.lit(1)).cast("float").alias("b0"))
+    both = _by_class(pairs.filter(F.col("n") > DISCOUNT), ["prev", "word"], a="n").mapInArrow(_pair_keys, "gram long, a0 float, a1 float")
+    none = F.lit(0.0).cast("float")
+    counts = words.filter(f"a0 > {DISCOUNT} OR a1 > {DISCOUNT} OR b0 + b1 > 0").select(F.col("word").alias("gram"), "a0", "a1", "b0", "b1", "c0", "c1")
+    counts = counts.union(stems.select("gram", "a0", "a1", "b0", none, none, none)).union(both.select("gram", "a0", "a1", none, none, none, none))
+    over = lambda c: F.coalesce(F.sum(F.greatest(F.col(c) - DISCOUNT, none)), none)
+    of_stems = stems.agg(*[F.coalesce(F.sum(c), none).alias(c) for c in ("a0", "a1", "b0")], over("a0").alias("o0"), over("a1").alias("o1"), F.count(F.lit(1)).alias("stems")).first()
+    of_words = words.agg(over("a0").alias("o0"), over("a1").alias("o1")).first()
+    total = [max(of_stems[f"a{y}"], 1.0) for y in (0, 1)]  # words and stems have the same total
+    grown = counts.persist()
     model: dict = {
-        "word": _held(words.filter(F.col("n") > DISCOUNT).select(high("word"), "y", "n"), WORD_BITS),
-        "stem": _held(stems.select("at", "y", "n"), STEM_BITS),
-        "pair": _held(pairs.filter(F.col("n") > DISCOUNT).select(high("pair"), "y", "n"), PAIR_BITS),
-        "begun": _held(contexts.select("at", "y", "n"), WORD_BITS),
-        "left": _held(contexts.select("at", "y", F.col("left").alias("n")), WORD_BITS),
-        "types": _held(words.select("word").distinct().groupBy(low("word").alias("at")).agg(F.count(F.lit(1)).alias("n")).select("at", F.lit(0).alias("y"), "n"), STEM_BITS)[0],
+        "table": grown, "known": _known(grown), "total": total, "types": of_stems["b0"] + 0.5 * (of_stems["stems"] + 1),
+        "back_stem": [1 - of_stems[f"o{y}"] / total[y] for y in (0, 1)], "back_word": [1 - of_words[f"o{y}"] / total[y] for y in (0, 1)],
     }
-    model["n"] = {"stem": np.maximum(model["stem"].sum(axis=1, dtype=np.float64), 1)}
-    model["back"] = {"stem": 1 - np.maximum(model["stem"] - DISCOUNT, 0).sum(axis=1, dtype=np.float64) / model["n"]["stem"]}
-    kept = np.zeros(2)
-    for r in words.groupBy("y").agg(F.sum(left).alias("left")).collect():
-        kept[r["y"]] = r["left"]
-    model["back"]["word"] = 1 - kept / model["n"]["stem"]  # words and stems have the same total
     pairs.unpersist()
     words.unpersist()
-    rows = sample(docs, labels, "toxic", usable & (F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(CALIBRATE)) == 0), CALIBRATION).collect()
-    x = np.array([evidence(r["text"], model) for r in rows]).reshape(-1, 3)
+    part = sample(docs, labels, "toxic", usable & (F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(CALIBRATE)) == 0), CALIBRATION)
+    rows = evidence_of(part, model, ("y",)).collect()
+    x = np.array([(r["mean"], r["run"], r["top"]) for r in rows]).reshape(-1, 3)
     y = np.array([r["y"] for r in rows])
     model["curve"] = fit_logistic(x, y) if len(set(y.tolist())) == 2 else np.array([0.0, 0.5, 0.5, -4.0])
     return model
 
 
-def _held(counts: DataFrame, bits: int) -> np.ndarray:
-    """Counts (at, y, n) as an array of 2 rows and 2 ** ``bits`` columns."""
-    counts = counts.groupBy("at", "y").agg(F.sum("n").cast("float").alias("n")).toArrow()
-    held = np.zeros((2, 1 << bits), np.float32)
-    held[counts["y"].to_numpy(), counts["at"].to_numpy()] = counts["n"].to_numpy()
-    return held
+def _known(counts: DataFrame) -> np.ndarray:
+    """For each value of the first KNOWN bits of a gram, whether the table has such a gram: a filter that loses none."""
+    first = F.shiftrightunsigned("gram", 64 - KNOWN).cast("int").alias("first")
+    known = np.zeros(1 << KNOWN, bool)
+    known[counts.select(first).distinct().toArrow()["first"].to_numpy()] = True
+    return np.packbits(known)
 
 
-def evidence(data: bytes | None, model: dict) -> tuple[float, float, float]:
-    """Log-likelihood ratio per word, and the largest of any run of RUN words and of any word by the lower order."""
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The row of ``values`` for each wanted key, zeros for keys that are not there."""
+    if not len(keys):
+        return np.zeros((len(wanted), values.shape[1]))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where((keys[at] == wanted)[:, None], values[at], 0.0)
+
+
+def evidence(data: bytes | None, keys: np.ndarray, values: np.ndarray, model: dict) -> tuple[float, float, float]:
+    """Log-likelihood ratio per word, and the largest of any run of RUN words and of any word by the lower order.
+
+    ``keys`` (sorted) and ``values`` are the rows of the table for at least the text's grams.
+    """
     words, stems, pairs = grams(data)
     if not len(words):
         return 0.0, 0.0, 0.0
     chance, lower = [], []
-    types = model["types"][stems]
-    shared = (types + 0.5) / (model["types"].sum() + 0.5 * len(model["types"]))
+    word_rows, stem_rows, pair_rows = (_found(keys, values, g) for g in (words, stems, pairs))
+    types = stem_rows[:, 2]
+    shared = (types + 0.5) / model["types"]
     within = 1 / (types + 1)
-    over = lambda name, y, at: np.maximum(model[name][y][at] - DISCOUNT, 0)
+    over = lambda rows, y: np.maximum(rows[:, y] - DISCOUNT, 0)
     for y in (0, 1):
-        stem = over("stem", y, stems) / model["n"]["stem"][y] + model["back"]["stem"][y] * shared
-        word = over("word", y, words) / model["n"]["stem"][y] + model["back"]["word"][y] * stem * within
+        stem = over(stem_rows, y) / model["total"][y] + model["back_stem"][y] * shared
+        word = over(word_rows, y) / model["total"][y] + model["back_word"][y] * stem * within
         lower.append(word + shared * within)
         word = word.copy()
         if len(pairs):
-            total = np.maximum(model["begun"][y][words[:-1]], 1)
-            word[1:] = over("pair", y, pairs) / total + (1 - model["left"][y][words[:-1]] / total) * word[1:]
+            total = np.maximum(word_rows[:-1, 2 + y], 1)
+            word[1:] = over(pair_rows, y) / total + (1 - word_rows[:-1, 4 + y] / total) * word[1:]
         chance.append(word)
     ratio = np.log(lower[1] / lower[0])
     sums = np.concatenate(([0.0], np.cumsum(ratio)))
@@ -146,22 +204,68 @@ def evidence(data: bytes | None, model: dict) -> tuple[float, float, float]:
     return float(np.log(chance[1] / chance[0]).mean()), float((sums[run:] - sums[:-run]).max()), float(ratio.max())
 
 
+def _block_grams(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(_data, _block, ...) to (_block, gram), each gram that the table may have once or a few times for a block."""
+    known = np.unpackbits(known).view(bool)
+    held: dict[int, list[np.ndarray]] = {}
+    size = 0
+    for batch in batches:
+        for text, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            mine = np.concatenate(grams(text))
+            mine = mine[known[mine >> np.uint64(64 - KNOWN)]]
+            held.setdefault(block, []).append(mine)
+            size += len(mine)
+            if size > 4 * HELD:
+                held = {k: [np.unique(np.concatenate(parts))] for k, parts in held.items()}
+                size = sum(len(parts[0]) for parts in held.values())
+            if size > 2 * HELD and all(len(parts) == 1 for parts in held.values()):
+                yield from _flushed(held)
+                held, size = {}, 0
+    yield from _flushed(held)
+
+
+def _flushed(held: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for block, parts in held.items():
+        distinct = np.unique(np.concatenate(parts))
+        yield _batch([np.full(len(distinct), block, np.int64), distinct], ["_block", "gram"])
+
+
+def evidence_of(docs: DataFrame, model: dict, carry: tuple[str, ...]) -> DataFrame:
+    """The columns of ``carry`` and mean, run and top: the evidence of each row."""
+    data = F.col("text").cast("binary")
+    n = docs.agg(F.sum(F.octet_length(data))).first()[0] or 0
+    # The id belongs to the hash, so that many copies of a text are dealt over the blocks.
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, math.ceil(n / BLOCK))))
+    rows = docs.select(data.alias("_data"), block.alias("_block"), *carry).repartition("_block")
+    filter_ = docs.sparkSession.sparkContext.broadcast(model["known"])
+    wanted = rows.mapInArrow(lambda batches: _block_grams(batches, filter_.value), "_block long, gram long")
+    held = wanted.join(model["table"], "gram")
+    small = {k: v for k, v in model.items() if k not in ("table", "known")}
+    schema = docs.select(*carry).schema.add("mean", "double").add("run", "double").add("top", "double")
+
+    def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        keys, first = np.unique(counts["gram"].to_numpy().view(np.uint64), return_index=True)
+        values = np.column_stack([counts[c].to_numpy()[first] for c in ("a0", "a1", "b0", "b1", "c0", "c1")]).reshape(-1, 6)
+        found = np.array([evidence(t.as_py(), keys, values, small) for t in texts["_data"]]).reshape(-1, 3)
+        out = texts.select(list(carry))
+        for i, name in enumerate(("mean", "run", "top")):
+            out = out.append_column(name, pa.array(found[:, i]))
+        return out
+
+    return rows.groupBy("_block").cogroup(held.groupBy("_block")).applyInArrow(run, schema)
+
+
 def score(docs: DataFrame, model: dict, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of ``carry`` and score, in [0, 1]."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", *[c for c in carry if c != "doc_id"]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            if "constant" in m:
-                values = np.full(batch.num_rows, m["constant"])
-            else:
-                values = logistic(np.array([evidence(t, m) for t in batch.column(0).to_pylist()]).reshape(-1, 3), m["curve"])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(values)], names=[*names, "score"])
-
-    rows = docs.select(F.col("text").cast("binary").alias("_data"), *names)
-    return rows.mapInArrow(run, rows.select(*names).schema.add("score", "double"))
+    if "constant" in model:
+        return docs.select(*names, F.lit(float(model["constant"])).alias("score"))
+    *weights, intercept = (float(w) for w in model["curve"])
+    line = F.lit(intercept)
+    for w, c in zip(weights, ("mean", "run", "top"), strict=True):
+        line = line + F.col(c) * w
+    line = F.least(F.greatest(line, F.lit(-500.0)), F.lit(500.0))
+    return evidence_of(docs, model, tuple(names)).select(*names, (1 / (1 + F.exp(-line))).alias("score"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

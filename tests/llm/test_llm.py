@@ -161,3 +161,24 @@ def test_classifiers_without_labels(spark, awkward):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.score(awkward, quality.fit(awkward, labels, F.lit(True))).filter("score = 0.5").count() == 10
     assert toxicity.score(awkward, toxicity.fit(awkward, labels, F.lit(True))).filter("score = 0").count() == 10
+
+
+def test_toxicity_counts_every_gram_of_every_labelled_text(spark):
+    """One toxic text in ten, all folds but the calibration's: counts by class equal brute force, gram by gram."""
+    rows = [(i, " ".join(f"ctx{i}x{j} rare{i} pair{i % 7}" for j in range(3)), int(i % 10 == 0)) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True))
+    counted = {r.doc_id for r in df.filter(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(toxicity.CALIBRATE)) != 0).collect()}
+    triples = {(y, b, p, w) for i, t, y in rows if i in counted for b, p, w in zip([None, *t.split()], t.split(), t.split()[1:])}
+    pairs: dict = {}
+    for y, _, p, w in triples:
+        pairs.setdefault((p, w), [0, 0])[y] += 1
+    table = {r.gram: (r.a0, r.a1) for r in model["table"].collect()}
+    assert len(table) == model["table"].count() and sum(n[0] >= 2 for n in pairs.values()) > 80
+    for (p, w), n in pairs.items():
+        key = int(toxicity.grams(f"{p} {w}".encode())[2].astype("int64")[0])
+        assert table.get(key, (0, 0)) == (tuple(n) if max(n) >= 2 else (0, 0))
+    for w in {w for _, w in pairs}:
+        n = tuple(sum(v[y] > 0 for (_, x), v in pairs.items() if x == w) for y in (0, 1))
+        got = table.get(int(toxicity.grams(w.encode())[0].astype("int64")[0]), (0, 0))
+        assert got == n or (max(n) < 2 and got == (0, 0))
