@@ -76,6 +76,18 @@ def greedy_keep(ids: DataFrame, conflicts: DataFrame, seq: str = "doc_id") -> Da
     return ids.join(gone.withColumnRenamed("v", seq).withColumn("_gone", F.lit(True)), seq, "left").select(seq, F.col("_gone").isNull().alias("kept"))
 
 
+def greedy_near(df: DataFrame, threshold: float = 0.85, text: str = "text", seq: str = "doc_id", size: int = 3) -> DataFrame:
+    """(seq, kept): as if texts came in order and one was kept unless it is similar to a kept one before it.
+
+    The rounds run over the first members of the classes; the others are never kept, as what
+    drops the first drops them too, and the first itself does if it is kept.
+    """
+    pairs = cut_lineage(similar_pairs(df, threshold, text, seq, size))
+    firsts = greedy_keep(df.select(seq), pairs.filter("jaccard < 1"), seq)
+    copies = pairs.filter("jaccard = 1").select(F.col("b").alias(seq)).distinct().withColumn("_copy", F.lit(True))
+    return firsts.join(copies, seq, "left").select(seq, (F.col("kept") & F.col("_copy").isNull()).alias("kept"))
+
+
 def two_key_conflicts(df: DataFrame, keys: list[Column], seq: str) -> DataFrame:
     """(a, b): each row and the first row that shares a key with it, for every key; a null or empty key conflicts with nothing."""
     out = None

@@ -104,7 +104,7 @@ def near_dup_exact(spark: SparkSession, sf: str) -> DataFrame:
 @R.add()
 def greedy_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return dedup.greedy_keep(docs.select("doc_id"), dedup.similar_pairs(docs))
+    return dedup.greedy_near(docs)
 
 
 @R.add()

@@ -105,3 +105,26 @@ def test_incremental_ingest_equals_batch(spark, tmp_path):
         stream = spark.readStream.schema("doc_id long, text string").parquet(source)
         incremental.ingest(spark, stream, str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination(120)
     assert sorted(values(spark.read.parquet(str(tmp_path / "out")), "doc_id")) == [1, 2, 5]
+
+
+def test_greedy_near_drops_the_copies_of_near_copies(spark):
+    """Copies of near copies, and chains: equal to the sequential loop over the sets."""
+    rng = random.Random(8)
+    bases = [[f"b{k}w{i}" for i in range(80)] for k in range(3)]
+    lists = [bases[0], [*bases[0][:-1], "other"], [*bases[0][:-1], "other"]]
+    for _ in range(40):
+        w = list(rng.choice([*bases, *lists]))
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(3)}"
+        lists.append(w)
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in lists]
+    kept: list[int] = []
+    for v, s in enumerate(sets):
+        if not any(len(s & sets[u]) >= 0.85 * len(s | sets[u]) for u in kept):
+            kept.append(v)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lists)], "doc_id long, text string")
+    found = dedup.greedy_near(df)
+    assert found.count() == len(lists) and sorted(values(found.filter("kept"), "doc_id")) == kept
+    assert 2 not in kept
+    old = dedup.greedy_keep(df.select("doc_id"), dedup.similar_pairs(df).filter("a < 3 AND b < 3"))
+    assert 2 in values(old.filter("kept"), "doc_id")  # why links to copies alone are no conflicts
