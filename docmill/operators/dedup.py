@@ -88,11 +88,25 @@ def greedy_near(df: DataFrame, threshold: float = 0.85, text: str = "text", seq:
     return firsts.join(copies, seq, "left").select(seq, (F.col("kept") & F.col("_copy").isNull()).alias("kept"))
 
 
-def two_key_conflicts(df: DataFrame, keys: list[Column], seq: str) -> DataFrame:
-    """(a, b): each row and the first row that shares a key with it, for every key; a null or empty key conflicts with nothing."""
-    out = None
-    for key in keys:
-        rows = df.select(F.col(seq).alias("b"), key.alias("k")).filter(F.coalesce(F.col("k"), F.lit("")) != "")
-        later = rows.join(rows.groupBy("k").agg(F.min("b").alias("a")), "k").filter("a < b").select("a", "b")
-        out = later if out is None else out.union(later)
-    return out
+def greedy_by_keys(df: DataFrame, keys: list[Column], seq: str) -> DataFrame:
+    """(seq, kept): as if rows came in order and one was kept unless it shares a key with a kept one before it; a null or empty key is shared by none.
+
+    Rounds: an undecided row that is the first undecided one of all its keys is kept, and
+    drops the others of these keys.  Each round decides at least one row of every group of
+    rows that keys connect.
+    """
+    named = [F.struct(F.lit(i).alias("which"), key.alias("k")) for i, key in enumerate(keys)]
+    rows = df.select(F.col(seq).alias("v"), F.explode(F.array(*named)).alias("x")).select("v", "x.which", "x.k").filter(F.coalesce(F.col("k"), F.lit("")) != "")
+    open_ = cut_lineage(rows)
+    gone = open_.select("v").limit(0)
+    while not open_.isEmpty():
+        firsts = open_.groupBy("which", "k").agg(F.min("v").alias("first"))
+        led = open_.join(firsts, ["which", "k"])
+        ahead = led.groupBy("v").agg(F.min(F.col("v") == F.col("first")).alias("kept"))
+        kept = cut_lineage(ahead.filter("kept").select("v"))
+        taken = open_.join(kept, "v", "left_semi").select("which", "k")
+        left = open_.join(kept, "v", "left_anti")
+        fallen = cut_lineage(left.join(taken, ["which", "k"], "left_semi").select("v").distinct())
+        gone = cut_lineage(gone.union(fallen))
+        open_ = cut_lineage(left.join(fallen, "v", "left_anti"))
+    return df.select(seq).join(gone.withColumnRenamed("v", seq).withColumn("_gone", F.lit(True)), seq, "left").select(seq, F.col("_gone").isNull().alias("kept"))

@@ -111,7 +111,7 @@ def greedy_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def paper_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Two keys, either kills: the source id embedded in the text's first words, and the normalised title."""
     docs = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 40).alias("title"), F.concat_ws("/", "source", "n_chars").alias("doi"))
-    return dedup.greedy_keep(docs.select("doc_id"), dedup.two_key_conflicts(docs, [F.lower("doi"), T.normal_title(F.col("title"))], "doc_id"))
+    return dedup.greedy_by_keys(docs, [F.lower("doi"), T.normal_title(F.col("title"))], "doc_id")
 
 
 @R.add()

@@ -128,3 +128,19 @@ def test_greedy_near_drops_the_copies_of_near_copies(spark):
     assert 2 not in kept
     old = dedup.greedy_keep(df.select("doc_id"), dedup.similar_pairs(df).filter("a < 3 AND b < 3"))
     assert 2 in values(old.filter("kept"), "doc_id")  # why links to copies alone are no conflicts
+
+
+def test_two_keys_equal_the_loop(spark):
+    """Only kept rows register their keys, as in the reference."""
+    rng = random.Random(9)
+    rows = [(1, "x", None), (2, "x", "B"), (3, None, "B"), (4, "", "B")]
+    rows += [(i, rng.choice([None, "", *"abcdefgh"]), rng.choice([None, "", *"pqrstuvw"])) for i in range(5, 60)]
+    seen: tuple[set, set] = (set(), set())
+    kept = []
+    for i, *keys in rows:
+        if not any(k and k in s for k, s in zip(keys, seen, strict=True)):
+            kept.append(i)
+            for k, s in zip(keys, seen, strict=True):
+                s.add(k)
+    found = dedup.greedy_by_keys(spark.createDataFrame(rows, "doc_id long, doi string, title string"), [F.col("doi"), F.col("title")], "doc_id")
+    assert found.count() == len(rows) and sorted(values(found.filter("kept"), "doc_id")) == kept and 3 in kept and 4 not in kept
