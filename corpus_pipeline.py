@@ -27,9 +27,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 4, 2))
 
 
+#: Words of a shingle in the near-duplicate stage.
+SHINGLE = 5
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near copies, by shingles of five words (op1 alone takes four)."""
+    return drop_near_duplicates(docs, words=SHINGLE)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +59,7 @@ STAGES = [
     ("mixing", mixing_stage),
 ]
 
-#: The classifier and the random choices of the mix are not SQL; tests/llm holds brute-force versions.
+#: The classifier and the random choices of the mix are not SQL; tests/llm has brute-force tests of the quality and near-duplicate stages and a run of all.
 ORACLE_SQL = None
 
 

@@ -1,7 +1,7 @@
 """MinHash near-dedup: one-permutation hashing, optimal densification, banded buckets, star edges.
 
-1.  Each text is read once, by an Arrow function, into the set of its 4-word shingles (as
-    64-bit hashes), a digest of that set, and band keys of a densified one-permutation
+1.  Each text is read once, by an Arrow function, into the set of its shingles of ``words``
+    words (as 64-bit hashes), a digest of that set, and band keys of a densified one-permutation
     sketch.  Texts with equal sets form a class at once; only one document of each class
     goes on.
 2.  A bucket (band, key) links its members to its smallest document: a star, so a bucket
@@ -15,7 +15,7 @@
 
 With 30 bands of 5 a pair at the threshold of 0.8 shares no band with a probability of
 7e-6.  Nulls and edge cases: a null or blank text has no shingles and links to nothing;
-texts under four words are one shingle; rows that share a doc_id are one document; a
+texts of fewer words than a shingle are one shingle; rows that share a doc_id are one document; a
 null doc_id is never linked and is kept, its component is null; other columns are
 ignored; empty input gives empty output.
 """
@@ -95,10 +95,10 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64), pa.int64()))
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     none = np.empty(0, np.int64)
     for batch in batches:
-        sets = [shingle_set(x) for x in batch.column(1).to_pylist()]
+        sets = [shingle_set(x, words) for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
@@ -109,9 +109,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(x) for x in batch.column(1).to_pylist()])], names=["doc_id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(x, words) for x in batch.column(1).to_pylist()])], names=["doc_id", "shingles"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -176,10 +176,10 @@ def _missed(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: tuple
     return pairs.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: tuple[int, int] = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: tuple[int, int] = PERCENT, words: int = WORDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, same (digest of the shingle set), component_id, kept."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data"))
-    sketched = shared_checkpoint(ids.mapInArrow(_sketches, "doc_id long, n long, same string, bands array<long>"))
+    sketched = shared_checkpoint(ids.mapInArrow(lambda batches: _sketches(batches, words), "doc_id long, n long, same string, bands array<long>"))
     usable = sketched.filter(F.col("doc_id").isNotNull() & F.col("same").isNotNull())
     classes = usable.groupBy("same").agg(F.min("doc_id").alias("rep"))
     class_edges = usable.join(classes, "same").filter("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, percent: tuple[int, int] = PERCENT) -> Data
     hubs = banded.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a != z").select("key", "a")
     stars = shared_checkpoint(banded.join(hubs, "key").filter("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct())
     involved = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-    sets = ids.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, shingles array<long>")
+    sets = ids.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(lambda batches: _sets(batches, words), "doc_id long, shingles array<long>")
     sets = shared_checkpoint(sets)
     stars = shared_checkpoint(_confirmed(stars, sets, percent))
     links = stars.filter("ok").select("a", "b")
@@ -207,9 +207,9 @@ def near_duplicates(docs: DataFrame, percent: tuple[int, int] = PERCENT) -> Data
     return out.select("doc_id", F.col("n").alias("n_shingles"), "same", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, percent: tuple[int, int] = PERCENT) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: tuple[int, int] = PERCENT, words: int = WORDS) -> DataFrame:
     """``docs`` with one document of each component; all columns stay."""
-    gone = near_duplicates(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+    gone = near_duplicates(docs, percent, words).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
     return docs.join(gone.distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 

@@ -7,6 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from docmill.llm import chat, decontamination, html_text, media, minhash, mixing, quality, secrets, substrings, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -182,3 +183,40 @@ def test_toxicity_counts_every_gram_of_every_labelled_text(spark):
         n = tuple(sum(v[y] > 0 for (_, x), v in pairs.items() if x == w) for y in (0, 1))
         got = table.get(int(toxicity.grams(w.encode())[0].astype("int64")[0]), (0, 0))
         assert got == n or (max(n) < 2 and got == (0, 0))
+
+
+def test_near_duplicate_stage_takes_five_words(spark):
+    """Similar by four words but not by five: both stay in the stage; brute force over the components of five."""
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for k, edits in enumerate(([], [20, 60, 100, 140, 180], [30], [40, 80, 120, 150, 170, 190])):
+        rows.append((k + 1, " ".join("changed" + str(k) if i in edits else w for i, w in enumerate(base))))
+    rows += [(9, rows[0][1]), (10, None), (None, rows[0][1])]
+    sets = {n: {i: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for i, t in rows if i and t for w in [t.split()]} for n in (4, 5)}
+    similar = lambda n, x, y: 100 * len(sets[n][x] & sets[n][y]) >= 80 * len(sets[n][x] | sets[n][y])
+    assert similar(4, 1, 2) and not similar(5, 1, 2)
+    reached = {i: i for i in sets[5]}
+    for _ in reached:
+        for x in reached:
+            for y in reached:
+                if similar(5, x, y):
+                    reached[x] = reached[y] = min(reached[x], reached[y])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, SF).collect()}
+    assert kept == {i for i, c in reached.items() if i == c} | {10, None} and 2 in kept
+    assert 2 not in {r.doc_id for r in minhash.drop_near_duplicates(df).collect()}
+
+
+def test_quality_stage_keeps_what_scores_as_good(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = {r.doc_id for r in quality.op2_quality(spark, SF).collect() if r.score >= quality.THRESHOLD}
+    kept = corpus_pipeline.quality_stage(spark, docs, SF)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == good and 0 < len(good) < docs.count()
+
+
+def test_pipeline_runs_its_stages_in_order(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), stage(spark, docs, SF).schema)
+    found = corpus_pipeline.run(spark, SF, str(tmp_path))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, docs.collect()), key=str) and found.count()
