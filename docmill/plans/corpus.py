@@ -227,7 +227,7 @@ def ngram_df(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add()
 def jargon_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return mining.jargon(table(spark, sf, "documents"), "market", least=20)
+    return mining.jargon(table(spark, sf, "documents"), "market")
 
 
 def _expanded_sql() -> str:

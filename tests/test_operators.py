@@ -1,11 +1,15 @@
 """Operators outside the llm subpackage, on small fixtures."""
 
+import math
 import random
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from docmill.functions import entities, keys, text
 from docmill.operators import dedup, filters, graph, mining, select
+from docmill.plans import corpus
 from docmill.streaming import incremental, throttle
 
 
@@ -144,3 +148,21 @@ def test_two_keys_equal_the_loop(spark):
                 s.add(k)
     found = dedup.greedy_by_keys(spark.createDataFrame(rows, "doc_id long, doi string, title string"), [F.col("doi"), F.col("title")], "doc_id")
     assert found.count() == len(rows) and sorted(values(found.filter("kept"), "doc_id")) == kept and 3 in kept and 4 not in kept
+
+
+def test_jargon_terms_equal_brute_force_from_three_texts_on(spark, tmp_path):
+    """The registered query: terms of 3 to 19 texts take part, stop and edge words do not."""
+    texts = ["the copper cathode premium of the market"] * 4 + ["LME warehouse stocks, the copper cathode"] * 3 + ["rare term pair"] * 2 + ["12345 67890 and the said year"] * 5
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    stop, count = mining.STOP | {"market"}, Counter()
+    for t in texts:
+        w = re.sub("[^a-z0-9]+", " ", t.lower()).split()
+        runs = {tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
+        count.update(g for g in runs if any(len(x) > 2 and x not in stop for x in g) and not "".join(g).isdigit() and g[0] not in mining.EDGE and g[-1] not in mining.EDGE)
+    grams = {" ".join(g): len(g) * 10 + math.log(n) for g, n in count.items() if n >= 3 and len(" ".join(g)) >= 4}
+    expected: list[str] = []
+    for g in sorted(grams, key=lambda g: (-grams[g], g)):
+        if not any(g in s for s in expected):
+            expected.append(g)
+    found = {r["rank"]: r.term for r in corpus.jargon_terms(spark, str(tmp_path)).collect()}
+    assert [found[i] for i in sorted(found)] == expected[:20] and "copper cathode premium" in expected and "rare term pair" not in expected
