@@ -33,6 +33,8 @@ from .common import table
 #: Labelled documents of each class that are used at most, and bytes of each dictionary.
 SAMPLE, DICTIONARY = 1200, 1 << 20
 LEVEL = 6
+#: Bytes of a text that are compressed at once: well below the match window of LEVEL (2 MiB), beyond which a dictionary is out of sight.
+PART = 512 << 10
 THRESHOLD = 0.7
 
 _READY: dict[bytes, tuple] = {}
@@ -61,8 +63,12 @@ def _content(texts: list[bytes], size: int) -> bytes:
 
 
 def figures(data: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor, plain: zstandard.ZstdCompressor) -> list[float]:
-    """The first is positive if ``data`` compresses better with the good dictionary."""
-    g, b, n = len(good.compress(data)), len(bad.compress(data)), len(plain.compress(data))
+    """The first is positive if ``data`` compresses better with the good dictionary.
+
+    Sizes are sums over parts, so that each byte of a long text is compared with both dictionaries.
+    """
+    parts = [data[i : i + PART] for i in range(0, len(data), PART)] or [data]
+    g, b, n = (sum(len(c.compress(p)) for p in parts) for c in (good, bad, plain))
     return [(b - g) / (b + g), n / (len(data) + 1), math.log(len(data) + 1), (n - g) / n, (n - b) / n]
 
 

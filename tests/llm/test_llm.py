@@ -1,6 +1,7 @@
 """The training-data operators: brute force, round trips, held-out accuracy, and awkward rows."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -220,3 +221,13 @@ def test_pipeline_runs_its_stages_in_order(spark, tmp_path):
         docs = spark.createDataFrame(stage(spark, docs, SF).collect(), stage(spark, docs, SF).schema)
     found = corpus_pipeline.run(spark, SF, str(tmp_path))
     assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, docs.collect()), key=str) and found.count()
+
+
+def test_quality_sees_the_end_of_a_long_text():
+    """A piece of the good dictionary saves as much behind 3 MiB of other text as at the front."""
+    rng = random.Random(4)
+    good, bad = rng.randbytes(1 << 19), rng.randbytes(1 << 19)
+    ready = quality._compressors({"id": b"test of long texts", "good": good, "bad": bad})
+    other, piece = rng.randbytes(3 << 20), good[:100_000]
+    front, end = (quality.figures(t, *ready) for t in (piece + other, other + piece))
+    assert front[0] > 0 and end[0] > 0.9 * front[0] and end[3] > 0.9 * front[3]
