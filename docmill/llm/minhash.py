@@ -15,7 +15,8 @@
 
 With 30 bands of 5 a pair at the threshold of 0.8 shares no band with a probability of
 7e-6.  Nulls and edge cases: a null or blank text has no shingles and links to nothing;
-texts of fewer words than a shingle are one shingle; rows that share a doc_id are one document; a
+texts of fewer words than a shingle are one shingle; rows that share a doc_id are one document, similar to
+what any of its texts is similar to; a
 null doc_id is never linked and is kept, its component is null; other columns are
 ignored; empty input gives empty output.
 """
@@ -111,7 +112,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(x, words) for x in batch.column(1).to_pylist()])], names=["doc_id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), _lists([shingle_set(x, words) for x in batch.column(1).to_pylist()])], names=["doc_id", "text_id", "shingles"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -138,7 +139,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: tuple[int, int]) -> D
     """``pairs`` (a, b) with ok: whether their full sets are similar enough.
 
     The sets of b travel once for each pair; the set of a is copied to several salts, so
-    that the pairs of a hub are met by many tasks.
+    that the pairs of a hub are met by many tasks.  A document of several texts has
+    several sets; any two that are similar enough confirm a pair.
     """
     salts = 16
     b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").withColumn("salt", F.pmod(F.hash("b"), F.lit(salts)))
@@ -147,7 +149,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: tuple[int, int]) -> D
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")).join(hubs, "a").withColumn("salt", F.explode(copies)).drop("m")
     b = b.join(hubs, "a").withColumn("salt", F.when(F.col("m") > 100, F.col("salt")).otherwise(-1)).drop("m")
     both = F.size(F.array_intersect("x", "y"))
-    return b.join(a, ["a", "salt"]).select("a", "b", (F.lit(percent[0]) * both >= F.lit(percent[1]) * (F.size("x") + F.size("y") - both)).alias("ok"))
+    judged = b.join(a, ["a", "salt"]).select("a", "b", (F.lit(percent[0]) * both >= F.lit(percent[1]) * (F.size("x") + F.size("y") - both)).alias("ok"))
+    return judged.groupBy("a", "b").agg(F.max("ok").alias("ok"))
 
 
 def _missed(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: tuple[int, int]) -> DataFrame:
@@ -157,11 +160,11 @@ def _missed(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: tuple
     hubs = tagged.filter(~F.col("ok") & (F.col("c_a") != F.col("c_b"))).select("a").distinct()
     among = tagged.join(hubs, "a", "left_semi")
     among = among.select(F.col("a").alias("doc_id"), F.col("c_a").alias("c")).union(among.select("b", "c_b")).distinct()
-    rows = among.join(sets, "doc_id").select("doc_id", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    rows = among.join(sets, "doc_id").select("doc_id", "text_id", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     common = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     least = F.ceil(F.col("n") * percent[1] / percent[0]).cast("int")
     # Shingles of one document only come first in the order, take up the prefix, and match nothing.
-    shared = rows.join(common, "s").groupBy("doc_id", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("known"))
+    shared = rows.join(common, "s").groupBy("doc_id", "text_id", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("known"))
     room = F.col("n") - least + 1 - (F.col("n") - F.size("known"))
     prefix = shared.filter(room > 0).select("doc_id", "c", "n", (F.col("n") - F.size("known")).alias("before"), F.posexplode(F.slice("known", F.lit(1), room)).alias("i", "k"))
     # rest: shingles from this one on.  If it is the first that a pair shares, they share no more than that.
@@ -188,7 +191,7 @@ def near_duplicates(docs: DataFrame, percent: tuple[int, int] = PERCENT, words:
     hubs = banded.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a != z").select("key", "a")
     stars = shared_checkpoint(banded.join(hubs, "key").filter("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct())
     involved = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-    sets = ids.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(lambda batches: _sets(batches, words), "doc_id long, shingles array<long>")
+    sets = ids.join(involved, "doc_id", "left_semi").withColumn("text_id", F.xxhash64("data")).dropDuplicates(["doc_id", "text_id"]).mapInArrow(lambda batches: _sets(batches, words), "doc_id long, text_id long, shingles array<long>")
     sets = shared_checkpoint(sets)
     stars = shared_checkpoint(_confirmed(stars, sets, percent))
     links = stars.filter("ok").select("a", "b")

@@ -15,7 +15,7 @@ doc_id, or earlier in the same document) is removed; strings are judged on the i
 
 Only repeated neighbourhoods are compared; groups are streamed in order and keep what is
 distinct in them.  Nulls and edge cases: a null text is empty; a null doc_id counts as the
-last one; texts under LENGTH bytes lose nothing; repeated rows (same id and text) are one
+last one; different texts of one doc_id (or of none) are documents, in order of a digest; texts under LENGTH bytes lose nothing; repeated rows (same id and text) are one
 document; a string that overlaps its own earlier occurrence counts; other columns are
 ignored; empty input gives empty output.
 """
@@ -96,43 +96,43 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [anchors(t or b"") for t in batch.column(1).to_pylist()]
-        ids = np.repeat(batch.column(0).to_numpy(), [len(h) for h, _ in found])
+        found = [anchors(t or b"") for t in batch.column(2).to_pylist()]
+        ids, digests = (np.repeat(batch.column(i).to_numpy(), [len(h) for h, _ in found]) for i in range(2))
         h = np.concatenate([h for h, _ in found]) if found else np.empty(0, np.int64)
         at = np.concatenate([a for _, a in found]) if found else np.empty(0, np.int64)
         for i in range(0, max(1, len(h)), 200_000):
             part = slice(i, i + 200_000)
-            yield pa.RecordBatch.from_arrays([pa.array(h[part]), pa.array(ids[part]), pa.array(at[part])], names=["anchor", "doc_id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[part]), pa.array(ids[part]), pa.array(digests[part]), pa.array(at[part])], names=["anchor", "doc_id", "digest", "at"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, places, anchors) to (anchor, doc_id, at, left, context)."""
+    """(doc_id, digest, text, places, anchors) to (anchor, doc_id, digest, at, left, context)."""
     for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [], [])
-        for doc_id, text, places, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        out: tuple[list, ...] = ([], [], [], [], [], [])
+        for doc_id, digest, text, places, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for place, anchor in zip(places, hashes, strict=True):
                 at, left, right = place >> 16, place >> 8 & 255, place & 255
-                for column, value in zip(out, (anchor, doc_id, at, left, text[at - left : at - right + LENGTH]), strict=True):
+                for column, value in zip(out, (anchor, doc_id, digest, at, left, text[at - left : at - right + LENGTH]), strict=True):
                     column.append(value)
             if len(out[0]) > 20_000:
                 yield _context_batch(out)
-                out = ([], [], [], [], [])
+                out = ([], [], [], [], [], [])
         yield _context_batch(out)
 
 
 def _context_batch(columns: tuple[list, ...]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["anchor", "doc_id", "at", "left", "context"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["anchor", "doc_id", "digest", "at", "left", "context"])
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts, sorted by anchor, document and place, to (doc_id, start, end) of repeated runs."""
+    """Contexts, sorted by anchor, document and place, to (doc_id, digest, start, end) of repeated runs."""
     last, carried, before = None, np.empty(0, np.uint64), None
     for whole in batches:
         for offset in range(0, whole.num_rows, 4096):
             batch = whole.slice(offset, 4096)
-            anchor, doc, at, left = (batch.column(i).to_numpy() for i in range(4))
-            context = batch.column(4).to_pylist()
+            anchor, doc, digest, at, left = (batch.column(i).to_numpy() for i in range(5))
+            context = batch.column(5).to_pylist()
             size = np.array([len(c) for c in context])
             widest = GRAM + 2 * _REACH
             # Contexts stand in rows with their anchors below each other; what a text lacks stays empty.
@@ -141,7 +141,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 room[i, _REACH - left[i] : _REACH - left[i] + len(c)] = np.frombuffer(c, np.uint8)
             j = np.arange(widest - LENGTH + 1)
             there = (j[None, :] >= (_REACH - left)[:, None]) & (j[None, :] + LENGTH <= (_REACH - left + size)[:, None])
-            same = np.concatenate(([before is not None and before == (anchor[0], doc[0], at[0])], (anchor[1:] == anchor[:-1]) & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])))
+            same = np.concatenate(([before is not None and before == (anchor[0], doc[0], digest[0], at[0])], (anchor[1:] == anchor[:-1]) & (doc[1:] == doc[:-1]) & (digest[1:] == digest[:-1]) & (at[1:] == at[:-1])))
             there &= ~same[:, None]
             key = mix(_rolled(room, LENGTH) ^ mix(anchor.view(np.uint64)[:, None] + j.astype(np.uint64)[None, :] * _BASE))
             flat = key[there]
@@ -157,11 +157,11 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, begin = np.nonzero(edge == 1)
             _, end = np.nonzero(edge == -1)
             base = at[row].astype(np.int64) - _REACH
-            yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array((base + begin).astype(np.int32)), pa.array((base + end - 1 + LENGTH).astype(np.int32))], names=["doc_id", "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(digest[row]), pa.array((base + begin).astype(np.int32)), pa.array((base + end - 1 + LENGTH).astype(np.int32))], names=["doc_id", "digest", "start", "end"])
             ends = anchor == anchor[-1]
             new = np.unique(key[ends[:, None] & there])
             carried = np.union1d(carried, new) if anchor[-1] == last else new
-            last, before = anchor[-1], (anchor[-1], doc[-1], at[-1])
+            last, before = anchor[-1], (anchor[-1], doc[-1], digest[-1], at[-1])
 
 
 def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -177,17 +177,17 @@ def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(key, text, starts, ends): every row with the byte runs to remove (overlapping, unsorted; null if none)."""
-    # The same two columns wherever texts are dealt by key, so that one exchange serves both joins.
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), F.col("text").cast("binary").alias("text"))
-    found = rows.mapInArrow(_anchor_rows, "anchor long, doc_id long, at long")
+    # The same three columns wherever texts are dealt by key and digest, so that one exchange serves both joins.
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), F.col("text").cast("binary").alias("text"))
+    found = rows.mapInArrow(_anchor_rows, "anchor long, doc_id long, digest long, at long")
     # Anchors at two places, found in the one exchange that brings their occurrences together.
-    place, around = F.struct("doc_id", "at"), W.partitionBy("anchor")
+    place, around = F.struct("doc_id", "digest", "at"), W.partitionBy("anchor")
     often = found.withColumn("first", F.min(place).over(around)).withColumn("last", F.max(place).over(around)).filter("first < last")
-    places = often.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("at").alias("places"), F.collect_list("anchor").alias("anchors"))
-    contexts = rows.join(places, "key").mapInArrow(_contexts, "anchor long, doc_id long, at int, left int, context binary")
-    runs = contexts.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "at").mapInArrow(_repeats, "doc_id long, start int, end int")
-    by_doc = runs.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    return rows.join(by_doc, "key", "left").select(F.when(F.col("key") != _LAST, F.col("key")).alias("doc_id"), "text", "starts", "ends")
+    places = often.groupBy(F.col("doc_id").alias("key"), "digest").agg(F.collect_list("at").alias("places"), F.collect_list("anchor").alias("anchors"))
+    contexts = rows.join(places, ["key", "digest"]).mapInArrow(_contexts, "anchor long, doc_id long, digest long, at int, left int, context binary")
+    runs = contexts.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "digest", "at").mapInArrow(_repeats, "doc_id long, digest long, start int, end int")
+    by_doc = runs.groupBy(F.col("doc_id").alias("key"), "digest").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    return rows.join(by_doc, ["key", "digest"], "left").select(F.when(F.col("key") != _LAST, F.col("key")).alias("doc_id"), "text", "starts", "ends")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -231,3 +231,37 @@ def test_quality_sees_the_end_of_a_long_text():
     other, piece = rng.randbytes(3 << 20), good[:100_000]
     front, end = (quality.figures(t, *ready) for t in (piece + other, other + piece))
     assert front[0] > 0 and end[0] > 0.9 * front[0] and end[3] > 0.9 * front[3]
+
+
+def removed(t: str, seen: set) -> int:
+    """Bytes of ``t`` in strings of 100 bytes that were seen before, here or in ``seen``."""
+    raw, gone = t.encode(), set()
+    for p in range(len(raw) - 99):
+        if raw[p : p + 100] in seen:
+            gone.update(range(p, p + 100))
+        seen.add(raw[p : p + 100])
+    return len(gone)
+
+
+def test_repeats_of_several_texts_without_or_with_one_id(spark):
+    """Texts of one id, or of none, are documents of their own: brute force in any order of the texts of an id."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    shared, own = word(150), [word(200) for _ in range(6)]
+    for ids in ((None, None, None), (3, 3, 3), (3, None, 4)):
+        rows = [(i, shared + own[k] if k < 2 else own[k] + shared) for k, i in enumerate(ids)]
+        found = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        lost = sorted(r.n_removed for r in found)
+        assert len(found) == 3 and lost == [0, 150, 150], (ids, lost)
+        seen: set = set()
+        assert sorted(removed(t, seen) for _, t in rows) == lost
+
+
+def test_near_duplicates_of_an_id_with_several_texts(spark):
+    """Links of each of its texts tie a document, whichever row comes first."""
+    x, y = [[f"{p}{i}" for i in range(100)] for p in "xy"]
+    edit = lambda w: " ".join([*w[:-1], "other"])
+    for texts_of_5 in ((x, y), (y, x)):
+        rows = [(5, " ".join(w)) for w in texts_of_5] + [(6, edit(x)), (7, edit(y)), (8, "something else")]
+        found = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert found == {5: 5, 6: 5, 7: 5, 8: 8}
