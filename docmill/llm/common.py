@@ -17,18 +17,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage of ``df`` in the folder that spark.checkpoint.dir names.
+#: While this holds, an execution gives its exchanges back to the disks when it ends.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, or a temporary one where it is unset and the master is local.
 
-    A cluster names that folder; only where it is unset (tests, a laptop) a temporary
-    one is taken.
+    A cluster has to name a folder that all its machines share; a machine's own would lose
+    what other machines are to read, so it is refused.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="docmill-")
+
+
+def shared_checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut the lineage of ``df`` in the shared folder; what its exchanges held on disk is given back at once."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="docmill-checkpoints-"))
-    return df.checkpoint(eager=eager)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    before = spark.conf.get(_FREE, "false")
+    try:
+        spark.conf.set(_FREE, "true")
+        return df.select("*").checkpoint(eager=eager)
+    finally:
+        spark.conf.set(_FREE, before)
 
 
 def lower_ascii(text: Column) -> Column:
