@@ -7,14 +7,13 @@ documents table.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm.calibration import held_out
-from docmill.llm.common import table
+from docmill.llm.common import shared_folder, table
 from docmill.llm.decontamination import decontaminate
 from docmill.llm.minhash import drop_near_duplicates
 from docmill.llm.mixing import mix_sources
@@ -65,8 +64,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     """The last stage's rows.  Stages are written below ``folder``, by default in the folder that spark.checkpoint.dir names."""
-    base = folder or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docmill-pipeline-")
-    base = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = f"{(folder or shared_folder(spark)).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{base}/{name}"
