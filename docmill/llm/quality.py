@@ -17,6 +17,7 @@ the share of good labels (0.5 without labels).
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -41,15 +42,17 @@ _READY: dict[bytes, tuple] = {}
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, limit: int) -> DataFrame:
-    """(doc_id, text, y): up to ``limit`` labelled documents of each class, the least by a hash of the id."""
-    known = labels.filter(usable & F.col(label).isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).distinct()
+    """(doc_id, text, y): up to ``limit`` labelled documents of each class, those present with the least hashes of the id."""
+    known = labels.filter(usable & F.col(label).isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).distinct()
+    present = known.join(docs.select(F.col("doc_id").alias("_id")).distinct(), "_id", "left_semi")
     order = F.xxhash64(F.lit(7), "_id")
     ids = None
     for value in (0, 1):
-        one = known.filter(F.col("y") == value).orderBy(order, "_id").limit(limit)
+        one = present.filter(F.col("_y") == value).orderBy(order, "_id").limit(limit)
         ids = one if ids is None else ids.unionByName(one)
     # At most 2 * limit ids: small enough to broadcast whatever the input.
-    return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", F.col("text").cast("binary").alias("text"), "y")
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    return rows.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", F.col("_y").alias("y"))
 
 
 def _content(texts: list[bytes], size: int) -> bytes:
@@ -96,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = SAMPLE)
         total = len(texts[0]) + len(texts[1])
         return {"id": b"constant", "constant": len(texts[1]) / total if total else 0.5}
     model = {"good": _content(texts[1][::2], DICTIONARY), "bad": _content(texts[0][::2], DICTIONARY)}
-    model["id"] = model["good"][:64] + model["bad"][:64] + len(model["good"]).to_bytes(4, "big")
+    model["id"] = hashlib.sha256(len(model["good"]).to_bytes(8, "big") + model["good"] + model["bad"]).digest()
     ready = _compressors(model)
     rest = [(t, y) for y in (0, 1) for t in (texts[y][1::2] or texts[y])]
     curve = fit_logistic(np.array([figures(t, *ready) for t, _ in rest]), np.array([y for _, y in rest]))
@@ -107,8 +110,15 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = SAMPLE)
 
 
 def score(docs: DataFrame, model: dict, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of ``carry`` and score, in [0, 1]."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """doc_id, the columns of ``carry`` and score, in [0, 1]; a carried column of that name gives way."""
+    names = ["doc_id", *[c for c in carry if c not in ("doc_id", "score")]]
+    found = _scored(docs.select(F.col("text").cast("binary").alias("_data"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(names)]), model)
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("_score").alias("score"))
+
+
+def _scored(rows: DataFrame, model: dict) -> DataFrame:
+    """``rows``, of which the first column is the text, without it and with _score."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -118,18 +128,19 @@ def score(docs: DataFrame, model: dict, carry: tuple[str, ...] = ()) -> DataFram
             else:
                 ready = _compressors(m)
                 values = logistic(np.array([figures(t or b"", *ready) for t in batch.column(0).to_pylist()]).reshape(-1, 5), np.array(m["curve"]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(values)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(values)], names=[*batch.schema.names[1:], "_score"])
 
-    names = ["doc_id", *[c for c in carry if c != "doc_id"]]
-    rows = docs.select(F.col("text").cast("binary").alias("_data"), *names)
-    schema = rows.select(*names).schema.add("score", "double")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, rows.select(*rows.columns[1:]).schema.add("_score", "double"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, usable: Column, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those that score under ``threshold``; all columns stay."""
+    """``docs`` without those that score under ``threshold``; all columns stay, whatever their names.
+
+    Null and empty texts have the score of an empty text; equal rows stay or go together.
+    """
     model = fit(docs, labels, usable)
-    return score(docs, model, tuple(docs.columns)).filter(F.col("score") >= threshold).select(*docs.columns)
+    found = _scored(docs.select(F.col("text").cast("binary").alias("_data"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]), model)
+    return found.filter(F.col("_score") >= threshold).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,27 +1,32 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary labelled text, with absolute discounts and
-continuation counts at every order: an expression counts once for each different word
-that precedes it, so what many copies repeat weighs no more than one text.  A bigram
-falls back to the word, the word to its stem (its first bytes), the stem to the number of
-distinct words that it begins, which both classes share; rare expressions say nearly the
-same in both models.  A text's evidence is its log-likelihood ratio per word by the bigram
-models, and, by the lower order, where a single copied passage cannot speak as loudly,
-the largest ratio of any one word and of any run of ``RUN`` words: a short expression
-counts alike in a short and in a long text.  A logistic
-curve, fitted on labelled texts that were not counted, turns them into a score.
+Two interpolated bigram models, of toxic and of ordinary labelled text.  The top order
+counts in how many distinct texts a word follows another, less an absolute discount; what
+the discounts leave goes to the word's continuation count (an expression counts once for
+each different word before it), from there to that of its stem (its first bytes), and
+from there to the number of distinct words that the stem begins, which both classes
+share: rare expressions say nearly the same in both models.  A text's evidence is its
+length-normalised log-likelihood ratio by the bigram models and, by the lower order, where
+a single copied passage cannot speak as loudly, the largest ratio of any one word and of
+any run of ``RUN`` words: a short expression counts alike in a short and in a long text.
+A logistic curve, fitted on labelled texts that were not counted and set to the share of
+toxic labels, turns them into a score.
 
 Counts cover all distinct labelled texts outside the calibration part; the classes are
 balanced by each model's own total alone.  The model is a Spark table keyed by the full
 64-bit hash of a word, stem or bigram, so it grows with the corpus and no gram shares
-another's counts; only a few totals come to the driver.  To score, texts are dealt into
-blocks of some ``BLOCK`` bytes by a hash of id and text, the distinct grams of each block
-are joined to the table, and each block meets the counts of its own grams.
+another's counts; only a few totals come to the driver.  Only texts that are counted are
+dealt to meet their labels.  To score, texts are packed, dealt into blocks of some
+``BLOCK`` bytes by a hash of id and text, the distinct grams of each block are joined to
+the table, and each block meets the counts of its own grams.
+
+The features, the discount and the kind of top count were chosen by a split inside the rows
+that may be learned from.
 
 Nulls and edge cases: a null, empty or wordless text has no evidence, and its score is
 the curve's value at zero; equal texts score alike; a null doc_id is not held out; labels
-without a value and other columns are ignored; if a class has no labelled text, every
-score is the share of toxic labels (0 without labels).
+without a value and other columns, whatever their names, are ignored; if a class has no
+labelled text, every score is the share of toxic labels (0 without labels).
 """
 
 from __future__ import annotations
@@ -35,23 +40,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .calibration import fit_logistic, held_out
-from .common import table
+from .common import shared_checkpoint, table
 from .quality import sample
 from .tokens import OUTSIDE_WORDS, hashed_words, mix
 
 STEM = 5
-#: Kneser-Ney's absolute discounts of words and stems, and of bigrams.
+#: Kneser-Ney's absolute discount.  What one text alone says counts for nothing.
 DISCOUNT = 1.5
 RUN = 5
 #: One labelled text in so many calibrates, at most so many of each class.
 CALIBRATE, CALIBRATION = 5, 1500
 THRESHOLD = 0.5
 #: Bytes of text that meet the counts of their grams at once, and grams held before they are made distinct and passed on.
-BLOCK, HELD = 16 << 20, 1 << 20
-#: First bits of a gram by which texts leave out grams that the table does not have, before any are shuffled.
+BLOCK, HELD = 32 << 20, 2 << 20
+#: First bits of a hash by which rows that cannot meet are left out before any are shuffled.
 KNOWN = 26
 
 _STEMS = np.uint64(0x5851F42D4C957F2D)
+_COUNTS = ("a0", "a1", "b0", "b1", "c0", "c1")
 
 
 def grams(data: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,41 +74,54 @@ def _batch(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=names)
 
 
-def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, y) to (y, before, prev, word): each word but the first of a text, the word before it, and the word before that (0 if none)."""
-    names, held, size = ["y", "before", "prev", "word"], [], 0
+def known_bits(keys: DataFrame) -> np.ndarray:
+    """For each value of the first KNOWN bits of a 64-bit key (the only column), whether there is such a key: 8 MiB, whatever the table."""
+    at = F.shiftrightunsigned(F.col(keys.columns[0]), 64 - KNOWN) + 1
+    parts = keys.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    known = np.zeros((1 << KNOWN) // 8, np.uint8)
+    for r in parts:
+        begin = (r["part"] - 1) * 4096
+        known[begin : begin + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return known
+
 
-    def flush() -> pa.RecordBatch:
-        y = np.concatenate([np.full(len(w) - 1, v, np.int32) for v, w in held])
-        before = np.concatenate([np.append(np.uint64(0), w[:-2]) for _, w in held])
-        prev, word = np.concatenate([w[:-1] for _, w in held]), np.concatenate([w[1:] for _, w in held])
-        # Equal rows lie together after the sort; a first row differs from the one before it.
-        order = np.lexsort((before, word, prev, y))
-        columns = [c[order] for c in (y, before, prev, word)]
-        first = np.ones(len(y), bool)
-        first[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-        return _batch([c[first] for c in columns], names)
+def _has(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the table may have each key; never false for one that it has."""
+    at = (keys >> np.uint64(64 - KNOWN)).astype(np.int64)
+    return known[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+
+def _counted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, y) to (prev, word, n0, n1): bigrams and the number of texts of each class that hold them; and (stem, word, -1, 0) for each word."""
+    names = ["prev", "word", "n0", "n1"]
+    held: list[tuple[int, np.ndarray]] = []
+    stems: list[np.ndarray] = []
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        pairs = np.concatenate([p for _, p in held])
+        y = np.concatenate([np.full(len(p), v, np.int32) for v, p in held])
+        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        pairs, y = pairs[order], y[order]
+        begins = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(axis=1))))
+        toxic = np.add.reduceat(y, begins)
+        every = np.diff(np.append(begins, len(y)))
+        yield _batch([pairs[begins, 0], pairs[begins, 1], (every - toxic).astype(np.int32), toxic.astype(np.int32)], names)
+        named = np.unique(np.concatenate(stems), axis=0)
+        yield _batch([named[:, 0], named[:, 1], np.full(len(named), -1, np.int32), np.zeros(len(named), np.int32)], names)
 
     for batch in batches:
         for text, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = grams(text)[0]
+            words, stem, _ = grams(text)
             if len(words) > 1:
-                held.append((y, words))
+                held.append((y, np.unique(np.column_stack([words[:-1], words[1:]]), axis=0)))
+                stems.append(np.unique(np.column_stack([stem, words]), axis=0))
                 size += len(words)
             if size > HELD:
-                yield flush()
-                held, size = [], 0
+                yield from flush()
+                held, stems, size = [], [], 0
     if held:
-        yield flush()
-
-
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, y) to (word, stem)."""
-    for batch in batches:
-        words, stems = zip(*(grams(t)[:2] for t in batch.column(0).to_pylist()), strict=True) if batch.num_rows else ((), ())
-        if words:
-            word, first = np.unique(np.concatenate(words), return_index=True)
-            yield _batch([word, np.concatenate(stems)[first]], ["word", "stem"])
+        yield from flush()
 
 
 def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,9 +131,42 @@ def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pair_hashes(prev, word).view(np.int64)), *batch.columns[2:]], names=["gram", "a0", "a1"])
 
 
-def _by_class(counts: DataFrame, keys: list[str], **columns: str) -> DataFrame:
-    """``counts`` with one row per ``keys``, each column c as c0 (ordinary) and c1 (toxic)."""
-    return counts.groupBy(*keys).agg(*[F.sum(F.when(F.col("y") == y, F.col(c)).otherwise(0)).cast("float").alias(f"{name}{y}") for name, c in columns.items() for y in (0, 1)])
+_TABLE = "kind int, gram long, " + ", ".join(f"{c} float" for c in _COUNTS)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the table as compressed pieces: a few bytes for each gram."""
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+    for batch in batches:
+        if batch.num_rows:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, batch.schema, options=options) as writer:
+                writer.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["piece"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for piece in batch.column(0):
+            yield from pa.ipc.open_stream(piece.as_buffer())
+
+
+def _counted_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(text, y): each distinct text of each class of ``known`` (_id, y) once.  Only these are shuffled."""
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    first = rows.select("_id", "digest").join(known.hint("merge"), "_id").groupBy("digest", "y").agg(F.min("_id").alias("_id"))
+    first = shared_checkpoint(first.select("_id", "digest", "y"))
+    bits = docs.sparkSession.sparkContext.broadcast(known_bits(first.select(F.xxhash64("_id", "digest"))))
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine = _has(bits.value, batch.column(0).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(mine)) for c in batch.columns[1:]], names=["_id", "digest", "text"])
+
+    schema = rows.schema
+    some = rows.select(F.xxhash64("_id", "digest").alias("_key"), "_id", "digest", "text").mapInArrow(possible, schema)
+    return some.join(first.hint("merge"), ["_id", "digest"]).dropDuplicates(["digest", "y", "_id"]).select("text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> dict:
@@ -124,49 +176,49 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> dict:
     size = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(size) < 2:
         return {"constant": 1.0 if 1 in size else 0.0}
-    texts = docs.join(known.filter(fold != 0), F.col("doc_id") == F.col("_id")).select(F.col("text").cast("binary").alias("text"), "y")
-    # Dealt by bigram, so that one exchange serves the distinct rows and their counts.
-    triples = texts.mapInArrow(_trigrams, "y int, before long, prev long, word long").repartition("prev", "word").distinct()
-    pairs = triples.groupBy("y", "prev", "word").agg(F.count(F.lit(1)).alias("n")).persist()
-    stem_of = texts.mapInArrow(_vocabulary, "word long, stem long").distinct()
-    left = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0))
-    # As word: the number of words before it (a); as context: the bigrams it begins (b) and what the discounts leave of them (c).
-    as_word = pairs.groupBy("word", "y").agg(F.count(F.lit(1)).alias("a"), F.lit(0).alias("b"), F.lit(0.0).alias("c"))
-    as_context = pairs.groupBy(F.col("prev").alias("word"), "y").agg(F.lit(0).alias("a"), F.sum("n").alias("b"), F.sum(left).alias("c")).filter("c > 0")
-    words = _by_class(as_word.unionByName(as_context), ["word"], a="a", b="b", c="c").join(stem_of, "word").persist()
+    texts = _counted_texts(docs, known.filter(fold != 0))
+    # Dealt by the first word, so that one exchange serves the bigrams and their contexts.
+    counted = texts.mapInArrow(_counted_pairs, "prev long, word long, n0 int, n1 int").repartition("prev").groupBy("prev", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    pairs = counted.filter("n0 >= 0")
+    zero = F.lit(0).cast("double")
+    left = lambda y: F.greatest(F.col(f"n{y}") - DISCOUNT, F.lit(0.0))
+    seen = lambda y: (F.col(f"n{y}") > 0).cast("double")
+    # As word: the number of words before it (a); as context: the counts it begins (b) and what the discounts leave of them (c).
+    as_word = pairs.select("word", F.lit(None).cast("long").alias("stem"), seen(0).alias("a0"), seen(1).alias("a1"), *[zero.alias(c) for c in _COUNTS[2:]])
+    as_context = pairs.groupBy(F.col("prev").alias("word")).agg(*[F.sum(F.col(f"n{y}")).cast("double").alias(f"b{y}") for y in (0, 1)], *[F.sum(left(y)).alias(f"c{y}") for y in (0, 1)])
+    as_context = as_context.select("word", F.lit(None).cast("long").alias("stem"), zero.alias("a0"), zero.alias("a1"), *_COUNTS[2:])
+    stem_of = counted.filter("n0 < 0").select("word", F.col("prev").alias("stem"), *[zero.alias(c) for c in _COUNTS])
+    words = as_word.union(as_context).union(stem_of).groupBy("word").agg(F.max("stem").alias("stem"), *[F.sum(c).alias(c) for c in _COUNTS])
+    # A context none of whose bigrams passes the discount leaves all to the lower order, as one without counts does.
+    words = words.select("word", "stem", "a0", "a1", *[F.when(F.col(f"c{c[1]}") > 0, F.col(c)).otherwise(0.0).alias(c) for c in _COUNTS[2:]])
     # Types: the distinct words that begin with the stem and follow another, which both classes share.
-    stems = words.filter("a0 + a1 > 0").groupBy(F.col("stem").alias("gram")).agg(F.sum("a0").cast("float").alias("a0"), F.sum("a1").cast("float").alias("a1"), F.count(F.lit(1)).cast("float").alias("b0"))
-    both = _by_class(pairs.filter(F.col("n") > DISCOUNT), ["prev", "word"], a="n").mapInArrow(_pair_keys, "gram long, a0 float, a1 float")
-    none = F.lit(0.0).cast("float")
-    counts = words.filter(f"a0 > {DISCOUNT} OR a1 > {DISCOUNT} OR b0 + b1 > 0").select(F.col("word").alias("gram"), "a0", "a1", "b0", "b1", "c0", "c1")
-    counts = counts.union(stems.select("gram", "a0", "a1", "b0", none, none, none)).union(both.select("gram", "a0", "a1", none, none, none, none))
-    over = lambda c: F.coalesce(F.sum(F.greatest(F.col(c) - DISCOUNT, none)), none)
-    of_stems = stems.agg(*[F.coalesce(F.sum(c), none).alias(c) for c in ("a0", "a1", "b0")], over("a0").alias("o0"), over("a1").alias("o1"), F.count(F.lit(1)).alias("stems")).first()
-    of_words = words.agg(over("a0").alias("o0"), over("a1").alias("o1")).first()
+    stems = words.filter("a0 + a1 > 0").groupBy(F.col("stem").alias("gram")).agg(F.sum("a0").alias("a0"), F.sum("a1").alias("a1"), F.count(F.lit(1)).alias("b0"))
+    both = pairs.filter((F.col("n0") > DISCOUNT) | (F.col("n1") > DISCOUNT)).select("prev", "word", F.col("n0").cast("float").alias("a0"), F.col("n1").cast("float").alias("a1"))
+    both = both.mapInArrow(_pair_keys, "gram long, a0 float, a1 float")
+    counts = words.select(F.lit(0).alias("kind"), F.col("word").alias("gram"), *_COUNTS)
+    counts = counts.union(stems.select(F.lit(1), "gram", "a0", "a1", "b0", zero, zero, zero)).union(both.select(F.lit(2), "gram", "a0", "a1", zero, zero, zero, zero))
+    counts = counts.select("kind", "gram", *[F.col(c).cast("float").alias(c) for c in _COUNTS])
+    counts = shared_checkpoint(counts.mapInArrow(_packed, "piece binary")).mapInArrow(_unpacked, _TABLE)
+    over = lambda c: F.coalesce(F.sum(F.greatest(F.col(c) - DISCOUNT, zero)), zero)
+    sums = {r["kind"]: r for r in counts.filter("kind < 2").groupBy("kind").agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in ("a0", "a1", "b0")], over("a0").alias("o0"), over("a1").alias("o1"), F.count(F.lit(1)).alias("n")).collect()}
+    of_words, of_stems = (sums.get(k) or {"a0": 0.0, "a1": 0.0, "b0": 0.0, "o0": 0.0, "o1": 0.0, "n": 0} for k in (0, 1))
     total = [max(of_stems[f"a{y}"], 1.0) for y in (0, 1)]  # words and stems have the same total
-    grown = counts.persist()
+    # A word of one text in a class, and no context, says nothing: it is left out, and so is met by zeros.
+    grown = counts.filter(f"kind > 0 OR a0 > {DISCOUNT} OR a1 > {DISCOUNT} OR b0 + b1 > 0").select("gram", *_COUNTS)
     model: dict = {
-        "table": grown, "known": _known(grown), "total": total, "types": of_stems["b0"] + 0.5 * (of_stems["stems"] + 1),
+        "table": grown, "known": known_bits(grown.select("gram")), "total": total, "types": of_stems["b0"] + 0.5 * (of_stems["n"] + 1),
         "back_stem": [1 - of_stems[f"o{y}"] / total[y] for y in (0, 1)], "back_word": [1 - of_words[f"o{y}"] / total[y] for y in (0, 1)],
     }
-    pairs.unpersist()
-    words.unpersist()
     part = sample(docs, labels, "toxic", usable & (F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(CALIBRATE)) == 0), CALIBRATION)
     rows = evidence_of(part, model, ("y",)).collect()
     x = np.array([(r["mean"], r["run"], r["top"]) for r in rows]).reshape(-1, 3)
     y = np.array([r["y"] for r in rows])
     model["curve"] = fit_logistic(x, y) if len(set(y.tolist())) == 2 else np.array([0.0, 0.5, 0.5, -4.0])
+    if len(set(y.tolist())) == 2:
+        model["curve"][-1] += math.log(size[1] / size[0])
     return model
 
 
-def _known(counts: DataFrame) -> np.ndarray:
-    """For each value of the first KNOWN bits of a gram, whether the table has such a gram: a filter that loses none."""
-    first = F.shiftrightunsigned("gram", 64 - KNOWN).cast("int").alias("first")
-    known = np.zeros(1 << KNOWN, bool)
-    known[counts.select(first).distinct().toArrow()["first"].to_numpy()] = True
-    return np.packbits(known)
-
-
 def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """The row of ``values`` for each wanted key, zeros for keys that are not there."""
     if not len(keys):
@@ -204,23 +256,46 @@ def evidence(data: bytes | None, keys: np.ndarray, values: np.ndarray, model: di
     return float(np.log(chance[1] / chance[0]).mean()), float((sums[run:] - sums[:-run]).max()), float(ratio.max())
 
 
+def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_block, _data, ...) to (_block, piece): what a batch has of each block, compressed together."""
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+    for batch in batches:
+        blocks = batch.column(0).to_numpy()
+        order = np.argsort(blocks, kind="stable")
+        ends = np.append(np.flatnonzero(np.diff(blocks[order])) + 1, len(blocks)) if len(blocks) else []
+        rows = pa.table(batch.columns[1:], batch.schema.names[1:])
+        found, pieces, begin = [], [], 0
+        for end in ends:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, rows.schema, options=options) as writer:
+                writer.write_table(rows.take(pa.array(order[begin:end])).combine_chunks())
+            found.append(blocks[order[begin]])
+            pieces.append(out.getvalue().to_pybytes())
+            begin = end
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(pieces, pa.binary())], names=["_block", "piece"])
+
+
+def _texts_of(piece: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(piece.as_buffer()).read_all()
+
+
 def _block_grams(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(_data, _block, ...) to (_block, gram), each gram that the table may have once or a few times for a block."""
-    known = np.unpackbits(known).view(bool)
+    """(_block, piece) to (_block, gram), each gram that the table may have once or a few times for a block."""
     held: dict[int, list[np.ndarray]] = {}
     size = 0
     for batch in batches:
-        for text, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            mine = np.concatenate(grams(text))
-            mine = mine[known[mine >> np.uint64(64 - KNOWN)]]
-            held.setdefault(block, []).append(mine)
-            size += len(mine)
-            if size > 4 * HELD:
-                held = {k: [np.unique(np.concatenate(parts))] for k, parts in held.items()}
-                size = sum(len(parts[0]) for parts in held.values())
-            if size > 2 * HELD and all(len(parts) == 1 for parts in held.values()):
-                yield from _flushed(held)
-                held, size = {}, 0
+        for block, piece in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for text in _texts_of(piece)["_data"]:
+                mine = np.concatenate(grams(text.as_py()))
+                mine = mine[_has(known, mine)]
+                held.setdefault(block, []).append(mine)
+                size += len(mine)
+                if size > 4 * HELD:
+                    held = {k: [np.unique(np.concatenate(parts))] for k, parts in held.items()}
+                    size = sum(len(parts[0]) for parts in held.values())
+                    if size > 2 * HELD:
+                        yield from _flushed(held)
+                        held, size = {}, 0
     yield from _flushed(held)
 
 
@@ -236,36 +311,41 @@ def evidence_of(docs: DataFrame, model: dict, carry: tuple[str, ...]) -> DataFra
     n = docs.agg(F.sum(F.octet_length(data))).first()[0] or 0
     # The id belongs to the hash, so that many copies of a text are dealt over the blocks.
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, math.ceil(n / BLOCK))))
-    rows = docs.select(data.alias("_data"), block.alias("_block"), *carry).repartition("_block")
+    names = [f"_{i}" for i in range(len(carry))]
+    rows = docs.select(block.alias("_block"), data.alias("_data"), *[F.col(c).alias(name) for c, name in zip(carry, names, strict=True)])
+    rows = rows.mapInArrow(_packed_texts, "_block long, piece binary").repartition("_block")
     filter_ = docs.sparkSession.sparkContext.broadcast(model["known"])
     wanted = rows.mapInArrow(lambda batches: _block_grams(batches, filter_.value), "_block long, gram long")
-    held = wanted.join(model["table"], "gram")
+    held = wanted.join(model["table"].hint("merge"), "gram")
     small = {k: v for k, v in model.items() if k not in ("table", "known")}
     schema = docs.select(*carry).schema.add("mean", "double").add("run", "double").add("top", "double")
 
-    def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
+    def run(packed: pa.Table, counts: pa.Table) -> pa.Table:
         keys, first = np.unique(counts["gram"].to_numpy().view(np.uint64), return_index=True)
-        values = np.column_stack([counts[c].to_numpy()[first] for c in ("a0", "a1", "b0", "b1", "c0", "c1")]).reshape(-1, 6)
-        found = np.array([evidence(t.as_py(), keys, values, small) for t in texts["_data"]]).reshape(-1, 3)
-        out = texts.select(list(carry))
-        for i, name in enumerate(("mean", "run", "top")):
-            out = out.append_column(name, pa.array(found[:, i]))
-        return out
+        values = np.column_stack([counts[c].to_numpy()[first].astype(np.float64) for c in _COUNTS]).reshape(-1, 6)
+        parts = []
+        for piece in packed["piece"]:
+            texts = _texts_of(piece)
+            found = np.array([evidence(t.as_py(), keys, values, small) for t in texts["_data"]]).reshape(-1, 3)
+            parts.append(pa.table([*texts.columns[1:], *(pa.array(found[:, i]) for i in range(3))], [*carry, "mean", "run", "top"]))
+        return pa.concat_tables(parts)
 
     return rows.groupBy("_block").cogroup(held.groupBy("_block")).applyInArrow(run, schema)
 
 
 def score(docs: DataFrame, model: dict, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of ``carry`` and score, in [0, 1]."""
-    names = ["doc_id", *[c for c in carry if c != "doc_id"]]
+    """doc_id, the columns of ``carry`` and score, in [0, 1]; a carried column of that name gives way."""
+    names = ["doc_id", *[c for c in carry if c not in ("doc_id", "score")]]
     if "constant" in model:
         return docs.select(*names, F.lit(float(model["constant"])).alias("score"))
     *weights, intercept = (float(w) for w in model["curve"])
+    given = docs.select("text", *[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.col("doc_id"))
+    found = evidence_of(given, model, tuple(f"c{i}" for i in range(len(names))))
     line = F.lit(intercept)
     for w, c in zip(weights, ("mean", "run", "top"), strict=True):
         line = line + F.col(c) * w
     line = F.least(F.greatest(line, F.lit(-500.0)), F.lit(500.0))
-    return evidence_of(docs, model, tuple(names)).select(*names, (1 / (1 + F.exp(-line))).alias("score"))
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], (1 / (1 + F.exp(-line))).alias("score"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The training-data operators: brute force, round trips, held-out accuracy, and awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -165,25 +166,83 @@ def test_classifiers_without_labels(spark, awkward):
     assert toxicity.score(awkward, toxicity.fit(awkward, labels, F.lit(True))).filter("score = 0").count() == 10
 
 
-def test_toxicity_counts_every_gram_of_every_labelled_text(spark):
-    """One toxic text in ten, all folds but the calibration's: counts by class equal brute force, gram by gram."""
-    rows = [(i, " ".join(f"ctx{i}x{j} rare{i} pair{i % 7}" for j in range(3)), int(i % 10 == 0)) for i in range(150)]
+def counts_by_brute_force(texts, stem):
+    """Of (text, y): texts of each class by bigram, words before each word, words of each stem."""
+    pairs: dict = {}
+    for t, y in dict.fromkeys(texts):
+        w = t.split()
+        for pair in set(zip(w, w[1:])):
+            pairs.setdefault(pair, [0, 0])[y] += 1
+    before = {w: [sum(n[y] > 0 for (_, x), n in pairs.items() if x == w) for y in (0, 1)] for w in {x for _, x in pairs}}
+    stems: dict = {}
+    for w, n in before.items():
+        one = stems.setdefault(w[:stem], [0, 0, 0])
+        one[0], one[1], one[2] = one[0] + n[0], one[1] + n[1], one[2] + 1
+    return pairs, before, stems
+
+
+def test_toxicity_equals_brute_force(spark):
+    """One toxic text in ten, copies among them, all folds but the calibration's: counts and evidence equal plain Python, gram by gram."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"ctx{rng.randrange(9)}x{j} rare{i} pair{i % 7} common" for j in range(3)), int(i % 10 == 0)) for i in range(150)]
+    rows += [(500 + i, *rows[i][1:]) for i in range(0, 100, 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True))
     counted = {r.doc_id for r in df.filter(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(toxicity.CALIBRATE)) != 0).collect()}
-    triples = {(y, b, p, w) for i, t, y in rows if i in counted for b, p, w in zip([None, *t.split()], t.split(), t.split()[1:])}
-    pairs: dict = {}
-    for y, _, p, w in triples:
-        pairs.setdefault((p, w), [0, 0])[y] += 1
-    table = {r.gram: (r.a0, r.a1) for r in model["table"].collect()}
-    assert len(table) == model["table"].count() and sum(n[0] >= 2 for n in pairs.values()) > 80
+    pairs, before, stems = counts_by_brute_force([(t, y) for i, t, y in rows if i in counted], toxicity.STEM)
+    table = {r.gram: r for r in model["table"].collect()}
+    key = lambda t, k: int(toxicity.grams(t.encode())[k].astype("int64")[0])
+    assert len(table) == model["table"].count() and sum(n[0] >= 2 for n in pairs.values()) > 20
     for (p, w), n in pairs.items():
-        key = int(toxicity.grams(f"{p} {w}".encode())[2].astype("int64")[0])
-        assert table.get(key, (0, 0)) == (tuple(n) if max(n) >= 2 else (0, 0))
-    for w in {w for _, w in pairs}:
-        n = tuple(sum(v[y] > 0 for (_, x), v in pairs.items() if x == w) for y in (0, 1))
-        got = table.get(int(toxicity.grams(w.encode())[0].astype("int64")[0]), (0, 0))
-        assert got == n or (max(n) < 2 and got == (0, 0))
+        got = table.get(key(f"{p} {w}", 2))
+        assert (got is None and max(n) < 2) or (got.a0, got.a1) == tuple(n)
+    for w, n in before.items():
+        got = table.get(key(w, 0))
+        assert (got is None and max(n) < 2) or (got.a0, got.a1) == tuple(n)
+    # The evidence of new texts, by the formulas alone.
+    D, total = toxicity.DISCOUNT, [sum(n[y] for n in before.values()) for y in (0, 1)]
+    over = lambda n: max(n - D, 0.0)
+    types = sum(n[2] for n in stems.values()) + 0.5 * (len(stems) + 1)
+    back_stem = [1 - sum(over(n[y]) for n in stems.values()) / total[y] for y in (0, 1)]
+    back_word = [1 - sum(over(n[y]) for n in before.values()) / total[y] for y in (0, 1)]
+
+    def chances(w, y):
+        s = stems.get(w[: toxicity.STEM], (0, 0, 0))
+        shared, within = (s[2] + 0.5) / types, 1 / (s[2] + 1)
+        by_stem = over(s[y]) / total[y] + back_stem[y] * shared
+        word = over(before.get(w, (0, 0))[y]) / total[y] + back_word[y] * by_stem * within
+        return word, word + shared * within
+
+    def top(p, w, y):
+        follow = [n[y] for (x, _), n in pairs.items() if x == p]
+        n = sum(follow) if any(over(m) for q in (0, 1) for m in [n[q] for (x, _), n in pairs.items() if x == p]) else 0
+        rest = 1 - sum(map(over, follow)) / max(n, 1) if sum(map(over, follow)) else 1.0
+        return over(pairs.get((p, w), (0, 0))[y]) / max(n, 1) + rest * chances(w, y)[0]
+
+    asked = ["common pair3 common", "rare20 pair6 common ctx1x0 rare20", "never seen words", "pair0"]
+    found = {r.doc_id: r for r in toxicity.evidence_of(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model, ("doc_id",)).collect()}
+    for i, t in enumerate(asked):
+        w = t.split()
+        ratio = [math.log(chances(x, 1)[1] / chances(x, 0)[1]) for x in w]
+        whole = [math.log(chances(w[0], 1)[0] / chances(w[0], 0)[0])] + [math.log(top(p, x, 1) / top(p, x, 0)) for p, x in zip(w, w[1:])]
+        run = max(sum(ratio[k : k + toxicity.RUN]) for k in range(max(1, len(w) - toxicity.RUN + 1)))
+        assert found[i].top == pytest.approx(max(ratio)) and found[i].run == pytest.approx(run) and found[i].mean == pytest.approx(sum(whole) / len(whole)), t
+
+
+def test_classifiers_on_awkward_rows_and_clashing_names(spark, awkward, nothing):
+    """Null, empty and wordless texts score alike, so do equal texts; columns called score, _data and _block change nothing."""
+    rows = [(i, f"good word{i % 5} text of sense number{i}" if i % 2 else f"bad junk{i % 3} !!! noise{i}", i % 2, 1 - i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    docs, labels = df.select("doc_id", "text"), df.select("doc_id", "quality", "toxic")
+    named = awkward.withColumns({"score": F.lit("x"), "_data": F.lit("y"), "_block": F.lit(1), "y": F.lit(2), "_id": F.lit(3)})
+    for op in (quality, toxicity):
+        model = op.fit(docs, labels, F.lit(True))
+        found = [(r.doc_id, r.score) for r in op.score(named, model, tuple(named.columns)).collect()]
+        score = dict(found)
+        assert len(found) == 10 and all(0 <= x <= 1 for x in score.values()) and score[1] == score[2]
+        assert score[4] == score[5] == score[None] and op.score(nothing, model).count() == 0
+    kept = quality.keep_good(named, labels, F.lit(True), 0.0)
+    assert kept.columns == named.columns and kept.count() == 10
 
 
 def test_near_duplicate_stage_takes_five_words(spark):
