@@ -135,7 +135,7 @@ _TABLE = "kind int, gram long, " + ", ".join(f"{c} float" for c in _COUNTS)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the table as compressed pieces: a few bytes for each gram."""
+    """Rows as compressed pieces: a few bytes for each gram."""
     options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
     for batch in batches:
         if batch.num_rows:
@@ -177,8 +177,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> dict:
     if len(size) < 2:
         return {"constant": 1.0 if 1 in size else 0.0}
     texts = _counted_texts(docs, known.filter(fold != 0))
-    # Dealt by the first word, so that one exchange serves the bigrams and their contexts.
-    counted = texts.mapInArrow(_counted_pairs, "prev long, word long, n0 int, n1 int").repartition("prev").groupBy("prev", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    # Dealt by the first word and kept packed: most of a corpus's bigrams occur in one text only, and every count below reads them.
+    counted = texts.mapInArrow(_counted_pairs, "prev long, word long, n0 int, n1 int").repartition("prev").groupBy("prev", "word").agg(F.sum("n0").cast("int").alias("n0"), F.sum("n1").cast("int").alias("n1"))
+    counted = shared_checkpoint(counted.sortWithinPartitions("prev", "word").mapInArrow(_packed, "piece binary")).mapInArrow(_unpacked, "prev long, word long, n0 int, n1 int")
     pairs = counted.filter("n0 >= 0")
     zero = F.lit(0).cast("double")
     left = lambda y: F.greatest(F.col(f"n{y}") - DISCOUNT, F.lit(0.0))
