@@ -59,3 +59,12 @@ def hashed_words(data: bytes, outside: np.ndarray, stem: int | None = None) -> n
         return whole
     value[at >= stem] = 0
     return whole, mix(np.add.reduceat(value, first))
+
+
+def hashed_texts(texts: list[bytes], outside: np.ndarray, stem: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, stems, first): hashes of all words of ``texts`` in a row, and where each text begins (one more than there are texts)."""
+    words, stems = hashed_words(b"\0".join(texts), outside, stem)
+    raw = np.frombuffer(b"\0".join(texts), np.uint8)
+    begins, _ = bounds(raw, outside)
+    at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return words, stems, np.searchsorted(begins, at)

@@ -36,13 +36,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .calibration import fit_logistic, held_out
 from .common import shared_checkpoint, table
 from .quality import sample
-from .tokens import OUTSIDE_WORDS, hashed_words, mix
+from .tokens import OUTSIDE_WORDS, hashed_texts, hashed_words, mix
 
 STEM = 5
 #: Kneser-Ney's absolute discount.  What one text alone says counts for nothing.
@@ -52,9 +53,11 @@ RUN = 5
 CALIBRATE, CALIBRATION = 5, 1500
 THRESHOLD = 0.5
 #: Bytes of text that meet the counts of their grams at once, and grams held before they are made distinct and passed on.
-BLOCK, HELD = 32 << 20, 2 << 20
+BLOCK, HELD = 48 << 20, 2 << 20
 #: First bits of a hash by which rows that cannot meet are left out before any are shuffled.
 KNOWN = 26
+#: Shards of the table that blocks ask, at most (beyond, a shard is copied for groups of blocks), and the bits that name them.
+SHARDS, SHARD_BITS = 4096, 20
 
 _STEMS = np.uint64(0x5851F42D4C957F2D)
 _COUNTS = ("a0", "a1", "b0", "b1", "c0", "c1")
@@ -70,8 +73,24 @@ def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(first * np.uint64(3) + second)
 
 
-def _batch(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=names)
+def _chunks(texts: list[bytes | None]) -> Iterator[list[bytes]]:
+    """Lower-cased texts, some MiB at a time: what the arrays of one step are made from."""
+    part: list[bytes] = []
+    size = 0
+    for t in texts:
+        part.append((t or b"").lower())
+        size += len(part[-1])
+        if size > 2 << 20:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def _all_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, stems and bigrams of lower-cased texts in a row, and where each text's words begin; bigrams across two texts are there and to be left out."""
+    words, stems, first = hashed_texts(texts, OUTSIDE_WORDS, STEM)
+    return words, mix(stems ^ _STEMS), pair_hashes(words[:-1], words[1:]), first
 
 
 def known_bits(keys: DataFrame) -> np.ndarray:
@@ -91,44 +110,99 @@ def _has(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return known[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
 
 
-def _counted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, y) to (prev, word, n0, n1): bigrams and the number of texts of each class that hold them; and (stem, word, -1, 0) for each word."""
-    names = ["prev", "word", "n0", "n1"]
-    held: list[tuple[int, np.ndarray]] = []
-    stems: list[np.ndarray] = []
+def _counted_pairs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """(text, y) to (part, piece): bigrams dealt by their hash, with the number of texts of each class that hold them, as places in a list of words."""
+    held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        pairs = np.concatenate([p for _, p in held])
-        y = np.concatenate([np.full(len(p), v, np.int32) for v, p in held])
-        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-        pairs, y = pairs[order], y[order]
-        begins = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(axis=1))))
-        toxic = np.add.reduceat(y, begins)
-        every = np.diff(np.append(begins, len(y)))
-        yield _batch([pairs[begins, 0], pairs[begins, 1], (every - toxic).astype(np.int32), toxic.astype(np.int32)], names)
-        named = np.unique(np.concatenate(stems), axis=0)
-        yield _batch([named[:, 0], named[:, 1], np.full(len(named), -1, np.int32), np.zeros(len(named), np.int32)], names)
+        vocabulary, where = np.unique(np.concatenate([w for w, *_ in held]), return_index=True)
+        stems = np.concatenate([s for _, s, *_ in held])[where]
+        prev, word, y = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4))
+        code = np.searchsorted(vocabulary, prev) * len(vocabulary) + np.searchsorted(vocabulary, word)
+        code, at = np.unique(code, return_inverse=True)
+        n1 = np.bincount(at, y).astype(np.int64)
+        n0 = np.bincount(at, minlength=len(code)) - n1
+        first, second = code // len(vocabulary), code % len(vocabulary)
+        part = (pair_hashes(vocabulary[first], vocabulary[second]) % np.uint64(parts)).astype(np.int64)
+        for k in np.unique(part):
+            mine = part == k
+            used, places = np.unique(np.concatenate([first[mine], second[mine]]), return_inverse=True)
+            n = int(mine.sum())
+            piece = _squeeze(_delta(vocabulary[used]), stems[used], places[:n], places[n:], n0[mine], n1[mine])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), piece], names=["part", "piece"])
 
     for batch in batches:
-        for text, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words, stem, _ = grams(text)
-            if len(words) > 1:
-                held.append((y, np.unique(np.column_stack([words[:-1], words[1:]]), axis=0)))
-                stems.append(np.unique(np.column_stack([stem, words]), axis=0))
-                size += len(words)
+        y = batch.column(1).to_numpy()
+        done = 0
+        for texts in _chunks(batch.column(0).to_pylist()):
+            words, stems, _, first = _all_grams(texts)
+            whose = np.repeat(np.arange(len(texts)), np.diff(first))
+            inside = np.flatnonzero(whose[1:] == whose[:-1])
+            # Each bigram once for a text.
+            order = inside[np.lexsort((words[inside + 1], words[inside], whose[inside]))]
+            key = np.column_stack([whose[order].astype(np.uint64), words[order], words[order + 1]])
+            once = order[np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1)))] if len(order) else order
+            held.append((words, stems, words[once], words[once + 1], y[done + whose[once]]))
+            done, size = done + len(texts), size + len(words)
             if size > HELD:
                 yield from flush()
-                held, stems, size = [], [], 0
-    if held:
+                held, size = [], 0
+    if size:
         yield from flush()
 
 
-def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(prev, word, a0, a1) to (gram, a0, a1)."""
-    for batch in batches:
-        prev, word = (batch.column(i).to_numpy().view(np.uint64) for i in range(2))
-        yield pa.RecordBatch.from_arrays([pa.array(pair_hashes(prev, word).view(np.int64)), *batch.columns[2:]], names=["gram", "a0", "a1"])
+def _delta(sorted_keys: np.ndarray) -> np.ndarray:
+    return np.diff(sorted_keys, prepend=np.uint64(0))
+
+
+def _squeeze(*columns: np.ndarray) -> pa.Array:
+    """One piece: the columns as 64-bit planes of bytes, compressed (most planes are zeros)."""
+    packed = b"".join(len(c).to_bytes(8, "little") + np.ascontiguousarray(c.astype(np.int64 if c.dtype.kind == "i" else c.dtype).view(np.uint8).reshape(len(c), 8).T).tobytes() for c in columns)
+    return pa.array([zstandard.ZstdCompressor(level=1).compress(packed)], pa.binary())
+
+
+def _spread(piece: bytes) -> list[np.ndarray]:
+    """The columns of a piece, as unsigned integers."""
+    raw, out = zstandard.ZstdDecompressor().decompress(piece), []
+    while raw:
+        n = int.from_bytes(raw[:8], "little")
+        planes = np.frombuffer(raw, np.uint8, 8 * n, 8).reshape(8, n)
+        out.append(np.ascontiguousarray(planes.T).view(np.uint64).reshape(n))
+        raw = raw[8 + 8 * n :]
+    return out
+
+
+_WORDS = "kind int, gram long, stem long, " + ", ".join(f"{c} double" for c in _COUNTS)
+
+
+def _summed_pairs(table_: pa.Table) -> pa.Table:
+    """The pieces of one part to the counts of its bigrams that pass the discount (kind 2), and what its bigrams say of words (kind 0)."""
+    firsts, seconds, counts = [], [], []
+    vocabulary, stems = [], []
+    for piece in table_["piece"]:
+        delta, stem, first, second, n0, n1 = _spread(piece.as_py())
+        words = np.cumsum(delta)
+        vocabulary.append(words)
+        stems.append(stem)
+        firsts.append(words[first.astype(np.int64)])
+        seconds.append(words[second.astype(np.int64)])
+        counts.append(np.column_stack([n0, n1]).astype(np.float64))
+    words, where = np.unique(np.concatenate(vocabulary), return_index=True)
+    stem = np.concatenate(stems)[where]
+    first, second = (np.searchsorted(words, np.concatenate(x)) for x in (firsts, seconds))
+    code, at = np.unique(first * len(words) + second, return_inverse=True)
+    n = np.column_stack([np.bincount(at, np.concatenate(counts)[:, y], len(code)) for y in (0, 1)])
+    first, second = code // len(words), code % len(words)
+    # As word: the number of words before it (a); as context: the counts it begins (b) and what the discounts leave of them (c).
+    of_words = np.column_stack([np.bincount(k, v, len(words)) for k, v in [(second, n[:, y] > 0) for y in (0, 1)] + [(first, n[:, y]) for y in (0, 1)] + [(first, np.maximum(n[:, y] - DISCOUNT, 0)) for y in (0, 1)]])
+    passing = (n > DISCOUNT).any(axis=1)
+    of_pairs = np.zeros((int(passing.sum()), 6))
+    of_pairs[:, :2] = n[passing]
+    gram = np.concatenate([words, pair_hashes(words[first[passing]], words[second[passing]])]).view(np.int64)
+    kind = np.repeat(np.array([0, 2], np.int32), [len(words), len(of_pairs)])
+    values = np.concatenate([of_words, of_pairs])
+    return pa.table([pa.array(kind), pa.array(gram), pa.array(np.concatenate([stem, np.zeros(len(of_pairs), np.uint64)]).view(np.int64)), *(pa.array(values[:, i]) for i in range(6))], ["kind", "gram", "stem", *_COUNTS])
 
 
 _TABLE = "kind int, gram long, " + ", ".join(f"{c} float" for c in _COUNTS)
@@ -177,27 +251,18 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> dict:
     if len(size) < 2:
         return {"constant": 1.0 if 1 in size else 0.0}
     texts = _counted_texts(docs, known.filter(fold != 0))
-    # Dealt by the first word and kept packed: most of a corpus's bigrams occur in one text only, and every count below reads them.
-    counted = texts.mapInArrow(_counted_pairs, "prev long, word long, n0 int, n1 int").repartition("prev").groupBy("prev", "word").agg(F.sum("n0").cast("int").alias("n0"), F.sum("n1").cast("int").alias("n1"))
-    counted = shared_checkpoint(counted.sortWithinPartitions("prev", "word").mapInArrow(_packed, "piece binary")).mapInArrow(_unpacked, "prev long, word long, n0 int, n1 int")
-    pairs = counted.filter("n0 >= 0")
-    zero = F.lit(0).cast("double")
-    left = lambda y: F.greatest(F.col(f"n{y}") - DISCOUNT, F.lit(0.0))
-    seen = lambda y: (F.col(f"n{y}") > 0).cast("double")
-    # As word: the number of words before it (a); as context: the counts it begins (b) and what the discounts leave of them (c).
-    as_word = pairs.select("word", F.lit(None).cast("long").alias("stem"), seen(0).alias("a0"), seen(1).alias("a1"), *[zero.alias(c) for c in _COUNTS[2:]])
-    as_context = pairs.groupBy(F.col("prev").alias("word")).agg(*[F.sum(F.col(f"n{y}")).cast("double").alias(f"b{y}") for y in (0, 1)], *[F.sum(left(y)).alias(f"c{y}") for y in (0, 1)])
-    as_context = as_context.select("word", F.lit(None).cast("long").alias("stem"), zero.alias("a0"), zero.alias("a1"), *_COUNTS[2:])
-    stem_of = counted.filter("n0 < 0").select("word", F.col("prev").alias("stem"), *[zero.alias(c) for c in _COUNTS])
-    words = as_word.union(as_context).union(stem_of).groupBy("word").agg(F.max("stem").alias("stem"), *[F.sum(c).alias(c) for c in _COUNTS])
+    # Most bigrams of a corpus occur in one text only: they are dealt packed, by their own hash, and only sums go on.
+    parts = max(8, math.ceil((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BLOCK))
+    dealt = texts.mapInArrow(lambda batches: _counted_pairs(batches, parts), "part long, piece binary")
+    summed = shared_checkpoint(dealt.groupBy("part").applyInArrow(_summed_pairs, _WORDS).mapInArrow(_packed, "piece binary")).mapInArrow(_unpacked, _WORDS)
+    words = summed.filter("kind = 0").groupBy("gram").agg(F.max("stem").alias("stem"), *[F.sum(c).alias(c) for c in _COUNTS])
     # A context none of whose bigrams passes the discount leaves all to the lower order, as one without counts does.
-    words = words.select("word", "stem", "a0", "a1", *[F.when(F.col(f"c{c[1]}") > 0, F.col(c)).otherwise(0.0).alias(c) for c in _COUNTS[2:]])
+    words = words.select("gram", "stem", "a0", "a1", *[F.when(F.col(f"c{c[1]}") > 0, F.col(c)).otherwise(0.0).alias(c) for c in _COUNTS[2:]])
     # Types: the distinct words that begin with the stem and follow another, which both classes share.
+    zero = F.lit(0).cast("double")
     stems = words.filter("a0 + a1 > 0").groupBy(F.col("stem").alias("gram")).agg(F.sum("a0").alias("a0"), F.sum("a1").alias("a1"), F.count(F.lit(1)).alias("b0"))
-    both = pairs.filter((F.col("n0") > DISCOUNT) | (F.col("n1") > DISCOUNT)).select("prev", "word", F.col("n0").cast("float").alias("a0"), F.col("n1").cast("float").alias("a1"))
-    both = both.mapInArrow(_pair_keys, "gram long, a0 float, a1 float")
-    counts = words.select(F.lit(0).alias("kind"), F.col("word").alias("gram"), *_COUNTS)
-    counts = counts.union(stems.select(F.lit(1), "gram", "a0", "a1", "b0", zero, zero, zero)).union(both.select(F.lit(2), "gram", "a0", "a1", zero, zero, zero, zero))
+    counts = words.select(F.lit(0).alias("kind"), "gram", *_COUNTS)
+    counts = counts.union(stems.select(F.lit(1), "gram", "a0", "a1", "b0", zero, zero, zero)).union(summed.filter("kind = 2").select("kind", "gram", *_COUNTS))
     counts = counts.select("kind", "gram", *[F.col(c).cast("float").alias(c) for c in _COUNTS])
     counts = shared_checkpoint(counts.mapInArrow(_packed, "piece binary")).mapInArrow(_unpacked, _TABLE)
     over = lambda c: F.coalesce(F.sum(F.greatest(F.col(c) - DISCOUNT, zero)), zero)
@@ -228,16 +293,20 @@ def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarr
     return np.where((keys[at] == wanted)[:, None], values[at], 0.0)
 
 
-def evidence(data: bytes | None, keys: np.ndarray, values: np.ndarray, model: dict) -> tuple[float, float, float]:
-    """Log-likelihood ratio per word, and the largest of any run of RUN words and of any word by the lower order.
+def evidence(texts: list[bytes], keys: np.ndarray, values: np.ndarray, model: dict) -> np.ndarray:
+    """For each lower-cased text: the log-likelihood ratio per word, and the largest of any run of RUN words and of any word by the lower order.
 
-    ``keys`` (sorted) and ``values`` are the rows of the table for at least the text's grams.
+    ``keys`` (sorted) and ``values`` are the rows of the table for at least the texts' grams.
     """
-    words, stems, pairs = grams(data)
+    words, stems, pairs, first = _all_grams(texts)
+    out = np.zeros((len(texts), 3))
+    sizes = np.diff(first)
     if not len(words):
-        return 0.0, 0.0, 0.0
-    chance, lower = [], []
+        return out
     word_rows, stem_rows, pair_rows = (_found(keys, values, g) for g in (words, stems, pairs))
+    opens = np.zeros(len(words), bool)
+    opens[first[:-1][sizes > 0]] = True
+    chance, lower = [], []
     types = stem_rows[:, 2]
     shared = (types + 0.5) / model["types"]
     within = 1 / (types + 1)
@@ -246,15 +315,22 @@ def evidence(data: bytes | None, keys: np.ndarray, values: np.ndarray, model: di
         stem = over(stem_rows, y) / model["total"][y] + model["back_stem"][y] * shared
         word = over(word_rows, y) / model["total"][y] + model["back_word"][y] * stem * within
         lower.append(word + shared * within)
-        word = word.copy()
-        if len(pairs):
-            total = np.maximum(word_rows[:-1, 2 + y], 1)
-            word[1:] = over(pair_rows, y) / total + (1 - word_rows[:-1, 4 + y] / total) * word[1:]
-        chance.append(word)
-    ratio = np.log(lower[1] / lower[0])
+        total = np.maximum(word_rows[:-1, 2 + y], 1)
+        follows = over(pair_rows, y) / total + (1 - word_rows[:-1, 4 + y] / total) * word[1:]
+        chance.append(np.where(opens, word, np.concatenate((word[:1], follows))))
+    some = np.flatnonzero(sizes)
+    begins, n = first[some], sizes[some]
+    whole, ratio = np.log(chance[1] / chance[0]), np.log(lower[1] / lower[0])
+    out[some, 0] = np.add.reduceat(whole, begins) / n
+    out[some, 2] = np.maximum.reduceat(ratio, begins)
+    # Sums of the runs that end with each word, shorter at the beginning of a text; only full ones count, or the whole of a short text.
     sums = np.concatenate(([0.0], np.cumsum(ratio)))
-    run = min(RUN, len(ratio))
-    return float(np.log(chance[1] / chance[0]).mean()), float((sums[run:] - sums[:-run]).max()), float(ratio.max())
+    end = np.arange(1, len(words) + 1)
+    start = np.repeat(begins, n)
+    run = sums[end] - sums[np.maximum(start, end - RUN)]
+    run[end - start < np.minimum(RUN, np.repeat(n, n))] = -np.inf
+    out[some, 1] = np.maximum.reduceat(run, begins)
+    return out
 
 
 def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,30 +356,21 @@ def _texts_of(piece: pa.Scalar) -> pa.Table:
     return pa.ipc.open_stream(piece.as_buffer()).read_all()
 
 
-def _block_grams(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(_block, piece) to (_block, gram), each gram that the table may have once or a few times for a block."""
-    held: dict[int, list[np.ndarray]] = {}
-    size = 0
-    for batch in batches:
-        for block, piece in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for text in _texts_of(piece)["_data"]:
-                mine = np.concatenate(grams(text.as_py()))
-                mine = mine[_has(known, mine)]
-                held.setdefault(block, []).append(mine)
-                size += len(mine)
-                if size > 4 * HELD:
-                    held = {k: [np.unique(np.concatenate(parts))] for k, parts in held.items()}
-                    size = sum(len(parts[0]) for parts in held.values())
-                    if size > 2 * HELD:
-                        yield from _flushed(held)
-                        held, size = {}, 0
-    yield from _flushed(held)
-
-
-def _flushed(held: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    for block, parts in held.items():
-        distinct = np.unique(np.concatenate(parts))
-        yield _batch([np.full(len(distinct), block, np.int64), distinct], ["_block", "gram"])
+def _block_keys(pieces: pa.ChunkedArray, known: np.ndarray, shards: int) -> np.ndarray:
+    """The grams of a block that the table may have, by shard and sorted: the same however its texts were packed."""
+    out = np.empty(0, np.uint64)
+    held: list[np.ndarray] = []
+    for piece in pieces:
+        for texts in _chunks(_texts_of(piece)["_data"].to_pylist()):
+            words, stems, pairs, first = _all_grams(texts)
+            inner = np.ones(len(pairs), bool)
+            inner[first[1:-1][(first[1:-1] > 0) & (first[1:-1] < len(words))] - 1] = False
+            mine = np.concatenate([words, stems, pairs[inner]])
+            held.append(np.unique(mine[_has(known, mine)]))
+            if sum(map(len, held)) > HELD:
+                out, held = np.unique(np.concatenate([out, *held])), []
+    out = np.unique(np.concatenate([out, *held]))
+    return out[np.argsort(_shard(out, shards), kind="stable")]
 
 
 def evidence_of(docs: DataFrame, model: dict, carry: tuple[str, ...]) -> DataFrame:
@@ -316,24 +383,56 @@ def evidence_of(docs: DataFrame, model: dict, carry: tuple[str, ...]) -> DataFra
     rows = docs.select(block.alias("_block"), data.alias("_data"), *[F.col(c).alias(name) for c, name in zip(carry, names, strict=True)])
     rows = rows.mapInArrow(_packed_texts, "_block long, piece binary").repartition("_block")
     filter_ = docs.sparkSession.sparkContext.broadcast(model["known"])
-    wanted = rows.mapInArrow(lambda batches: _block_grams(batches, filter_.value), "_block long, gram long")
-    held = wanted.join(model["table"].hint("merge"), "gram")
+    blocks = max(1, math.ceil(n / BLOCK))
+    shards, salts = min(max(16, blocks), SHARDS), math.ceil(blocks / SHARDS)
+
+    def ask(packed: pa.Table) -> pa.Table:
+        keys = _block_keys(packed["piece"], filter_.value, shards)
+        block = packed["_block"][0].as_py()
+        shard = _shard(keys, shards)
+        begins = np.searchsorted(shard, np.arange(shards + 1))
+        there = np.flatnonzero(np.diff(begins))
+        pieces = [_squeeze(_delta(keys[begins[k] : begins[k + 1]])) for k in there]
+        return pa.table([pa.array(there, pa.int64()), pa.array([block % salts] * len(there), pa.int64()), pa.array([block] * len(there), pa.int64()), pa.chunked_array(pieces, pa.binary())], ["shard", "salt", "_block", "piece"])
+
+    def answer(wanted: pa.Table, counts: pa.Table) -> pa.Table:
+        keys, values = _sorted_counts(counts)
+        pieces = [_squeeze(*(_found(keys, values, np.cumsum(_spread(p.as_py())[0])).T.astype(np.float64))) for p in wanted["piece"]]
+        return pa.table([wanted["_block"], wanted["shard"], pa.chunked_array(pieces, pa.binary())], ["_block", "shard", "values"])
+
+    wanted = rows.groupBy("_block").applyInArrow(ask, "shard long, salt long, _block long, piece binary")
+    given = model["table"].withColumn("shard", F.shiftrightunsigned("gram", 64 - SHARD_BITS) % shards).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    held = wanted.groupBy("shard", "salt").cogroup(given.groupBy("shard", "salt")).applyInArrow(answer, "_block long, shard long, values binary")
     small = {k: v for k, v in model.items() if k not in ("table", "known")}
     schema = docs.select(*carry).schema.add("mean", "double").add("run", "double").add("top", "double")
 
-    def run(packed: pa.Table, counts: pa.Table) -> pa.Table:
-        keys, first = np.unique(counts["gram"].to_numpy().view(np.uint64), return_index=True)
-        values = np.column_stack([counts[c].to_numpy()[first].astype(np.float64) for c in _COUNTS]).reshape(-1, 6)
+    def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        keys = _block_keys(packed["piece"], filter_.value, shards)
+        values = np.zeros((len(keys), 6))
+        shard = _shard(keys, shards)
+        for k, piece in zip(answers["shard"].to_pylist(), answers["values"], strict=True):
+            values[np.searchsorted(shard, k) : np.searchsorted(shard, k + 1)] = np.column_stack([c.view(np.float64) for c in _spread(piece.as_py())])
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
         parts = []
         for piece in packed["piece"]:
             texts = _texts_of(piece)
-            found = np.array([evidence(t.as_py(), keys, values, small) for t in texts["_data"]]).reshape(-1, 3)
+            found = np.concatenate([evidence(t, keys, values, small) for t in _chunks(texts["_data"].to_pylist())])
             parts.append(pa.table([*texts.columns[1:], *(pa.array(found[:, i]) for i in range(3))], [*carry, "mean", "run", "top"]))
         return pa.concat_tables(parts)
 
     return rows.groupBy("_block").cogroup(held.groupBy("_block")).applyInArrow(run, schema)
 
 
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys >> np.uint64(64 - SHARD_BITS)) % np.uint64(shards)).astype(np.int64)
+
+
+def _sorted_counts(counts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys, first = np.unique(counts["gram"].to_numpy().view(np.uint64), return_index=True)
+    return keys, np.column_stack([counts[c].to_numpy()[first].astype(np.float64) for c in _COUNTS]).reshape(-1, 6)
+
+
 def score(docs: DataFrame, model: dict, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of ``carry`` and score, in [0, 1]; a carried column of that name gives way."""
     names = ["doc_id", *[c for c in carry if c not in ("doc_id", "score")]]
