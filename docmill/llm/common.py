@@ -35,19 +35,25 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="docmill-")
 
 
-def shared_checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage of ``df`` in the shared folder; what its exchanges held on disk is given back at once."""
+def freeing(df: DataFrame) -> DataFrame:
+    """``df``, whose own executions give back what their exchanges held on disk when they end."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     before = spark.conf.get(_FREE, "false")
     try:
         spark.conf.set(_FREE, "true")
-        return df.select("*").checkpoint(eager=eager)
+        return df.select("*")  # the setting is read when a frame is made
     finally:
         spark.conf.set(_FREE, before)
 
 
+def shared_checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut the lineage of ``df`` in the shared folder; what its exchanges held on disk is given back at once."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return freeing(df).checkpoint(eager=eager)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only.  ``lower`` has a fast path for pure ASCII, where both agree."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .calibration import fit_logistic, held_out
-from .common import shared_checkpoint, table
+from .common import freeing, shared_checkpoint, table
 from .quality import sample
 from .tokens import OUTSIDE_WORDS, hashed_texts, hashed_words, mix
 
@@ -73,12 +73,16 @@ def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(first * np.uint64(3) + second)
 
 
+#: Lower case, and everything but letters, digits and other characters' bytes a blank: what a text's words are read from.
+_PLAIN = bytes(0x20 if OUTSIDE_WORDS[b] else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+
+
 def _chunks(texts: list[bytes | None]) -> Iterator[list[bytes]]:
     """Lower-cased texts, some MiB at a time: what the arrays of one step are made from."""
     part: list[bytes] = []
     size = 0
     for t in texts:
-        part.append((t or b"").lower())
+        part.append((t or b"").translate(_PLAIN))
         size += len(part[-1])
         if size > 2 << 20:
             yield part
@@ -125,11 +129,13 @@ def _counted_pairs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa
         n0 = np.bincount(at, minlength=len(code)) - n1
         first, second = code // len(vocabulary), code % len(vocabulary)
         part = (pair_hashes(vocabulary[first], vocabulary[second]) % np.uint64(parts)).astype(np.int64)
-        for k in np.unique(part):
+        own = (vocabulary % np.uint64(parts)).astype(np.int64)
+        for k in range(parts):
             mine = part == k
             used, places = np.unique(np.concatenate([first[mine], second[mine]]), return_inverse=True)
             n = int(mine.sum())
-            piece = _squeeze(_delta(vocabulary[used]), stems[used], places[:n], places[n:], n0[mine], n1[mine])
+            named = own == k
+            piece = _squeeze(_delta(vocabulary[used]), places[:n], places[n:], n0[mine], n1[mine], _delta(vocabulary[named]), stems[named])
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), piece], names=["part", "piece"])
 
     for batch in batches:
@@ -178,18 +184,19 @@ _WORDS = "kind int, gram long, stem long, " + ", ".join(f"{c} double" for c in _
 
 def _summed_pairs(table_: pa.Table) -> pa.Table:
     """The pieces of one part to the counts of its bigrams that pass the discount (kind 2), and what its bigrams say of words (kind 0)."""
-    firsts, seconds, counts = [], [], []
-    vocabulary, stems = [], []
+    firsts, seconds, counts, named, stems = [], [], [], [], []
     for piece in table_["piece"]:
-        delta, stem, first, second, n0, n1 = _spread(piece.as_py())
+        delta, first, second, n0, n1, own, stem = _spread(piece.as_py())
         words = np.cumsum(delta)
-        vocabulary.append(words)
-        stems.append(stem)
         firsts.append(words[first.astype(np.int64)])
         seconds.append(words[second.astype(np.int64)])
         counts.append(np.column_stack([n0, n1]).astype(np.float64))
-    words, where = np.unique(np.concatenate(vocabulary), return_index=True)
-    stem = np.concatenate(stems)[where]
+        named.append(np.cumsum(own))
+        stems.append(stem)
+    # A word's stem comes with one part; elsewhere it is none.
+    named, where = np.unique(np.concatenate(named), return_index=True)
+    stems = np.concatenate(stems)[where]
+    words = np.unique(np.concatenate([*firsts, *seconds]))
     first, second = (np.searchsorted(words, np.concatenate(x)) for x in (firsts, seconds))
     code, at = np.unique(first * len(words) + second, return_inverse=True)
     n = np.column_stack([np.bincount(at, np.concatenate(counts)[:, y], len(code)) for y in (0, 1)])
@@ -199,10 +206,11 @@ def _summed_pairs(table_: pa.Table) -> pa.Table:
     passing = (n > DISCOUNT).any(axis=1)
     of_pairs = np.zeros((int(passing.sum()), 6))
     of_pairs[:, :2] = n[passing]
-    gram = np.concatenate([words, pair_hashes(words[first[passing]], words[second[passing]])]).view(np.int64)
-    kind = np.repeat(np.array([0, 2], np.int32), [len(words), len(of_pairs)])
-    values = np.concatenate([of_words, of_pairs])
-    return pa.table([pa.array(kind), pa.array(gram), pa.array(np.concatenate([stem, np.zeros(len(of_pairs), np.uint64)]).view(np.int64)), *(pa.array(values[:, i]) for i in range(6))], ["kind", "gram", "stem", *_COUNTS])
+    gram = np.concatenate([words, pair_hashes(words[first[passing]], words[second[passing]]), named]).view(np.int64)
+    kind = np.repeat(np.array([0, 2, 0], np.int32), [len(words), len(of_pairs), len(named)])
+    values = np.concatenate([of_words, of_pairs, np.zeros((len(named), 6))])
+    stem = pa.array(np.concatenate([np.zeros(len(words) + len(of_pairs), np.uint64), stems]).view(np.int64), mask=np.arange(len(gram)) < len(words) + len(of_pairs))
+    return pa.table([pa.array(kind), pa.array(gram), stem, *(pa.array(values[:, i]) for i in range(6))], ["kind", "gram", "stem", *_COUNTS])
 
 
 _TABLE = "kind int, gram long, " + ", ".join(f"{c} float" for c in _COUNTS)
@@ -276,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> dict:
         "back_stem": [1 - of_stems[f"o{y}"] / total[y] for y in (0, 1)], "back_word": [1 - of_words[f"o{y}"] / total[y] for y in (0, 1)],
     }
     part = sample(docs, labels, "toxic", usable & (F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(CALIBRATE)) == 0), CALIBRATION)
-    rows = evidence_of(part, model, ("y",)).collect()
+    rows = freeing(evidence_of(part, model, ("y",))).collect()
     x = np.array([(r["mean"], r["run"], r["top"]) for r in rows]).reshape(-1, 3)
     y = np.array([r["y"] for r in rows])
     model["curve"] = fit_logistic(x, y) if len(set(y.tolist())) == 2 else np.array([0.0, 0.5, 0.5, -4.0])
@@ -340,7 +348,8 @@ def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         blocks = batch.column(0).to_numpy()
         order = np.argsort(blocks, kind="stable")
         ends = np.append(np.flatnonzero(np.diff(blocks[order])) + 1, len(blocks)) if len(blocks) else []
-        rows = pa.table(batch.columns[1:], batch.schema.names[1:])
+        plain = pa.array([(t or b"").translate(_PLAIN) for t in batch.column(1).to_pylist()], pa.binary())
+        rows = pa.table([plain, *batch.columns[2:]], batch.schema.names[1:])
         found, pieces, begin = [], [], 0
         for end in ends:
             out = pa.BufferOutputStream()
@@ -396,12 +405,23 @@ def evidence_of(docs: DataFrame, model: dict, carry: tuple[str, ...]) -> DataFra
         return pa.table([pa.array(there, pa.int64()), pa.array([block % salts] * len(there), pa.int64()), pa.array([block] * len(there), pa.int64()), pa.chunked_array(pieces, pa.binary())], ["shard", "salt", "_block", "piece"])
 
     def answer(wanted: pa.Table, counts: pa.Table) -> pa.Table:
-        keys, values = _sorted_counts(counts)
-        pieces = [_squeeze(*(_found(keys, values, np.cumsum(_spread(p.as_py())[0])).T.astype(np.float64))) for p in wanted["piece"]]
+        columns = [np.concatenate(c) for c in zip(*(_spread(p.as_py()) for p in counts["counts"]), strict=True)] or [np.empty(0, np.uint64)] * 7
+        keys, first = np.unique(columns[0], return_index=True)
+        values = np.column_stack([c.view(np.float64)[first] for c in columns[1:]]).reshape(-1, 6)
+        pieces = [_squeeze(*_found(keys, values, np.cumsum(_spread(p.as_py())[0])).T) for p in wanted["piece"]]
         return pa.table([wanted["_block"], wanted["shard"], pa.chunked_array(pieces, pa.binary())], ["_block", "shard", "values"])
 
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy().view(np.uint64)
+            values = [c.to_numpy().astype(np.float64) for c in batch.columns[1:]]
+            shard = _shard(keys, shards)
+            for k in np.unique(shard):
+                mine = np.flatnonzero(shard == k)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), _squeeze(keys[mine], *(v[mine] for v in values))], names=["shard", "counts"])
+
     wanted = rows.groupBy("_block").applyInArrow(ask, "shard long, salt long, _block long, piece binary")
-    given = model["table"].withColumn("shard", F.shiftrightunsigned("gram", 64 - SHARD_BITS) % shards).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    given = model["table"].mapInArrow(dealt, "shard long, counts binary").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     held = wanted.groupBy("shard", "salt").cogroup(given.groupBy("shard", "salt")).applyInArrow(answer, "_block long, shard long, values binary")
     small = {k: v for k, v in model.items() if k not in ("table", "known")}
     schema = docs.select(*carry).schema.add("mean", "double").add("run", "double").add("top", "double")
@@ -428,11 +448,6 @@ def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(64 - SHARD_BITS)) % np.uint64(shards)).astype(np.int64)
 
 
-def _sorted_counts(counts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys, first = np.unique(counts["gram"].to_numpy().view(np.uint64), return_index=True)
-    return keys, np.column_stack([counts[c].to_numpy()[first].astype(np.float64) for c in _COUNTS]).reshape(-1, 6)
-
-
 def score(docs: DataFrame, model: dict, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of ``carry`` and score, in [0, 1]; a carried column of that name gives way."""
     names = ["doc_id", *[c for c in carry if c not in ("doc_id", "score")]]
