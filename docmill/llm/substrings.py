@@ -27,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shared_checkpoint, table
 from .tokens import mix
 
 LENGTH, GRAM = 100, 24
@@ -95,44 +95,130 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, digest, text) to (anchor, doc_id, digest, at, more): one row for an anchor of a batch, further places packed in more, so that no anchor fills a task."""
     for batch in batches:
         found = [anchors(t or b"") for t in batch.column(2).to_pylist()]
+        if not found:
+            continue
         ids, digests = (np.repeat(batch.column(i).to_numpy(), [len(h) for h, _ in found]) for i in range(2))
-        h = np.concatenate([h for h, _ in found]) if found else np.empty(0, np.int64)
-        at = np.concatenate([a for _, a in found]) if found else np.empty(0, np.int64)
-        for i in range(0, max(1, len(h)), 200_000):
-            part = slice(i, i + 200_000)
-            yield pa.RecordBatch.from_arrays([pa.array(h[part]), pa.array(ids[part]), pa.array(digests[part]), pa.array(at[part])], names=["anchor", "doc_id", "digest", "at"])
+        h, at = (np.concatenate([f[i] for f in found]) for i in range(2))
+        order = np.lexsort((at, digests, ids, h))
+        h, places = h[order], np.column_stack([ids[order], digests[order], at[order]])
+        begins = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
+        ends = np.append(begins[1:], len(h))
+        more = np.full(len(begins), None, object)
+        for i in np.flatnonzero(ends - begins > 1):
+            more[i] = places[begins[i] + 1 : ends[i]].tobytes()
+        for i in range(0, max(1, len(begins)), 200_000):
+            part = begins[i : i + 200_000]
+            yield pa.RecordBatch.from_arrays([pa.array(h[part]), *(pa.array(np.ascontiguousarray(places[part, k])) for k in range(3)), pa.array(more[i : i + 200_000], pa.binary())], names=["anchor", "doc_id", "digest", "at", "more"])
+
+
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of anchors, sorted by anchor, to (doc_id, digest, at, anchor) of those at two places or more."""
+    held: pa.Table | None = None
+
+    def told(rows: pa.Table) -> pa.RecordBatch:
+        anchor = rows["anchor"].to_numpy()
+        same = anchor[1:] == anchor[:-1]
+        many = np.concatenate(([False], same)) | np.concatenate((same, [False])) if len(anchor) else np.empty(0, bool)
+        more = rows["more"].to_pylist()
+        some = [i for i, m in enumerate(more) if m is not None]
+        many[some] = True
+        places = [np.column_stack([rows[c].to_numpy()[many] for c in ("doc_id", "digest", "at")])]
+        keys = [anchor[many]]
+        for i in some:
+            places.append(np.frombuffer(more[i], np.int64).reshape(-1, 3))
+            keys.append(np.full(len(places[-1]), anchor[i]))
+        out = np.concatenate(places)
+        # A place that repeated rows name twice is one place.
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(out[:, k])) for k in range(3)), pa.array(np.concatenate(keys))], names=["doc_id", "digest", "at", "anchor"])
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        if not rows.num_rows:
+            continue
+        # The last anchor may go on in the next batch.
+        anchor = rows["anchor"].to_numpy()
+        cut = int(np.searchsorted(anchor, anchor[-1]))
+        held = rows.slice(cut)
+        if cut:
+            yield told(rows.slice(0, cut))
+    if held is not None:
+        yield told(held)
+
+
+#: Contexts that a task compares before it passes them on.
+HELD = 100_000
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, digest, text, places, anchors) to (anchor, doc_id, digest, at, left, context)."""
+    """(doc_id, digest, text, places, anchors) to (anchor, doc_id, digest, at, left, right, context).
+
+    Of equal contexts of an anchor that meet here, all but the first are repeated as a whole:
+    they go on without their bytes and under a key of their own, so copies fill no task.
+    """
+    held: dict[tuple, list[tuple]] = {}
+    n = 0
     for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [], [], [])
         for doc_id, digest, text, places, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for place, anchor in zip(places, hashes, strict=True):
+            for place, anchor in set(zip(places, hashes, strict=True)):
                 at, left, right = place >> 16, place >> 8 & 255, place & 255
-                for column, value in zip(out, (anchor, doc_id, digest, at, left, text[at - left : at - right + LENGTH]), strict=True):
-                    column.append(value)
-            if len(out[0]) > 20_000:
-                yield _context_batch(out)
-                out = ([], [], [], [], [], [])
-        yield _context_batch(out)
+                held.setdefault((anchor, left, right, text[at - left : at - right + LENGTH]), []).append((doc_id, digest, at))
+                n += 1
+            if n > HELD:
+                yield from _context_batches(held)
+                held, n = {}, 0
+    yield from _context_batches(held)
+
+
+def _context_batches(held: dict[tuple, list[tuple]]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    out: list[tuple] = []
+    for (anchor, left, right, context), places in held.items():
+        first = min(places)
+        out.append((anchor, *first, left, right, context))
+        out += [(doc_id ^ at, doc_id, digest, at, left, right, None) for doc_id, digest, at in places if (doc_id, digest, at) != first]
+        if len(out) > 20_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=True)], names=_CONTEXT)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=True)], names=_CONTEXT)
 
 
-def _context_batch(columns: tuple[list, ...]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["anchor", "doc_id", "digest", "at", "left", "context"])
+_CONTEXT = ["anchor", "doc_id", "digest", "at", "left", "right", "context"]
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts, sorted by anchor, document and place, to (doc_id, digest, start, end) of repeated runs."""
+
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at, left, right = (batch.column(i).to_numpy().astype(np.int64) for i in (3, 4, 5))
+        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array((at - left).astype(np.int32)), pa.array((at - right + LENGTH).astype(np.int32))], names=["doc_id", "digest", "start", "end"])
+
+    def compared() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = batch.column(6).is_null()
+            if known.true_count:
+                done.append(whole(batch.filter(known)))
+            yield batch.filter(pa.compute.invert(known)) if known.true_count else batch
+
+    done: list[pa.RecordBatch] = []
+    for runs in _compared(compared()):
+        yield from done
+        done.clear()
+        yield runs
+    yield from done
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, carried, before = None, np.empty(0, np.uint64), None
     for whole in batches:
         for offset in range(0, whole.num_rows, 4096):
             batch = whole.slice(offset, 4096)
             anchor, doc, digest, at, left = (batch.column(i).to_numpy() for i in range(5))
-            context = batch.column(5).to_pylist()
+            context = batch.column(6).to_pylist()
             size = np.array([len(c) for c in context])
             widest = GRAM + 2 * _REACH
             # Contexts stand in rows with their anchors below each other; what a text lacks stays empty.
@@ -176,18 +262,20 @@ def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(key, text, starts, ends): every row with the byte runs to remove (overlapping, unsorted; null if none)."""
-    # The same three columns wherever texts are dealt by key and digest, so that one exchange serves both joins.
+    """(doc_id, text, starts, ends): every row with the byte runs to remove (overlapping, unsorted; null if none).
+
+    Each of the three phases keeps only its result: places of repeated anchors, then runs.
+    """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), F.col("text").cast("binary").alias("text"))
-    found = rows.mapInArrow(_anchor_rows, "anchor long, doc_id long, digest long, at long")
-    # Anchors at two places, found in the one exchange that brings their occurrences together.
-    place, around = F.struct("doc_id", "digest", "at"), W.partitionBy("anchor")
-    often = found.withColumn("first", F.min(place).over(around)).withColumn("last", F.max(place).over(around)).filter("first < last")
+    long = rows.filter(F.octet_length("text") >= LENGTH)
+    found = long.mapInArrow(_anchor_rows, "anchor long, doc_id long, digest long, at long, more binary")
+    often = found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_often, "doc_id long, digest long, at long, anchor long")
     places = often.groupBy(F.col("doc_id").alias("key"), "digest").agg(F.collect_list("at").alias("places"), F.collect_list("anchor").alias("anchors"))
-    contexts = rows.join(places, ["key", "digest"]).mapInArrow(_contexts, "anchor long, doc_id long, digest long, at int, left int, context binary")
+    places = shared_checkpoint(places)
+    contexts = long.join(places.hint("merge"), ["key", "digest"]).mapInArrow(_contexts, "anchor long, doc_id long, digest long, at int, left int, right int, context binary")
     runs = contexts.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "digest", "at").mapInArrow(_repeats, "doc_id long, digest long, start int, end int")
-    by_doc = runs.groupBy(F.col("doc_id").alias("key"), "digest").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    return rows.join(by_doc, ["key", "digest"], "left").select(F.when(F.col("key") != _LAST, F.col("key")).alias("doc_id"), "text", "starts", "ends")
+    by_doc = shared_checkpoint(runs.groupBy(F.col("doc_id").alias("key"), "digest").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")))
+    return rows.join(by_doc.hint("merge"), ["key", "digest"], "left").select(F.when(F.col("key") != _LAST, F.col("key")).alias("doc_id"), "text", "starts", "ends")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
