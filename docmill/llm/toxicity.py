@@ -115,7 +115,7 @@ def _has(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _counted_pairs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """(text, y) to (part, piece): bigrams dealt by their hash, with the number of texts of each class that hold them, as places in a list of words."""
+    """(text, y) to (part, piece): bigrams dealt by their first word, with the number of texts of each class that hold them, as places in a list of words."""
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
@@ -128,8 +128,8 @@ def _counted_pairs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa
         n1 = np.bincount(at, y).astype(np.int64)
         n0 = np.bincount(at, minlength=len(code)) - n1
         first, second = code // len(vocabulary), code % len(vocabulary)
-        part = (pair_hashes(vocabulary[first], vocabulary[second]) % np.uint64(parts)).astype(np.int64)
         own = (vocabulary % np.uint64(parts)).astype(np.int64)
+        part = own[first]
         for k in range(parts):
             mine = part == k
             used, places = np.unique(np.concatenate([first[mine], second[mine]]), return_inverse=True)
@@ -179,11 +179,12 @@ def _spread(piece: bytes) -> list[np.ndarray]:
     return out
 
 
-_WORDS = "kind int, gram long, stem long, " + ", ".join(f"{c} double" for c in _COUNTS)
+_SUMS = "kind int, part long, piece binary"
+_WORDS = "gram long, stem long, " + ", ".join(f"{c} double" for c in _COUNTS)
 
 
-def _summed_pairs(table_: pa.Table) -> pa.Table:
-    """The pieces of one part to the counts of its bigrams that pass the discount (kind 2), and what its bigrams say of words (kind 0)."""
+def _summed_pairs(table_: pa.Table, parts: int) -> pa.Table:
+    """The pieces of one part to pieces: the bigrams that pass the discount (kind 2), what its bigrams say of words (0) and its words' stems (1), dealt by word."""
     firsts, seconds, counts, named, stems = [], [], [], [], []
     for piece in table_["piece"]:
         delta, first, second, n0, n1, own, stem = _spread(piece.as_py())
@@ -193,7 +194,6 @@ def _summed_pairs(table_: pa.Table) -> pa.Table:
         counts.append(np.column_stack([n0, n1]).astype(np.float64))
         named.append(np.cumsum(own))
         stems.append(stem)
-    # A word's stem comes with one part; elsewhere it is none.
     named, where = np.unique(np.concatenate(named), return_index=True)
     stems = np.concatenate(stems)[where]
     words = np.unique(np.concatenate([*firsts, *seconds]))
@@ -202,15 +202,46 @@ def _summed_pairs(table_: pa.Table) -> pa.Table:
     n = np.column_stack([np.bincount(at, np.concatenate(counts)[:, y], len(code)) for y in (0, 1)])
     first, second = code // len(words), code % len(words)
     # As word: the number of words before it (a); as context: the counts it begins (b) and what the discounts leave of them (c).
-    of_words = np.column_stack([np.bincount(k, v, len(words)) for k, v in [(second, n[:, y] > 0) for y in (0, 1)] + [(first, n[:, y]) for y in (0, 1)] + [(first, np.maximum(n[:, y] - DISCOUNT, 0)) for y in (0, 1)]])
+    total = lambda k, v: np.bincount(k, v, len(words))
+    a, b, c = (np.column_stack([total(k, v(n[:, y])) for y in (0, 1)]) for k, v in ((second, lambda x: x > 0), (first, lambda x: x), (first, lambda x: np.maximum(x - DISCOUNT, 0))))
+    # A context none of whose bigrams passes the discount leaves all to the lower order, as one without counts does.
+    b[c == 0] = 0
     passing = (n > DISCOUNT).any(axis=1)
-    of_pairs = np.zeros((int(passing.sum()), 6))
-    of_pairs[:, :2] = n[passing]
-    gram = np.concatenate([words, pair_hashes(words[first[passing]], words[second[passing]]), named]).view(np.int64)
-    kind = np.repeat(np.array([0, 2, 0], np.int32), [len(words), len(of_pairs), len(named)])
-    values = np.concatenate([of_words, of_pairs, np.zeros((len(named), 6))])
-    stem = pa.array(np.concatenate([np.zeros(len(words) + len(of_pairs), np.uint64), stems]).view(np.int64), mask=np.arange(len(gram)) < len(words) + len(of_pairs))
-    return pa.table([pa.array(kind), pa.array(gram), stem, *(pa.array(values[:, i]) for i in range(6))], ["kind", "gram", "stem", *_COUNTS])
+    grams_ = pair_hashes(words[first[passing]], words[second[passing]])
+    order = np.argsort(grams_)
+    out = [(2, 0, _squeeze(_delta(grams_[order]), *n[passing][order].T.astype(np.int64)))]
+    begun = (c > 0).any(axis=1)
+    of_stem, of_word, of_begun = (x % np.uint64(parts) for x in (named, words, words[begun]))
+    for k in range(parts):
+        i, j, g = of_stem == k, of_word == k, of_begun == k
+        out.append((0, k, _squeeze(_delta(named[i]), stems[i], _delta(words[j]), *a[j].T.astype(np.int64), _delta(words[begun][g]), *(x for y in (b, c) for x in y[begun][g].T))))
+    return pa.table([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()), pa.chunked_array([o[2] for o in out], pa.binary())], ["kind", "part", "piece"])
+
+
+def _summed_words(table_: pa.Table) -> pa.Table:
+    """The pieces of the words of one part to a row for each of them: its stem and its counts."""
+    keys, stems, at_word, at_context = [], [], [], []
+    for piece in table_["piece"]:
+        named, stem, words, a0, a1, begun, *of = _spread(piece.as_py())
+        keys.append(np.cumsum(named))
+        stems.append(stem)
+        at_word.append((np.cumsum(words), a0, a1))
+        at_context.append((np.cumsum(begun), *(x.view(np.float64) for x in of)))
+    words, where = np.unique(np.concatenate(keys), return_index=True)
+    counts = np.zeros((len(words), 6))
+    for found, column in ((at_word, 0), (at_context, 2)):
+        at = np.searchsorted(words, np.concatenate([f[0] for f in found]))
+        for i in range(1, len(found[0])):
+            counts[:, column + i - 1] = np.bincount(at, np.concatenate([f[i] for f in found]).astype(np.float64), len(words))
+    return pa.table([pa.array(words.view(np.int64)), pa.array(np.concatenate(stems)[where].view(np.int64)), *(pa.array(counts[:, i]) for i in range(6))], ["gram", "stem", *_COUNTS])
+
+
+def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of bigrams to (gram, a0, a1)."""
+    for batch in batches:
+        for piece in batch.column(0):
+            delta, n0, n1 = _spread(piece.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(delta).view(np.int64)), pa.array(n0.astype(np.float64)), pa.array(n1.astype(np.float64))], names=["gram", "a0", "a1"])
 
 
 _TABLE = "kind int, gram long, " + ", ".join(f"{c} float" for c in _COUNTS)
@@ -262,15 +293,15 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> dict:
     # Most bigrams of a corpus occur in one text only: they are dealt packed, by their own hash, and only sums go on.
     parts = max(8, math.ceil((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BLOCK))
     dealt = texts.mapInArrow(lambda batches: _counted_pairs(batches, parts), "part long, piece binary")
-    summed = shared_checkpoint(dealt.groupBy("part").applyInArrow(_summed_pairs, _WORDS).mapInArrow(_packed, "piece binary")).mapInArrow(_unpacked, _WORDS)
-    words = summed.filter("kind = 0").groupBy("gram").agg(F.max("stem").alias("stem"), *[F.sum(c).alias(c) for c in _COUNTS])
-    # A context none of whose bigrams passes the discount leaves all to the lower order, as one without counts does.
-    words = words.select("gram", "stem", "a0", "a1", *[F.when(F.col(f"c{c[1]}") > 0, F.col(c)).otherwise(0.0).alias(c) for c in _COUNTS[2:]])
+    summed = shared_checkpoint(dealt.groupBy("part").applyInArrow(lambda t: _summed_pairs(t, parts), _SUMS))
+    words = summed.filter("kind = 0").groupBy("part").applyInArrow(_summed_words, _WORDS)
+    words = shared_checkpoint(words.mapInArrow(_packed, "piece binary")).mapInArrow(_unpacked, _WORDS)
     # Types: the distinct words that begin with the stem and follow another, which both classes share.
     zero = F.lit(0).cast("double")
     stems = words.filter("a0 + a1 > 0").groupBy(F.col("stem").alias("gram")).agg(F.sum("a0").alias("a0"), F.sum("a1").alias("a1"), F.count(F.lit(1)).alias("b0"))
+    pairs = summed.filter("kind = 2").select("piece").mapInArrow(_pairs_of, "gram long, a0 double, a1 double")
     counts = words.select(F.lit(0).alias("kind"), "gram", *_COUNTS)
-    counts = counts.union(stems.select(F.lit(1), "gram", "a0", "a1", "b0", zero, zero, zero)).union(summed.filter("kind = 2").select("kind", "gram", *_COUNTS))
+    counts = counts.union(stems.select(F.lit(1), "gram", "a0", "a1", "b0", zero, zero, zero)).union(pairs.select(F.lit(2), "gram", "a0", "a1", zero, zero, zero, zero))
     counts = counts.select("kind", "gram", *[F.col(c).cast("float").alias(c) for c in _COUNTS])
     counts = shared_checkpoint(counts.mapInArrow(_packed, "piece binary")).mapInArrow(_unpacked, _TABLE)
     over = lambda c: F.coalesce(F.sum(F.greatest(F.col(c) - DISCOUNT, zero)), zero)
