@@ -53,7 +53,7 @@ RUN = 5
 CALIBRATE, CALIBRATION = 5, 1500
 THRESHOLD = 0.5
 #: Bytes of text that meet the counts of their grams at once, and grams held before they are made distinct and passed on.
-BLOCK, HELD = 48 << 20, 2 << 20
+BLOCK, HELD = 16 << 20, 2 << 20
 #: First bits of a hash by which rows that cannot meet are left out before any are shuffled.
 KNOWN = 26
 #: Shards of the table that blocks ask, at most (beyond, a shard is copied for groups of blocks), and the bits that name them.
