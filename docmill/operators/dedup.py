@@ -36,19 +36,25 @@ def similar_pairs(df: DataFrame, threshold: float = 0.85, text: str = "text", se
     A prefix filter over shingles in order of rarity proposes pairs, full sets confirm them.
     Blank texts take no part.
     """
-    named = df.filter(F.trim(F.col(text)) != "").select(F.col(seq).alias("id"), F.array_sort(shingles(F.col(text), size)).alias("s"))
-    named = named.withColumn("h", F.sha2(F.array_join("s", "\x1f"), 256))
+    # Shingles as 64-bit hashes: a fraction of their bytes in every exchange.
+    hashed = F.array_sort(F.transform(shingles(F.col(text), size), lambda x: F.xxhash64(x)))
+    named = df.filter(F.trim(F.col(text)) != "").select(F.col(seq).alias("id"), hashed.alias("s"))
+    named = named.withColumn("h", F.md5(F.array_join(F.transform("s", lambda x: x.cast("string")), ",")))
     classes = named.groupBy("h").agg(F.min("id").alias("a"))
-    equal = named.join(classes, "h").filter("id != a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    equal = named.select("id", "h").join(classes, "h").filter("id != a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
     reps = cut_lineage(named.join(classes, (named["h"] == classes["h"]) & (named["id"] == classes["a"])).select("id", "s", F.size("s").alias("n")))
     tokens = reps.select("id", "n", F.explode("s").alias("t"))
     common = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     known = tokens.join(common, "t").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("k"))
     room = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1 - (F.col("n") - F.size("k"))
-    prefix = known.filter(room > 0).select("id", "n", F.explode(F.slice("k", F.lit(1), room)).alias("x")).select("id", "n", "x.t")
-    right = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "t")
+    prefix = known.filter(room > 0).select("id", "n", (F.size("k")).alias("m"), F.posexplode(F.slice("k", F.lit(1), room)).alias("i", "x"))
+    # rest: shingles from this one on, those of one text alone being before all.  A pair that first meets here shares no more than that.
+    prefix = cut_lineage(prefix.select("id", "n", (F.col("m") - F.col("i")).alias("rest"), "x.t"))
+    right = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), "t")
     near = (F.col("id") < F.col("b")) & (F.least("n", "nb") >= F.greatest("n", "nb") * threshold - 1e-9)
-    pairs = prefix.join(right, "t").filter(near).select(F.col("id").alias("a"), "b").distinct()
+    near &= F.least("rest", "rb") * (1 + threshold) >= (F.col("n") + F.col("nb")) * threshold - 1e-6
+    first = prefix.join(right, "t").filter(near).groupBy(F.col("id").alias("a"), "b").agg(F.lit(1).alias("one"))
+    pairs = first.select("a", "b")
     both = pairs.join(reps.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(reps.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     k = F.size(F.array_intersect("x", "y"))
     both = both.select("a", "b", (k / (F.size("x") + F.size("y") - k)).alias("jaccard")).filter(F.col("jaccard") >= threshold)

@@ -7,6 +7,7 @@ import calendar
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.entities import search_name
 from ..functions.keys import bare_host
 from .select import keep_first
 
@@ -69,19 +70,53 @@ def jargon(docs: DataFrame, topic: str, most: int = 20, least: int = 3, pool: in
     """(rank, term): the best terms by 10 per word plus log frequency, none part of a better one.
 
     Spark ranks; the greedy pass reads the ranking from the top on the driver, ``pool`` rows
-    at a time, until it has ``most`` terms, so it sees as many rows as it needs and no more.
+    at a time, until it has ``most`` terms, so it sees as many rows as it needs and the
+    driver holds no more than one pool.
     """
     found = document_frequency(docs, stop=STOP | set(topic.lower().split()), least=least).filter(F.length("gram") >= 4)
-    ranked = found.withColumn("score", F.size(F.split("gram", " ")) * 10 + F.log("df")).orderBy(F.desc("score"), "gram").select("gram")
+    ranked = found.select("gram", (F.size(F.split("gram", " ")) * 10 + F.log("df")).alias("score")).persist()
     chosen: list[str] = []
-    for row in ranked.toLocalIterator():
-        if not any(row["gram"] in s for s in chosen):
-            chosen.append(row["gram"])
-        if len(chosen) >= most:
+    last = None
+    while len(chosen) < most:
+        rest = ranked if last is None else ranked.filter((F.col("score") < last["score"]) | ((F.col("score") == last["score"]) & (F.col("gram") > last["gram"])))
+        rows = rest.orderBy(F.desc("score"), "gram").limit(pool).collect()
+        for row in rows:
+            if len(chosen) < most and not any(row["gram"] in s for s in chosen):
+                chosen.append(row["gram"])
+        if len(rows) < pool:
             break
+        last = rows[-1]
+    ranked.unpersist()
     return docs.sparkSession.createDataFrame([(i + 1, g) for i, g in enumerate(chosen)], "rank int, term string")
 
 
+def expand_jargon(terms: DataFrame, topic: str, years: list[int], existing: DataFrame) -> DataFrame:
+    """(query): each term (rank, term) with each year, the topic before terms that do not hold it, without ``existing`` (query)."""
+    spark = terms.sparkSession
+    each = terms.join(F.broadcast(spark.createDataFrame([(y,) for y in years], "year int")))
+    query = F.trim(F.concat(F.when(F.col("term").contains(topic.lower()), "").otherwise(f"{topic} "), "term", F.lit(" "), F.col("year").cast("string")))
+    out = keep_first(each.select("rank", "year", query.alias("query")), ["query"], [F.col("rank"), F.col("year")])
+    return out.join(existing.select("query"), "query", "left_anti").select("query")
+
+
+# Patterns of queries on a company.
+BY_TICKER = ("{0} supply chain", "{0} suppliers", "{0} customers", "{0} 10-K")
+BY_NAME = ("{0} supply chain", "{0} suppliers", "{0} customers revenue", "{0} annual report")
+
+
+def company_queries(companies: DataFrame) -> DataFrame:
+    """(company, ticker, query): four by ticker, where there is one, and four by the short name."""
+    fill = lambda patterns, c: [F.replace(F.lit(p), F.lit("{0}"), c) for p in patterns]
+    ticker = F.coalesce("ticker", F.lit(""))
+    every = F.concat(F.when(ticker != "", F.array(*fill(BY_TICKER, ticker))).otherwise(F.array().cast("array<string>")), F.array(*fill(BY_NAME, search_name(F.col("company")))))
+    return companies.select("company", ticker.alias("ticker"), F.explode(every).alias("query"))
+
+
+def pairs_of_terms(spark: SparkSession, methods: tuple[str, ...], markets: tuple[str, ...]) -> DataFrame:
+    """(query): every method with every market, two short lists."""
+    return spark.createDataFrame([(f"{m} {k}",) for m in methods for k in markets], "query string").distinct()
+
+
 def expand_queries(spark: SparkSession, topic: str, first: int, last: int) -> DataFrame:
     """(seq, query): angles by year, sites, and the patterns of the first commodity in the topic; each query once, in order."""
     years = spark.range(first, last + 1).select(F.col("id").alias("year"))

@@ -217,12 +217,16 @@ def taxonomy_topk(spark: SparkSession, sf: str) -> DataFrame:
     return top_per_key(long, ["label"], [F.desc("n_chars"), F.col("doc_id")], 7).select("label", "doc_id", "n_chars")
 
 
-@R.add(r"""WITH w AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]"
+STOP, EDGE = _LIST(mining.STOP), _LIST(mining.EDGE)
+
+
+@R.add(f"""WITH w AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT doc_id, n, w[i:i + n - 1] AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (VALUES (1), (2), (3)) t(n) WHERE len(w) >= n)),
-k AS (SELECT DISTINCT doc_id, array_to_string(g, ' ') AS gram FROM g WHERE len(list_filter(g, lambda x: length(x) > 2)) > 0 AND NOT regexp_matches(array_to_string(g, ''), '^[0-9]+$'))
-SELECT gram, count(*) AS df FROM k GROUP BY gram HAVING count(*) >= 50""")
+k AS (SELECT DISTINCT doc_id, array_to_string(g, ' ') AS gram FROM g WHERE len(list_filter(g, lambda x: length(x) > 2 AND NOT list_contains({STOP}, x))) > 0 AND NOT regexp_matches(array_to_string(g, ''), '^[0-9]+$') AND NOT list_contains({EDGE}, g[1]) AND NOT list_contains({EDGE}, g[-1]))
+SELECT gram, count(*) AS df FROM k GROUP BY gram HAVING count(*) >= 3""")
 def ngram_df(spark: SparkSession, sf: str) -> DataFrame:
-    return mining.document_frequency(table(spark, sf, "documents"), stop=(), edge=(), least=50)
+    return mining.document_frequency(table(spark, sf, "documents"))
 
 
 @R.add()
@@ -249,7 +253,9 @@ def productive_domains(spark: SparkSession, sf: str) -> DataFrame:
     return mining.productive_domains(table(spark, sf, "pages"), least=2)
 
 
-@R.add(r"""SELECT page_id, link FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '<a\s[^>]*href="([^"#][^"]*)"', 1))) AS link FROM pages) WHERE NOT regexp_matches(link, '^(?i)(javascript|mailto|tel):') AND NOT regexp_matches(link, '(?i)\.(jpg|jpeg|png|gif|svg|webp|ico|css|js|pdf|zip|mp4|mp3)$')""")
+@R.add(r"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+)')) AS a FROM pages),
+l AS (SELECT DISTINCT page_id, replace(replace(replace(trim(trim(regexp_extract(a, '(?is)href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)\z', 1), '"''')), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS link FROM a)
+SELECT page_id, link FROM l WHERE link <> '' AND NOT starts_with(link, '#') AND NOT regexp_matches(link, '^(javascript|mailto|tel):') AND NOT regexp_matches(regexp_replace(link, '[?#].*', ''), '(?i)\.(jpg|jpeg|png|gif|svg|ico|webp|bmp|css|js|woff|woff2|ttf|eot|mp3|mp4|avi|mov|wmv|flv|zip|gz|tar|rar|7z|exe|dmg|msi)$')""")
 def raw_links(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators import graph
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entities as E
 from ..operators import filters, graph
+from ..operators.resolve import inside
 from ..operators.select import distinct_in_order, keep_first, number_per_key, top_per_key
 from .common import Registry, table
 
@@ -107,14 +108,14 @@ def entity_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", E.normal_assignee(name).alias("name"))
 
 
-@R.add("""WITH s AS (SELECT s_suppkey, 'x ' || lower(s_name) || ' unit' AS holder, lower(s_name) AS exact FROM supplier), c AS (SELECT s_suppkey AS ord, lower(s_name) AS n FROM supplier WHERE s_suppkey % 3 = 0)
+@R.add("""WITH s AS (SELECT s_suppkey, 'x ' || lower(s_name) || ' unit' AS holder, lower(s_name) AS exact FROM supplier), c AS (SELECT s_suppkey AS ord, lower(s_name) AS n FROM supplier)
 SELECT s_suppkey, coalesce((SELECT max(n) FROM c WHERE n = exact AND s_suppkey % 2 = 0), (SELECT min_by(n, ord) FROM c WHERE contains(holder, n))) AS company FROM s""")
 def company_match(spark: SparkSession, sf: str) -> DataFrame:
     """Exact name, else the first company of the list whose name lies in the holder's."""
     s = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("x "), F.lower("s_name"), F.lit(" unit")).alias("holder"), F.when(F.col("s_suppkey") % 2 == 0, F.lower("s_name")).alias("exact"))
-    c = table(spark, sf, "supplier").filter("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("ord"), F.lower("s_name").alias("n"))
+    c = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("ord"), F.lower("s_name").alias("n"))
     equal = s.join(c.groupBy("n").agg(F.max("ord").alias("ord")), F.col("exact") == F.col("n"), "left").select("s_suppkey", "holder", F.col("n").alias("hit"))
-    part = equal.filter("hit IS NULL").select("s_suppkey", "holder").join(c, F.contains("holder", "n")).groupBy("s_suppkey").agg(F.min_by("n", "ord").alias("part"))
+    part = inside(equal.filter("hit IS NULL").select("s_suppkey", "holder"), "holder", c, "n").groupBy("s_suppkey").agg(F.min_by("n", "ord").alias("part"))
     return equal.join(part, "s_suppkey", "left").select("s_suppkey", F.coalesce("hit", "part").alias("company"))
 
 
@@ -126,8 +127,7 @@ def priority_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add("SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R' AND l.l_quantity > 45)")
 def nested_semi(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.struct("l_returnflag", "l_quantity")).alias("ls"))
-    hit = lines.filter(F.exists("ls", lambda x: (x["l_returnflag"] == "R") & (x["l_quantity"] > 45)))
+    hit = table(spark, sf, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 45")
     return table(spark, sf, "orders").join(hit, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey")
 
 
@@ -140,11 +140,13 @@ def inverted_index(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("item_id", F.array_join(F.transform("p", lambda x: x["word"]), " ").alias("text"))
 
 
-@R.add("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS src, (c_nationkey * 7 + c_custkey) % 25 AS dst FROM customer WHERE c_custkey % 50 = 0),
-b AS (SELECT 0 AS node, 0 AS depth UNION SELECT CAST(e.dst AS INTEGER), b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 3) SELECT CAST(node AS BIGINT) AS node, min(depth) AS depth FROM b GROUP BY node""")
+@R.add("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, -l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT -l_suppkey, l_partkey FROM lineitem),
+b AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 3) SELECT node, min(depth) AS depth FROM b GROUP BY node""")
 def bfs_frontier(spark: SparkSession, sf: str) -> DataFrame:
-    edges = table(spark, sf, "customer").filter("c_custkey % 50 = 0").select(F.col("c_nationkey").cast("long").alias("src"), ((F.col("c_nationkey") * 7 + F.col("c_custkey")) % 25).cast("long").alias("dst")).distinct()
-    return graph.bfs(edges, spark.range(1).select(F.col("id").alias("node"), F.lit(0).alias("seed")), 3).select("node", "depth")
+    """Parts and their suppliers (negative), from part 1, to depth 3."""
+    pairs = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst")).distinct()
+    edges = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return graph.bfs(edges, spark.range(1, 2).select(F.col("id").alias("node"), F.lit(0).alias("seed")), 3).select("node", "depth")
 
 
 @R.add("SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, CAST(round(sum(value), 4) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
@@ -174,13 +176,40 @@ def as_of_join(spark: SparkSession, sf: str) -> DataFrame:
     return out.filter("event_type <> 'purchase'").select("event_id", "before")
 
 
-@R.add()
+_LOG = "SELECT 'u' || user_id AS domain, event_id AS seq, [429, 403, 500, 200, 404][CAST(event_id % 5 AS INTEGER) + 1] AS status FROM events"
+_FOLD = """WITH RECURSIVE l AS ({log}), n AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY seq) AS i FROM l),
+f AS (SELECT domain, CAST(0 AS BIGINT) AS i, CAST({start} AS DOUBLE) AS d FROM (SELECT DISTINCT domain FROM l) UNION ALL
+SELECT f.domain, n.i, {step} FROM f JOIN n ON n.domain = f.domain AND n.i = f.i + 1)
+SELECT domain, round(arg_max(d, i), 9) AS delay, CAST(max(i) AS INTEGER) AS n FROM f GROUP BY domain"""
+
+
+def _fetch_log(spark: SparkSession, sf: str) -> DataFrame:
+    status = F.element_at(F.array(*[F.lit(x) for x in (429, 403, 500, 200, 404)]), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, sf, "events").select(F.concat(F.lit("u"), "user_id").alias("domain"), F.col("event_id").alias("seq"), status.alias("status"), F.lit(None).cast("double").alias("retry_after"))
+
+
+@R.add(_FOLD.format(log=_LOG, start="0", step="CASE WHEN status < 400 THEN d / 2 WHEN status = 429 THEN least(30, (CASE d WHEN 0 THEN 1 ELSE d END) * 2) WHEN status = 403 THEN least(30, (CASE d WHEN 0 THEN 1 ELSE d END) * 1.5) WHEN status >= 500 THEN least(30, (CASE d WHEN 0 THEN 1 ELSE d END) * 1.25) ELSE d END"))
 def throttle_states(spark: SparkSession, sf: str) -> DataFrame:
     from ..streaming.throttle import fold_delays
 
-    kind = F.col("event_id") % 4
-    log = table(spark, sf, "events").select(F.concat(F.lit("u"), "user_id").alias("domain"), F.col("event_id").alias("seq"), F.when(kind == 0, 429).when(kind == 1, 403).when(kind == 2, 500).otherwise(200).alias("status"), F.lit(None).cast("double").alias("retry_after"))
-    return fold_delays(log)
+    return fold_delays(_fetch_log(spark, sf)).withColumn("delay", F.round("delay", 9))
+
+
+@R.add(_FOLD.format(log=_LOG, start="1", step="CASE WHEN status < 400 THEN greatest(1, d * 0.75) WHEN status = 429 THEN least(60, d * 3) WHEN status IN (401, 403) THEN least(60, d * 2) WHEN status >= 500 THEN least(60, d * 1.5) ELSE d END"))
+def throttle_sync(spark: SparkSession, sf: str) -> DataFrame:
+    from ..streaming.throttle import fold_sync_delays
+
+    return fold_sync_delays(_fetch_log(spark, sf)).withColumn("delay", F.round("delay", 9))
+
+
+@R.add("""WITH s AS (SELECT event_id, user_id, event_id % 3 = 0 AS limited, event_id % 4 AS results FROM events),
+c AS (SELECT *, coalesce(max(CASE WHEN NOT limited AND results > 0 THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS came FROM s)
+SELECT c.event_id, CAST(least(120, 15 * count(x.event_id)) AS BIGINT) AS cooldown FROM c LEFT JOIN s x ON x.user_id = c.user_id AND x.limited AND x.event_id > c.came AND x.event_id < c.event_id GROUP BY c.event_id""")
+def search_cooldowns(spark: SparkSession, sf: str) -> DataFrame:
+    from ..streaming.throttle import cooldowns
+
+    searches = table(spark, sf, "events").select("event_id", "user_id", (F.col("event_id") % 3 == 0).alias("limited"), (F.col("event_id") % 4).alias("results"))
+    return cooldowns(searches, "user_id", "event_id").select("event_id", F.col("cooldown").cast("long").alias("cooldown"))
 
 
 QUERIES, ORACLE_SQL = R.queries, R.sql

@@ -1 +1 @@
-"""See the package README."""
+"""Readers of landed files, and the row functions behind them."""
