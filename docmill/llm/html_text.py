@@ -30,8 +30,8 @@ from .common import table
 from .labelled_pages import PAGES
 
 _TOKEN = re.compile(
-    r"""<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|head)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"""
-    r"""|<(?P<tag>/?[a-zA-Z][a-zA-Z0-9:-]*|[!?])(?P<rest>(?:"[^"]*"|'[^']*'|[^'">])*)(?P<end>>|\Z)|(?P<text>[^<]+|<)""",
+    r"""<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"""
+    r"""|<(?P<tag>/?[a-zA-Z][a-zA-Z0-9:-]*|[!?])(?P<rest>(?:"[^"]*"|'[^']*'|[^'">])*)(?P<end>>|\Z)|<(?P<torn>/?[a-zA-Z][a-zA-Z0-9:-]*)[^>]*(?:>|\Z)|(?P<text>[^<]+|<)""",
     re.S | re.I,
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -52,14 +52,22 @@ _BY_NAME = tuple((kind, re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I
     ("form", "form|search|login|signup|register"),
     ("article", "article|content|main|post|entry|story|body-text|post-body|entry-content"),
 ))
+#: Parts of a name that say what a wrapper has or holds, not what it is.
+_ABOUT = frozenset("has with without no not layout page wrapper wrap container grid col row body main content is".split())
+#: Elements that hold the whole page or its main text, whatever their names say besides.
+_WHOLE = frozenset(("html", "body", "main", "article"))
 _APART = frozenset(("comments", "advert", "notice", "menu", "sidebar", "footer", "header", "form"))
 
 
 def _kind(tag: str, rest: str) -> str | None:
     if rest and (m := _NAMED.findall(rest)):
-        names = " ".join(a or b or c for a, b, c in m)
+        names = " ".join(a or b or c for a, b, c in m).split()
+        told = [n for n in names if not _ABOUT.intersection(re.split("[-_]", n.lower())[:-1])]
+        if tag in _WHOLE:
+            # One comment or one advert may be an article of its own; other names of an article are its topics.
+            told = [n for n in told if n.lower() in ("comment", "comments", "reply", "advert", "ad", "sponsored", "promo")] if tag == "article" else []
         for kind, pattern in _BY_NAME:
-            if pattern.search(names):
+            if any(pattern.search(n) for n in told):
                 return kind
     return _BY_ELEMENT.get(tag)
 
@@ -71,10 +79,10 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool]]:
     for m in _TOKEN.finditer(page):
         if m["text"]:
             yield "text", f"word:{kind}", m["text"], apart
-        elif m["tag"]:
-            if not m["end"] and m.end() == len(page):
+        elif m["tag"] or m["torn"]:
+            if m.end() == len(page) and not page.endswith(">"):
                 return
-            tag = m["tag"].lower()
+            tag = (m["tag"] or m["torn"]).lower()
             if tag in "!?":
                 continue
             closing, name = tag[0] == "/", tag.lstrip("/")
@@ -85,11 +93,13 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool]]:
                     if any(t == name for t, _ in stack):
                         while stack.pop()[0] != name:
                             pass
-                elif not m["rest"].endswith("/"):
-                    found = _kind(name, m["rest"])
+                elif not (m["rest"] or "").endswith("/"):
+                    found = _kind(name, m["rest"] or "")
                     # A heading's header inside an article is part of the article.
                     stack.append((name, None if found == "header" and kind == "article" else found))
-                kinds = [k for _, k in stack if k]
+                # What is around the main element says nothing of what is in it.
+                inner = max((i for i, (t, _) in enumerate(stack) if t == "main"), default=0)
+                kinds = [k for _, k in stack[inner:] if k]
                 apart = any(k in _APART for k in kinds)
                 kind = next((k for k in reversed(kinds) if k in _APART), None) or (kinds[-1] if kinds else "page")
             if name in _BLOCKS:

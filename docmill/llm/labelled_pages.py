@@ -14,4 +14,19 @@ PAGES = (
     <form action="/join"><p>Join our newsletter</p><input type="text"></form><div class="promo">Great offers</div><footer>Terms and privacy</footer></body></html>""",
     """<html><body><nav><a href="/x">Shop</a><a href="/y">Cart</a></nav><!--main--><article><h1>Short note</h1><p>All is well.</p></article><!--/main-->
     <div class="related"><p><a href="/r">See also this</a></p><p><a href="/s">And that</a></p></div><div class="ad">Sponsored: new shoes</div><footer>&copy; Notes</footer></body></html>""",
+    """<!doctype html><html><head><title>On tides</title><meta charset="utf-8"><body class="single has-sidebar"><div id="page"><div class="masthead"><a href="/">Coast log</a></div>
+    <div class="layout-with-sidebar"><main><!--main--><article class="post tags-sea social"><header><h1>On tides</h1><p>By A. Bell</p></header><p>Twice a day the sea comes up the wall.</p>
+    <p>We mark its height <em>by hand</em>, as we always did, and write it down.</p><figure><figcaption>The wall at noon</figcaption></figure><h2>Since May</h2><p>It was never so high.</p></article><!--/main--></main>
+    <div class="widget recent"><h3>Recent</h3><ul><li><a href="/1">Boats</a></li><li><a href="/2">Nets</a></li></ul></div></div><div id="comments"><article class="comment"><p>Lovely.</p></article>
+    <article class="comment"><p>I saw it too.</p></article></div><div class="site-footer">Coast log, all rights</div></div></body></html>""",
+    """<html><body bgcolor=white><table width=100%><tr><td colspan=2><a href=/>Top</a> | <a href=/map>Map</a> | <a href=/help>Help</a></td></tr><tr><td class="menu"><a href=/1>One</a><br><a href=/2>Two</a><br>
+    <a href=/3>Three</a></td><td><!--main--><h2>Old mill</h2><p>The mill was built of brick in the year of the flood, and it has stood since.<p>Its wheel turned until the river was moved.
+    <p>Visitors may go in on Sundays.<!--/main--></td></tr></table><center><font size=1><a href=/c>Contact</a> Last changed in June</font></center></body></html>""",
+    """<html><body><div class="topbar"><a href="/">Docs</a><a href="/api">API</a></div><div class="breadcrumbs"><a href="/">Home</a> / <a href="/g">Guide</a></div><div class="sidebar"><ul><li><a href="/i">Install</a></li>
+    <li><a href="/u">Use</a></li></ul></div><div role="main"><!--main--><section><h1>Install</h1><p>Unpack the archive and run the script that lies in it.</p><pre>sh setup.sh</pre><ol><li>Choose a folder.</li><li>Wait.</li></ol>
+    <p>Then read the next chapter.</p></section><!--/main--></div><div class="pager"><a href="/p">Previous</a><a href="/n">Next</a></div><footer>Built with care</footer></body></html>""",
+    """<html><body><div class="cookie-consent"><p>This site uses cookies to count visits.</p><button>Fine</button></div><div class="nav-wrapper"><nav><a href="/a">News</a><a href="/b">Sport</a></nav></div><div class="story-body"><!--main-->
+    <h1>Bridge closed</h1><p class="lead">The bridge over the valley was closed on Friday after a check found cracks.</p><p>It may take weeks to mend, said the office for roads.</p><!--/main--><div class="ad-slot">Cheap tyres here</div><!--main-->
+    <p>Buses go round by the lake.</p><!--/main--></div><div class="share-buttons"><a href="#">Share</a><a href="#">Mail</a></div><div class="newsletter"><form><p>Get our letter every morning</p><input></form></div>
+    <aside><h4>More</h4><p><a href="/x">Lake road full</a></p></aside><footer><p>Imprint, privacy, terms</p></footer></body></html>""",
 )

@@ -3,8 +3,8 @@
 Base patterns (assignments, access identifiers, long hex runs) are always reported.
 Weak candidates, runs that could be a secret but often are not (short hex runs, mixed
 base64 runs, values of looser assignments, passwords inside URLs), are reported only
-when complementary parts lie within ``SCOPE`` code points: an access identifier or user
-name, or an endpoint.
+when both complementary parts lie within ``SCOPE`` code points: an access identifier or
+user name, and an endpoint.
 
 The interval join works on cells of ``SCOPE`` code points within a document.  For each
 cell and role only the least start and the greatest end of the parts that touch it are
@@ -12,7 +12,7 @@ kept; that decides exactly whether a part overlaps an interval that reaches into
 cell, so neither pairs nor more than a few rows per candidate arise, even in a document
 full of parts.
 
-Nulls and edge cases: a null or empty text has no spans; texts of any length are read
+Patterns that overlap a base span are no candidates.  Nulls and edge cases: a null or empty text has no spans; texts of any length are read
 whole; equal rows get equal results; a null doc_id is kept; other columns are ignored.
 """
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import empty_spans, find_spans, row_key, table
+from .common import empty_spans, find_spans, row_key, shared_checkpoint, table
 
 #: The base patterns.  Letters of the key words count in either case.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -37,9 +37,10 @@ WEAK = (
     r"(?<![0-9A-Za-z])(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{16,23}(?![0-9A-Za-z])"
     r"|(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])[A-Za-z0-9+/]{32,}={0,2}"
     r"|(?i:\b(?:pwd|pass|passphrase|private_?key|credential|auth)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.-]{6,})"
+    r"|(?<=://[A-Za-z0-9._-]{1,40}:)[^\s/@:\"'<>]{6,}(?=@[A-Za-z0-9])"
 )
 #: Complementary parts.
-IDENTIFIER = r"AKIA[A-Z0-9]{16,}|(?i:\b(?:access_?key(?:_?id)?|client_?id|account|user(?:_?name)?|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{3,})"
+IDENTIFIER = r"AKIA[A-Z0-9]{16,}|(?i:\b(?:access_?key(?:_?id)?|client_?id|account|user(?:_?name)?|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{3,})|(?<=://)[A-Za-z0-9._-]{1,40}(?=:[^\s/@:\"'<>]+@)"
 ENDPOINT = r"(?i:\b[a-z][a-z0-9+]{1,15}://[^\s\"'<>]{3,}|\b(?:host|endpoint|server|url)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{3,})"
 SCOPE = 200
 
@@ -64,21 +65,25 @@ def scan(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 
 def link(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(row_key, linked): the weak candidates with an identifier or an endpoint within ``scope`` code points."""
-    rows = scanned.filter((F.size("weak") > 0) & ((F.size("identifiers") > 0) | (F.size("endpoints") > 0)))
-    rows = rows.select("row_key", "weak", F.concat("identifiers", "endpoints").alias("parts"))
+    """(row_key, linked): the weak candidates with an identifier and an endpoint within ``scope`` code points."""
+    rows = scanned.filter((F.size("weak") > 0) & (F.size("identifiers") > 0) & (F.size("endpoints") > 0))
     cells = lambda s, e: F.explode(F.sequence(F.floor(s / scope), F.floor(e / scope)))
     weak = rows.select("row_key", F.explode("weak").alias("w")).distinct()
     weak = weak.select("row_key", "w", cells(F.col("w.s") - scope, F.col("w.e") + scope).alias("cell"))
-    parts = rows.select("row_key", F.explode("parts").alias("p")).select("row_key", "p", cells(F.col("p.s"), F.col("p.e")).alias("cell"))
-    parts = parts.groupBy("row_key", "cell").agg(F.min("p.s").alias("first"), F.max("p.e").alias("last"))
+    parts = rows.select("row_key", F.explode(F.array(F.struct(F.lit(0).alias("role"), F.col("identifiers").alias("spans")), F.struct(F.lit(1).alias("role"), F.col("endpoints").alias("spans")))).alias("x"))
+    parts = parts.select("row_key", "x.role", F.explode("x.spans").alias("p")).select("row_key", "role", "p", cells(F.col("p.s"), F.col("p.e")).alias("cell"))
+    parts = parts.groupBy("row_key", "role", "cell").agg(F.min("p.s").alias("first"), F.max("p.e").alias("last"))
     near = (F.col("first") <= F.col("w.e") + scope) & (F.col("last") >= F.col("w.s") - scope)
-    return weak.join(parts, ["row_key", "cell"]).filter(near).groupBy("row_key").agg(F.array_sort(F.collect_set("w")).alias("linked"))
+    met = weak.join(parts, ["row_key", "cell"]).filter(near).groupBy("row_key", "w").agg(F.countDistinct("role").alias("roles"))
+    return met.filter("roles = 2").groupBy("row_key").agg(F.array_sort(F.collect_list("w")).alias("linked"))
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per document row: doc_id, the columns of ``carry``, row_key, assign, access, hex and linked, arrays of (s, e) in code points."""
-    scanned = scan(docs, carry)
+    """Per document row: doc_id, the columns of ``carry``, row_key, assign, access, hex and linked, arrays of (s, e) in code points.
+
+    Texts are scanned once; what is linked works on the spans.
+    """
+    scanned = shared_checkpoint(scan(docs, carry))
     found = link(scanned, scope)
     joined = scanned.alias("a").join(found.alias("b"), "row_key", "left")
     return joined.select("doc_id", *carry, "row_key", *BASE, F.coalesce("linked", empty_spans()).alias("linked"))

@@ -135,9 +135,44 @@ def test_html():
     assert html_text.main_text("<article><p>cut of") == "cut of" and html_text.main_text("<article><p>cut<di") == "cut"
 
 
+def test_html_of_other_layouts(spark):
+    """Optional end tags, names of wrappers and topics, stray quotes; and rows that are null, empty or repeated."""
+    body = "<p>The sea came up the wall on Monday.</p><p>Nobody had seen it so high.</p>"
+    text = "The sea came up the wall on Monday.\nNobody had seen it so high."
+    assert html_text.main_text(f"<html><head><title>T</title><body><article>{body}</article></body></html>") == text
+    assert html_text.main_text(f'<html><body class="has-sidebar"><article>{body}</article></body></html>') == text
+    assert html_text.main_text(f'<div class="layout-with-sidebar"><main>{body}</main></div>') == text
+    assert html_text.main_text(f'<article class="post tags-news social">{body}</article>') == text
+    assert html_text.main_text('<article><p>Alpha <a title="x>beta gamma</p></article>') in ("Alpha beta gamma", "Alpha")
+    rows = [(1, "u", f"<article>{body}</article>", 1), (1, "u", f"<article>{body}</article>", 2), (None, None, None, 3), (2, "v", "", 4), (3, "w", "<p>" * 50_000, 5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    found = sorted(((r.page_id, r.text) for r in html_text.extract(df).collect()), key=str)
+    assert found == sorted([(1, text), (1, text), (None, ""), (2, ""), (3, "")], key=str)
+
+
+def test_linked_spans_equal_brute_force(spark):
+    """Every weak candidate with an identifier and an endpoint within the scope, and no other; passwords in addresses among them."""
+    rng = random.Random(12)
+    parts = ["user=bob", "login: anna", "https://h.example/x", "host=db1", "0123456789abcdef0", "pwd=hunter22", "postgres://bob:hunter22secret@db.example", "AKIA" + "B" * 16, "token=abcdefgh", "words and words " * 6]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(120)] + ["postgres://bob:hunter22secret@db.example", "", None, "pwd=hunter22 " * 300 + "user=bob"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scanned = {r.doc_id: r for r in secrets.scan(df).collect()}
+    hits = 0
+    for r in secrets.find_secrets(df).collect():
+        s, near = scanned[r.doc_id], lambda w, ps: any(p.s <= w.e + secrets.SCOPE and p.e >= w.s - secrets.SCOPE for p in ps)
+        expected = sorted({(w.s, w.e) for w in s.weak if near(w, s.identifiers) and near(w, s.endpoints)})
+        assert [tuple(x) for x in r.linked] == expected
+        hits += len(expected)
+    assert hits > 50 and [(w.s, w.e) for w in scanned[120].weak] == [(15, 29)]
+
+
 def test_media(spark):
+    told = texts(spark)
     for r in media.op8_media(spark, SF).collect():
-        assert r.payload_bytes % 64 == 0 and r.n_bytes <= r.payload_bytes < r.n_bytes + 65
+        t = told[r.doc_id].encode()
+        whole = t + bytes(-len(t) % 64 if t else 64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(t), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media.to_media(t)[0]), hashlib.sha256(media.to_media(t)[0]).hexdigest())
     raw = bytes(range(256)) * 2000
     assert b"".join(media.chunks(raw)) == raw and max(map(len, media.chunks(raw))) <= media.MOST
     df = spark.createDataFrame([(1, None), (2, ""), (3, LONG), (4, LONG)], "doc_id long, text string")
