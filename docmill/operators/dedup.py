@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import content_hash, url_hash
-from ..functions.text import shingles
+from ..functions.text import shingle_hashes
 from .select import keep_first
 
 
@@ -37,7 +37,7 @@ def similar_pairs(df: DataFrame, threshold: float = 0.85, text: str = "text", se
     Blank texts take no part.
     """
     # Shingles as 64-bit hashes: a fraction of their bytes in every exchange.
-    hashed = F.array_sort(F.transform(shingles(F.col(text), size), lambda x: F.xxhash64(x)))
+    hashed = F.array_sort(shingle_hashes(F.col(text), size))
     named = df.filter(F.trim(F.col(text)) != "").select(F.col(seq).alias("id"), hashed.alias("s"))
     named = named.withColumn("h", F.md5(F.array_join(F.transform("s", lambda x: x.cast("string")), ",")))
     classes = named.groupBy("h").agg(F.min("id").alias("a"))
