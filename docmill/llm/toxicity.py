@@ -46,14 +46,14 @@ from .quality import sample
 from .tokens import OUTSIDE_WORDS, hashed_texts, hashed_words, mix
 
 STEM = 5
-#: Kneser-Ney's absolute discount.  What one text alone says counts for nothing.
+#: Kneser-Ney's absolute discount (a multiple of a half).  What one text alone says counts for nothing.
 DISCOUNT = 1.5
 RUN = 5
 #: One labelled text in so many calibrates, at most so many of each class.
 CALIBRATE, CALIBRATION = 5, 1500
 THRESHOLD = 0.5
 #: Bytes of text that meet the counts of their grams at once, and grams held before they are made distinct and passed on.
-BLOCK, HELD = 16 << 20, 2 << 20
+BLOCK, HELD = 16 << 20, 1 << 20
 #: First bits of a hash by which rows that cannot meet are left out before any are shuffled.
 KNOWN = 26
 #: Shards of the table that blocks ask, at most (beyond, a shard is copied for groups of blocks), and the bits that name them.
@@ -84,7 +84,7 @@ def _chunks(texts: list[bytes | None]) -> Iterator[list[bytes]]:
     for t in texts:
         part.append((t or b"").translate(_PLAIN))
         size += len(part[-1])
-        if size > 2 << 20:
+        if size > 1 << 20:
             yield part
             part, size = [], 0
     if part:
@@ -438,14 +438,15 @@ def evidence_of(docs: DataFrame, model: dict, carry: tuple[str, ...]) -> DataFra
     def answer(wanted: pa.Table, counts: pa.Table) -> pa.Table:
         columns = [np.concatenate(c) for c in zip(*(_spread(p.as_py()) for p in counts["counts"]), strict=True)] or [np.empty(0, np.uint64)] * 7
         keys, first = np.unique(columns[0], return_index=True)
-        values = np.column_stack([c.view(np.float64)[first] for c in columns[1:]]).reshape(-1, 6)
-        pieces = [_squeeze(*_found(keys, values, np.cumsum(_spread(p.as_py())[0])).T) for p in wanted["piece"]]
+        values = np.column_stack([c.view(np.int64)[first] / 2 for c in columns[1:]]).reshape(-1, 6)
+        # All counts are multiples of a half (DISCOUNT is one): as small whole numbers they take a byte or two.
+        pieces = [_squeeze(*np.rint(2 * _found(keys, values, np.cumsum(_spread(p.as_py())[0]))).astype(np.int64).T) for p in wanted["piece"]]
         return pa.table([wanted["_block"], wanted["shard"], pa.chunked_array(pieces, pa.binary())], ["_block", "shard", "values"])
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy().view(np.uint64)
-            values = [c.to_numpy().astype(np.float64) for c in batch.columns[1:]]
+            values = [np.rint(2 * c.to_numpy().astype(np.float64)).astype(np.int64) for c in batch.columns[1:]]
             shard = _shard(keys, shards)
             for k in np.unique(shard):
                 mine = np.flatnonzero(shard == k)
@@ -462,7 +463,7 @@ def evidence_of(docs: DataFrame, model: dict, carry: tuple[str, ...]) -> DataFra
         values = np.zeros((len(keys), 6))
         shard = _shard(keys, shards)
         for k, piece in zip(answers["shard"].to_pylist(), answers["values"], strict=True):
-            values[np.searchsorted(shard, k) : np.searchsorted(shard, k + 1)] = np.column_stack([c.view(np.float64) for c in _spread(piece.as_py())])
+            values[np.searchsorted(shard, k) : np.searchsorted(shard, k + 1)] = np.column_stack([c.view(np.int64) / 2 for c in _spread(piece.as_py())])
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
         parts = []
