@@ -54,6 +54,18 @@ def shared_checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return freeing(df).checkpoint(eager=eager)
 
 
+def drop_checkpoint(df: DataFrame) -> None:
+    """Delete the files of a frame that ``shared_checkpoint`` returned, once nothing will read it again.
+
+    Spark itself deletes them, if at all, when the driver's collector finds the frame gone.
+    """
+    spark = df.sparkSession
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only.  ``lower`` has a fast path for pure ASCII, where both agree."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 
 WHITE_BYTES = np.zeros(256, bool)
 WHITE_BYTES[[0x20, *range(0x09, 0x0E)]] = True
@@ -27,6 +30,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values.  By sorting: NumPy's own way may hash, at ten times the time and memory for millions of keys."""
+    x = np.sort(x)
+    return x[np.concatenate((np.ones(min(len(x), 1), bool), x[1:] != x[:-1]))]
+
+
 def bounds(raw: np.ndarray, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends of the maximal runs of bytes that ``outside`` does not mark."""
     gap = np.ones(len(raw) + 2, bool)

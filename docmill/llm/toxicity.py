@@ -41,9 +41,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .calibration import fit_logistic, held_out
-from .common import freeing, shared_checkpoint, table
+from .common import drop_checkpoint, freeing, shared_checkpoint, table
 from .quality import sample
-from .tokens import OUTSIDE_WORDS, hashed_texts, hashed_words, mix
+from .tokens import OUTSIDE_WORDS, distinct, give_back, hashed_texts, hashed_words, mix
 
 STEM = 5
 #: Kneser-Ney's absolute discount (a multiple of a half).  What one text alone says counts for nothing.
@@ -52,8 +52,10 @@ RUN = 5
 #: One labelled text in so many calibrates, at most so many of each class.
 CALIBRATE, CALIBRATION = 5, 1500
 THRESHOLD = 0.5
-#: Bytes of text that meet the counts of their grams at once, and grams held before they are made distinct and passed on.
-BLOCK, HELD = 16 << 20, 1 << 20
+#: Bytes of text that meet the counts of their grams at once, and that a part of the counted bigrams stands for.
+BLOCK, PART = 16 << 20, 16 << 20
+#: Grams held before they are made distinct and passed on.
+HELD = 1 << 20
 #: First bits of a hash by which rows that cannot meet are left out before any are shuffled.
 KNOWN = 26
 #: Shards of the table that blocks ask, at most (beyond, a shard is copied for groups of blocks), and the bits that name them.
@@ -154,6 +156,7 @@ def _counted_pairs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa
             if size > HELD:
                 yield from flush()
                 held, size = [], 0
+                give_back()
     if size:
         yield from flush()
 
@@ -196,7 +199,7 @@ def _summed_pairs(table_: pa.Table, parts: int) -> pa.Table:
         stems.append(stem)
     named, where = np.unique(np.concatenate(named), return_index=True)
     stems = np.concatenate(stems)[where]
-    words = np.unique(np.concatenate([*firsts, *seconds]))
+    words = distinct(np.concatenate([*firsts, *seconds]))
     first, second = (np.searchsorted(words, np.concatenate(x)) for x in (firsts, seconds))
     code, at = np.unique(first * len(words) + second, return_inverse=True)
     n = np.column_stack([np.bincount(at, np.concatenate(counts)[:, y], len(code)) for y in (0, 1)])
@@ -215,6 +218,7 @@ def _summed_pairs(table_: pa.Table, parts: int) -> pa.Table:
     for k in range(parts):
         i, j, g = of_stem == k, of_word == k, of_begun == k
         out.append((0, k, _squeeze(_delta(named[i]), stems[i], _delta(words[j]), *a[j].T.astype(np.int64), _delta(words[begun][g]), *(x for y in (b, c) for x in y[begun][g].T))))
+    give_back()
     return pa.table([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()), pa.chunked_array([o[2] for o in out], pa.binary())], ["kind", "part", "piece"])
 
 
@@ -291,11 +295,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> dict:
         return {"constant": 1.0 if 1 in size else 0.0}
     texts = _counted_texts(docs, known.filter(fold != 0))
     # Most bigrams of a corpus occur in one text only: they are dealt packed, by their own hash, and only sums go on.
-    parts = max(8, math.ceil((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BLOCK))
+    parts = max(8, math.ceil((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / PART))
     dealt = texts.mapInArrow(lambda batches: _counted_pairs(batches, parts), "part long, piece binary")
     summed = shared_checkpoint(dealt.groupBy("part").applyInArrow(lambda t: _summed_pairs(t, parts), _SUMS))
     words = summed.filter("kind = 0").groupBy("part").applyInArrow(_summed_words, _WORDS)
-    words = shared_checkpoint(words.mapInArrow(_packed, "piece binary")).mapInArrow(_unpacked, _WORDS)
+    kept_words = shared_checkpoint(words.mapInArrow(_packed, "piece binary"))
+    words = kept_words.mapInArrow(_unpacked, _WORDS)
     # Types: the distinct words that begin with the stem and follow another, which both classes share.
     zero = F.lit(0).cast("double")
     stems = words.filter("a0 + a1 > 0").groupBy(F.col("stem").alias("gram")).agg(F.sum("a0").alias("a0"), F.sum("a1").alias("a1"), F.count(F.lit(1)).alias("b0"))
@@ -304,6 +309,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> dict:
     counts = counts.union(stems.select(F.lit(1), "gram", "a0", "a1", "b0", zero, zero, zero)).union(pairs.select(F.lit(2), "gram", "a0", "a1", zero, zero, zero, zero))
     counts = counts.select("kind", "gram", *[F.col(c).cast("float").alias(c) for c in _COUNTS])
     counts = shared_checkpoint(counts.mapInArrow(_packed, "piece binary")).mapInArrow(_unpacked, _TABLE)
+    for done in (summed, kept_words):
+        drop_checkpoint(done)
     over = lambda c: F.coalesce(F.sum(F.greatest(F.col(c) - DISCOUNT, zero)), zero)
     sums = {r["kind"]: r for r in counts.filter("kind < 2").groupBy("kind").agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in ("a0", "a1", "b0")], over("a0").alias("o0"), over("a1").alias("o1"), F.count(F.lit(1)).alias("n")).collect()}
     of_words, of_stems = (sums.get(k) or {"a0": 0.0, "a1": 0.0, "b0": 0.0, "o0": 0.0, "o1": 0.0, "n": 0} for k in (0, 1))
@@ -374,12 +381,12 @@ def evidence(texts: list[bytes], keys: np.ndarray, values: np.ndarray, model: di
 
 def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(_block, _data, ...) to (_block, piece): what a batch has of each block, compressed together."""
-    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
     for batch in batches:
         blocks = batch.column(0).to_numpy()
         order = np.argsort(blocks, kind="stable")
         ends = np.append(np.flatnonzero(np.diff(blocks[order])) + 1, len(blocks)) if len(blocks) else []
-        plain = pa.array([(t or b"").translate(_PLAIN) for t in batch.column(1).to_pylist()], pa.binary())
+        plain = pa.array((b" ".join((t.as_py() or b"").translate(_PLAIN).split()) for t in batch.column(1)), pa.binary())
         rows = pa.table([plain, *batch.columns[2:]], batch.schema.names[1:])
         found, pieces, begin = [], [], 0
         for end in ends:
@@ -389,6 +396,8 @@ def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             found.append(blocks[order[begin]])
             pieces.append(out.getvalue().to_pybytes())
             begin = end
+        del plain, rows
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(pieces, pa.binary())], names=["_block", "piece"])
 
 
@@ -406,10 +415,10 @@ def _block_keys(pieces: pa.ChunkedArray, known: np.ndarray, shards: int) -> np.n
             inner = np.ones(len(pairs), bool)
             inner[first[1:-1][(first[1:-1] > 0) & (first[1:-1] < len(words))] - 1] = False
             mine = np.concatenate([words, stems, pairs[inner]])
-            held.append(np.unique(mine[_has(known, mine)]))
+            held.append(distinct(mine[_has(known, mine)]))
             if sum(map(len, held)) > HELD:
-                out, held = np.unique(np.concatenate([out, *held])), []
-    out = np.unique(np.concatenate([out, *held]))
+                out, held = distinct(np.concatenate([out, *held])), []
+    out = distinct(np.concatenate([out, *held]))
     return out[np.argsort(_shard(out, shards), kind="stable")]
 
 
@@ -433,6 +442,8 @@ def evidence_of(docs: DataFrame, model: dict, carry: tuple[str, ...]) -> DataFra
         begins = np.searchsorted(shard, np.arange(shards + 1))
         there = np.flatnonzero(np.diff(begins))
         pieces = [_squeeze(_delta(keys[begins[k] : begins[k + 1]])) for k in there]
+        del keys, shard
+        give_back()
         return pa.table([pa.array(there, pa.int64()), pa.array([block % salts] * len(there), pa.int64()), pa.array([block] * len(there), pa.int64()), pa.chunked_array(pieces, pa.binary())], ["shard", "salt", "_block", "piece"])
 
     def answer(wanted: pa.Table, counts: pa.Table) -> pa.Table:
@@ -448,7 +459,7 @@ def evidence_of(docs: DataFrame, model: dict, carry: tuple[str, ...]) -> DataFra
             keys = batch.column(0).to_numpy().view(np.uint64)
             values = [np.rint(2 * c.to_numpy().astype(np.float64)).astype(np.int64) for c in batch.columns[1:]]
             shard = _shard(keys, shards)
-            for k in np.unique(shard):
+            for k in distinct(shard):
                 mine = np.flatnonzero(shard == k)
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), _squeeze(keys[mine], *(v[mine] for v in values))], names=["shard", "counts"])
 
@@ -471,6 +482,7 @@ def evidence_of(docs: DataFrame, model: dict, carry: tuple[str, ...]) -> DataFra
             texts = _texts_of(piece)
             found = np.concatenate([evidence(t, keys, values, small) for t in _chunks(texts["_data"].to_pylist())])
             parts.append(pa.table([*texts.columns[1:], *(pa.array(found[:, i]) for i in range(3))], [*carry, "mean", "run", "top"]))
+        give_back()
         return pa.concat_tables(parts)
 
     return rows.groupBy("_block").cogroup(held.groupBy("_block")).applyInArrow(run, schema)
