@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_checkpoint, table
-from .tokens import WHITE_BYTES, hashed_words, mix, odd
+from .tokens import WHITE_BYTES, distinct, hashed_words, mix, odd
 
 WORDS = 4
 BANDS, ROWS = 30, 5
@@ -57,7 +57,7 @@ def shingle_set(data: bytes | None, words: int = WORDS) -> np.ndarray:
     total = np.full(n - k + 1, k, np.uint64)
     for j in range(k):
         total += hashes[j : n - k + 1 + j] * _COMBINE[j]
-    return np.unique(mix(total))
+    return distinct(mix(total))
 
 
 _STARTS: dict[int, np.ndarray] = {}
