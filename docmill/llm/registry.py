@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, html_text, media, minhash, mixing, quality, secrets, substrings, toxicity
+from . import chat, clustering, decontamination, html_text, media, minhash, mixing, quality, secrets, sharding, substrings, toxicity, whitening
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_media": media.op8_media,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_mixing": mixing.op10_mixing,
+    "op11_clustering": clustering.op11_clustering,
+    "op12_sharding": sharding.op12_sharding,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLE_SQL = {
     "op1_minhash": minhash.ORACLE_SQL,
     "op5_chat": chat.ORACLE_SQL,
     "op9_decontamination": decontamination.ORACLE_SQL,
+    "op11_clustering": clustering.ORACLE_SQL,
+    "op12_sharding": sharding.ORACLE_SQL,
 }
