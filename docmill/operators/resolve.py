@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions.text import normal_title
 from .select import keep_first
@@ -72,28 +68,6 @@ def recovered(wanted: DataFrame, fetched: DataFrame, cache: DataFrame, key: str
     return fetched.withColumn("from_cache", F.lit(False)).unionByName(from_cache, allowMissingColumns=True)
 
 
-@F.pandas_udf(DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The share of characters in matching blocks, as difflib has it; 0 if one is missing."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
-
-
-def similar_names(left: DataFrame, right: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(name, found): for each name of ``left`` the first of ``right`` (found, seq) that is similar enough, else one that lies in it.
-
-    Names meet by shared pairs of letters and by length, which no similar pair can lack, so
-    not all pairs are compared.
-    """
-    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
-    a = left.select("name").distinct().withColumn("g", F.explode(pieces(F.col("name"))))
-    b = right.select("found", "seq").withColumn("g", F.explode(pieces(F.col("found"))))
-    met = a.join(b, "g").select("name", "found", "seq").distinct()
-    room = 2 * F.least(F.length("name"), F.length("found")) >= threshold * (F.length("name") + F.length("found"))
-    near = met.filter(room).filter(similarity("name", "found") >= threshold).withColumn("rank", F.lit(0))
-    inside = met.filter(F.contains("name", "found")).withColumn("rank", F.lit(1))
-    return near.unionByName(inside).groupBy("name").agg(F.min_by("found", F.struct("rank", "seq")).alias("found"))
-
-
 def retry(failures: DataFrame, most: int = 3) -> DataFrame:
     """(url, n, again): failures of each URL, and whether it is to be tried again."""
     return failures.groupBy("url").agg(F.count(F.lit(1)).alias("n")).withColumn("again", F.col("n") < most)
@@ -103,10 +77,3 @@ def coalesced(*columns: Column) -> Column:
     """The first that is neither null nor empty; empty if none."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns], F.lit(""))
 
-
-def inside(texts: DataFrame, text: str, names: DataFrame, name: str, lead: int = 8) -> DataFrame:
-    """``texts`` joined with the ``names`` that lie in them: they meet by the name's first ``lead`` characters (all of a shorter name), so not all pairs are compared."""
-    lengths = F.sequence(F.lit(1), F.lit(lead))
-    cuts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, n))
-    pieces = texts.withColumn("_lead", F.explode(F.array_distinct(F.flatten(F.transform(lengths, cuts)))))
-    return pieces.join(names.withColumn("_lead", F.substring(name, 1, lead)), "_lead").filter(F.contains(text, name)).drop("_lead")

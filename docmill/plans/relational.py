@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entities as E
 from ..operators import filters, graph
-from ..operators.resolve import inside
+from ..operators.names import inside
 from ..operators.select import distinct_in_order, keep_first, number_per_key, top_per_key
 from .common import Registry, table
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import resolve
+from ..operators import names, resolve
 from .common import Registry, table
 
 R = Registry()
@@ -30,8 +30,8 @@ SELECT * FROM a UNION ALL SELECT company, ticker, filing FROM c JOIN f ON compan
 def filing_match(spark: SparkSession, sf: str) -> DataFrame:
     number = lambda c: (F.col(c) % 9000 + 1000).cast("string")
     firms = table(spark, sf, "customer").select(F.col("c_name").alias("company"), F.when(F.col("c_custkey") % 2 == 0, number("c_custkey")).otherwise("none").alias("ticker"))
-    names = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("filer_name"))
-    filings = table(spark, sf, "orders").join(names, "o_custkey").select(F.col("o_orderkey").alias("filing"), F.concat(number("o_custkey"), F.lit("0")).alias("sec_code"), "filer_name")
+    firms_by_key = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("filer_name"))
+    filings = table(spark, sf, "orders").join(firms_by_key, "o_custkey").select(F.col("o_orderkey").alias("filing"), F.concat(number("o_custkey"), F.lit("0")).alias("sec_code"), "filer_name")
     return resolve.by_code_or_name(firms, filings)
 
 
@@ -88,7 +88,7 @@ def first_date(spark: SparkSession, sf: str) -> DataFrame:
 def similar_names(spark: SparkSession, sf: str) -> DataFrame:
     """Names with a letter changed, against the list."""
     asked = table(spark, sf, "supplier").select(F.regexp_replace(F.lower("s_name"), "^s", "z").alias("name"))
-    return resolve.similar_names(asked, table(spark, sf, "supplier").select(F.lower("s_name").alias("found"), F.col("s_suppkey").alias("seq")))
+    return names.similar_names(asked, table(spark, sf, "supplier").select(F.lower("s_name").alias("found"), F.col("s_suppkey").alias("seq")))
 
 
 @R.add("SELECT event_id, start, n FROM (SELECT date_trunc('hour', ts) + INTERVAL 30 MINUTE * k AS start, count(*) AS n, min(event_id) AS event_id FROM (SELECT event_id, ts, k FROM events, (SELECT unnest([-1, 0, 1]) AS k)) WHERE ts >= date_trunc('hour', ts) + INTERVAL 30 MINUTE * k AND ts < date_trunc('hour', ts) + INTERVAL 30 MINUTE * k + INTERVAL 1 HOUR GROUP BY 1)")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docmill import __main__ as cli
 from docmill import pipelines
 from docmill.functions import contracts, dates, patents, transcripts
-from docmill.operators import graph, reshape, resolve
+from docmill.operators import graph, names, reshape, resolve
 from docmill.sinks import files as sinks
 from docmill.sources import files as sources
 from docmill.streaming import incremental, throttle
@@ -140,7 +140,7 @@ def test_a_repeated_batch_loses_nothing(spark, tmp_path):
 def test_names_and_sources(spark):
     left = spark.createDataFrame([("droneshield ltd",), ("acme x corp",), ("zzz",)], "name string")
     right = spark.createDataFrame([("droneshield ltds", 1), ("acme", 2), ("", 3)], "found string, seq int")
-    assert {r.name: r.found for r in resolve.similar_names(left, right).collect()} == {"droneshield ltd": "droneshield ltds", "acme x corp": "acme"}
+    assert {r.name: r.found for r in names.similar_names(left, right).collect()} == {"droneshield ltd": "droneshield ltds", "acme x corp": "acme"}
     none = spark.createDataFrame([], "id long, seq long")
     spare = spark.createDataFrame([(7, 1)], "id long, seq long")
     assert rows(resolve.ids_of_sources([none], spare)) == [(7, 1)]
