@@ -14,7 +14,10 @@ GROUPS = {
     "crude oil and refined products": "energy", "natural gas": "energy", "power": "energy", "coal": "energy", "lng": "energy", "agriculture": "agriculture", "softs": "softs", "sugar": "softs",
     "coffee": "softs", "cocoa": "softs", "cotton": "agriculture", "grains and oilseeds": "agriculture", "dairy": "agriculture", "lumber": "agriculture", "emissions": "emissions",
     "environmental": "emissions", "metals": "metals", "battery materials": "metals", "precious metals": "metals", "interest rates": "financials", "equity index": "financials",
-    "ice u.s. dollar index (usdx)": "financials", "mortgage rates": "financials", "bitcoin": "financials", "digital assets": "financials", "canola": "agriculture", "frozen orange juice": "agriculture",
+    "fx": "financials", "digital assets": "financials", "credit": "financials", "bonds": "financials", "freight": "energy", "electricity": "energy", "biofuels": "energy", "petrochemicals": "energy",
+    "msci indices": "financials", "single stock options": "financials", "mini single stocks": "financials", "cross rates": "financials", "emerging markets": "financials", "ftse indices": "financials",
+    "swapnotes": "financials", "coindesk indices": "financials", "majors": "financials", "ifus indices": "financials", "ifsg indices": "financials", "ice u.s. dollar index (usdx)": "financials",
+    "mortgage rates": "financials", "bitcoin": "financials", "canola": "agriculture", "frozen orange juice": "agriculture",
 }
 ADDRESS_WORDS = (
     ("energy", ("energy", "oil", "gas", "power")), ("agriculture", ("agriculture", "agri", "sugar", "coffee", "cocoa", "cotton")), ("emissions", ("emission", "carbon")),

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
-#: Forms of a date in running text, in this order; the day comes first.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_MONTHS = "|".join(MONTHS)
+#: Forms of a date in running text, in this order; the day comes first, and the month where that is no date.
 IN_TEXT = (
     (rf"(?i)(\d{{1,2}}\s+(?:{_MONTHS})\s+\d{{4}})", "d MMMM yyyy"),
     (rf"(?i)((?:{_MONTHS})\s+\d{{4}})", "MMMM yyyy"),
     (r"(\d{4}-\d{2}-\d{2})", "yyyy-MM-dd"),
-    (r"(\d{1,2}/\d{1,2}/\d{4})", "d/M/yyyy"),
+    (r"(\d{1,2}/\d{1,2}/\d{4})", "d/M/yyyy", "M/d/yyyy"),
 )
 
 
@@ -36,9 +37,9 @@ def date_in_text(text: Column, length: int = 500) -> Column:
     """The first form that is there and valid, in the first ``length`` characters; a month alone is its first day."""
     head = F.substring(text, 1, length)
     found = []
-    for pattern, form in IN_TEXT:
+    for pattern, *forms in IN_TEXT:
         hit = F.initcap(F.regexp_replace(F.regexp_extract(head, pattern, 1), r"\s+", " "))
-        found.append(F.when(hit != "", F.try_to_timestamp(hit, F.lit(form)).cast("date")))
+        found.append(F.when(hit != "", _first(hit, tuple(forms)).cast("date")))
     return F.coalesce(*found)
 
 

@@ -12,8 +12,10 @@ from pyspark.sql.types import ArrayType, MapType, StringType
 
 from ..operators.select import keep_first
 
-#: Forms of a patent number in running text.
-NUMBER = r"\b((?:US|EP|WO|CN|JP|KR|DE|GB|FR|CA|AU)\d{5,}[A-Z]?\d?)\b"
+# Forms of a patent number in running text, in the address of a patent page, and in a search result's id.
+NUMBER = r"\b([A-Z]{2}\d{5,}[A-Z]\d?)\b"
+IN_ADDRESS = r"patents\.google\.com/patent/([A-Z]{2}[\dA-Z]+)"
+IN_RESULT = r"^patent/([A-Z]{2}[\dA-Z]+)"
 
 
 def publication_number(number: Column) -> Column:
@@ -39,6 +41,12 @@ def numbers_in(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(1)))
 
 
+def numbers_of_hit(url: Column, text: Column) -> Column:
+    """Numbers in the addresses of a search hit, then those in its text, each once."""
+    address, told = F.coalesce(url, F.lit("")), F.coalesce(text, F.lit(""))
+    return F.array_distinct(F.concat(F.regexp_extract_all(address, F.lit(IN_ADDRESS), F.lit(1)), F.regexp_extract_all(told, F.lit(NUMBER), F.lit(1))))
+
+
 def us_number(publication: Column) -> Column:
     """The digits of a US number, without leading zeros."""
     return F.nullif(F.regexp_extract(publication, r"^US0*(\d+)", 1), F.lit(""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,9 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from .dedup import cut_lineage
+from ..lineage import cut_lineage
 from .graph import is_skipped, same_host
-from .select import keep_first, top_per_key
+from .select import keep_first
 
 # Parts of paths that lead to no content, and places where a site's map may lie.
 SKIPPED_PARTS = (
@@ -133,7 +134,7 @@ def best_first_crawl(
 
     ``links`` is (url, target, at), at being the place of a link on its page; ``seeds`` is
     (seed, query).  As with a heap: a round pops the ``at_once`` best addresses of the
-    frontier, highest score first, equal ones in order of arrival, as far as the budget of
+    frontier, highest score first, equal ones in order of arrival (links of equal place in order of address), as far as the budget of
     ``pages`` goes; their links arrive in order of the visits and of their places, unless an
     address is skipped, on another host than the seed, deeper than ``depth`` or was seen.
     Every page carries its seed's query.
@@ -145,16 +146,15 @@ def best_first_crawl(
     start = keep_first(seeds.select("seed", "query"), ["seed"], [F.col("query")])
     open_ = cut_lineage(start.select("seed", "query", F.col("seed").alias("url"), F.lit(0).alias("depth"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("came")))
     seen = open_.select("seed", "url")
-    visits, done = [], 0
-    while done < pages:
-        best = [F.desc("score"), F.col("came")]
-        rank = F.row_number().over(W.partitionBy("seed").orderBy(*best))
-        now = top_per_key(open_, ["seed"], best, min(at_once, pages - done)).withColumn("nth", rank + done)
-        now = cut_lineage(now)
+    visits, counts = [], start.select("seed", F.lit(0).cast("long").alias("done"))
+    while True:
+        rank = F.row_number().over(W.partitionBy("seed").orderBy(F.desc("score"), "came", "url"))
+        best = open_.withColumn("rank", rank).filter(F.col("rank") <= at_once).join(counts, "seed").filter(F.col("rank") + F.col("done") <= pages)
+        now = cut_lineage(best.withColumn("nth", (F.col("rank") + F.col("done")).cast("int")).drop("rank", "done"))
         if now.isEmpty():
             break
         visits.append(now)
-        done += at_once
+        counts = cut_lineage(counts.join(now.groupBy("seed").agg(F.count(F.lit(1)).alias("more")), "seed", "left").select("seed", (F.col("done") + F.coalesce("more", F.lit(0))).alias("done")))
         met = now.filter(F.col("depth") < depth).join(fit, "url").select("seed", "query", F.col("target").alias("url"), F.col("depth") + 1, F.struct("nth", "at").alias("order"))
         met = met.toDF("seed", "query", "url", "depth", "order")
         if scoped:
@@ -164,7 +164,4 @@ def best_first_crawl(
         fresh = cut_lineage(fresh.select("seed", "query", "url", "depth", score(F.col("url")).alias("score"), came.cast("long").alias("came")))
         seen = cut_lineage(seen.unionByName(fresh.select("seed", "url")))
         open_ = cut_lineage(open_.join(now.select("seed", "url"), ["seed", "url"], "left_anti").unionByName(fresh))
-    out = visits[0]
-    for more in visits[1:]:
-        out = out.unionByName(more)
-    return out.select("seed", "query", "url", "depth", "score", "nth")
+    return reduce(DataFrame.unionByName, visits or [now]).select("seed", "query", "url", "depth", "score", "nth")

@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import content_hash, url_hash
 from ..functions.text import shingle_hashes
+from ..lineage import cut_lineage
 from .select import keep_first
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder the cluster names; a temporary one only where none is named."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docmill-"))
-    return df.checkpoint()
-
-
 def url_dedup(df: DataFrame, url: str = "url", seq: str = "page_id") -> DataFrame:
     return keep_first(df, [url_hash(F.col(url))], [F.col(seq)])
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
 from ..functions.keys import bare_host, base_domain, host, url_key
-from .dedup import cut_lineage
+from ..lineage import cut_lineage
 from .select import keep_first, top_per_key
 
 # Endings of files that are no pages.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import calendar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,14 +29,17 @@ JARGON = {
     "wheat": ("wheat futures CBOT {year}", "wheat production USDA {year}", "wheat export import {year}", "wheat stocks to use ratio {year}"),
     "natural gas": ("natural gas Henry Hub price {year}", "LNG demand supply {year}", "natural gas storage {year}", "TTF natural gas Europe {year}"),
 }
-# Words that make no term (months and years are added by rule).
+# Words that make no term.
 STOP = frozenset(
     "the a an and or but in on at to for of is it by as with from that this was were be been are have has had do does did will would shall should can could may might must "
     "not no nor so if then than also more most very much its their our your his her he she we they them us me my all any each both few many some such only just about after "
     "before between through during above below up down out off over under again further once here there when where why how what which who whom whose new said year years one "
     "two three four five six seven eight nine ten first last per cent percent total well even still however according report data based including figure table page source www "
     "http https com org net pdf html million billion trillion".split()
-) | {m.lower() for names in (calendar.month_name, calendar.month_abbr) for m in names if m} | {str(y) for y in range(2000, 2027)}
+) | frozenset(
+    "january february march april may june july august september october november december jan feb mar apr jun jul aug sep oct nov dec 2000 2001 2002 2003 2004 2005 2006 2007 2008 "
+    "2009 2010 2011 2012 2013 2014 2015 2016 2017 2018 2019 2020 2021 2022 2023 2024 2025 2026".split()
+)
 EDGE = frozenset("the a an of in on at to for by as is it and or s".split())
 
 
@@ -136,6 +138,8 @@ def sampled_years(first: int, last: int, most: int) -> list[int]:
     years = list(range(first, last + 1))
     if len(years) <= most:
         return years
+    if most <= 1:
+        return years[:most]
     out = years[:: max(1, len(years) // most)][:most]
     return [years[0], *out[1:-1], years[-1]]
 

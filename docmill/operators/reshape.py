@@ -66,7 +66,7 @@ def two_tiers(blob: Column, title: Column, topic: str, field: str, off: str, str
 
 
 # Formats that hold no text.
-BINARY = ("geotiff", "netcdf", "hdf", "grib", "shapefile", "raster", "tiff", "zarr", "cog")
+BINARY = ("geotiff", "netcdf", "grib", "hdf", "kml")
 
 
 def source_bucket(form: Column, access: Column, kind: Column, binary: tuple[str, ...] = BINARY) -> Column:

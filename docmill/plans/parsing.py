@@ -50,11 +50,14 @@ def parallel_arrays(spark: SparkSession, sf: str) -> DataFrame:
     return files.from_parallel_arrays(one, ["o_orderkey", "form"]).filter(F.col("form").isin("F", "O")).select("o_custkey", "o_orderkey", "form")
 
 
-@R.add("SELECT s_suppkey, unnest(['US' || (1000000 + s_suppkey) || 'B2', 'EP' || (2000000 + s_suppkey) || 'A1']) AS id FROM supplier")
+# A page of search results by a row's key, in words that Spark and DuckDB share.
+_RESULTS = """concat('{"results":{"cluster":[{"result":[{"id":"patent/US', 1000000 + s_suppkey, 'B2/en"},{"id":"patent/USD0', s_suppkey, 'S1/en"},{"id":"patent/EP', 2000000 + s_suppkey, '/de"}]},{"result":[{"id":"patent/US', 1000000 + s_suppkey, 'B2/en"},{"id":"scholar/US', s_suppkey, 'A1"},{"id":"x/patent/US77777A"},{"id":"patent/WO20', s_suppkey, 'A3"}]}]}}')"""
+
+
+@R.add(f"""WITH j AS (SELECT s_suppkey, unnest(range(2)) AS c, CAST({_RESULTS} AS JSON) AS x FROM supplier), r AS (SELECT s_suppkey, c, unnest(range(CAST(json_array_length(x, '$.results.cluster[' || c || '].result') AS BIGINT))) AS i, x FROM j),
+m AS (SELECT s_suppkey, regexp_extract(json_extract_string(x, '$.results.cluster[' || c || '].result[' || i || '].id'), '^patent/([A-Z]{{2}}[0-9A-Z]+)', 1) AS id FROM r) SELECT DISTINCT s_suppkey, id FROM m WHERE id <> ''""")
 def nested_ids(spark: SparkSession, sf: str) -> DataFrame:
-    us, ep = (F.concat(F.lit(f'{{"id":"patent/{p}'), (F.col("s_suppkey") + n).cast("string"), F.lit(f'{e}/en"}}')) for p, n, e in (("US", 1_000_000, "B2"), ("EP", 2_000_000, "A1")))
-    json = F.concat(F.lit('{"results":{"cluster":[{"result":['), us, F.lit(","), us, F.lit(']},{"result":['), ep, F.lit(',{"id":"scholar/1"}]}]}}'))
-    return table(spark, sf, "supplier").select("s_suppkey", F.explode(files.cluster_ids(json)).alias("id"))
+    return table(spark, sf, "supplier").select("s_suppkey", F.explode(files.cluster_ids(F.expr(_RESULTS))).alias("id"))
 
 
 @R.add("SELECT page_id, url AS loc FROM pages")
@@ -127,14 +130,21 @@ def mixed_dates(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", dates.mixed_timestamp(told).cast("date").alias("at"))
 
 
-@R.add("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN d WHEN 1 THEN CAST(date_trunc('month', d) AS DATE) WHEN 2 THEN d WHEN 3 THEN d END AS in_text, CASE WHEN o_orderkey % 2 = 0 THEN d + 1 END AS in_file,
-greatest(CASE o_orderkey % 6 WHEN 0 THEN d WHEN 1 THEN CAST(date_trunc('month', d) AS DATE) WHEN 2 THEN d WHEN 3 THEN d END, CASE WHEN o_orderkey % 2 = 0 THEN d + 1 END) AS best FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""")
+# A text with a date in one of several forms, valid or not, or beyond what is looked at; words that Spark and DuckDB share.
+_DAY, _MON, _YEAR = "extract(day FROM o_orderdate)", "extract(month FROM o_orderdate)", "extract(year FROM o_orderdate)"
+_MONTH_NAME = "CASE " + _MON + " " + " ".join(f"WHEN {i + 1} THEN '{m}'" for i, m in enumerate(dates.MONTHS)) + " END"
+_TOLD = f"""concat('Report of ', CASE o_orderkey % 8 WHEN 0 THEN concat({_DAY}, ' ', {_MONTH_NAME}, ' ', {_YEAR}) WHEN 1 THEN upper(concat({_MONTH_NAME}, '  ', {_YEAR})) WHEN 2 THEN concat({_YEAR}, '-', lpad(cast({_MON} AS STRING), 2, '0'), '-', lpad(cast({_DAY} AS STRING), 2, '0'))
+WHEN 3 THEN concat({_DAY}, '/', {_MON}, '/', {_YEAR}) WHEN 4 THEN concat(repeat('x ', 300), {_DAY}, '/', {_MON}, '/', {_YEAR}) WHEN 5 THEN concat({_MON}, '/', {_DAY}, '/', {_YEAR}) WHEN 6 THEN concat('31 February ', {_YEAR}, ' or 77/88/', {_YEAR}) ELSE 'late' END, ' for holders.')"""
+
+
+@R.add(f"""WITH t AS (SELECT o_orderkey, substr({_TOLD}, 1, 500) AS x, CAST(o_orderdate AS DATE) AS d FROM orders),
+h AS (SELECT o_orderkey, d, regexp_replace(regexp_extract(x, '(?i)([0-9]{{1,2}}\\s+(?:{"|".join(dates.MONTHS)})\\s+[0-9]{{4}})', 1), '\\s+', ' ', 'g') AS a, regexp_replace(regexp_extract(x, '(?i)((?:{"|".join(dates.MONTHS)})\\s+[0-9]{{4}})', 1), '\\s+', ' ', 'g') AS b,
+regexp_extract(x, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1) AS c, regexp_extract(x, '([0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}})', 1) AS s FROM t),
+f AS (SELECT o_orderkey, CAST(coalesce(try_strptime(a, '%d %B %Y'), try_strptime('1 ' || b, '%d %B %Y'), try_strptime(c, '%Y-%m-%d'), try_strptime(s, '%d/%m/%Y'), try_strptime(s, '%m/%d/%Y')) AS DATE) AS in_text, CASE WHEN o_orderkey % 2 = 0 THEN d + 1 END AS in_file FROM h)
+SELECT o_orderkey, in_text, in_file, greatest(in_text, in_file) AS best FROM f""".replace("AS STRING", "AS VARCHAR"))
 def content_dates(spark: SparkSession, sf: str) -> DataFrame:
-    kind, d = F.col("o_orderkey") % 6, F.to_date("o_orderdate")
-    told = F.when(kind == 0, F.date_format(d, "d MMMM yyyy")).when(kind == 1, F.upper(F.date_format(d, "MMMM yyyy"))).when(kind == 2, F.date_format(d, "yyyy-MM-dd")).when(kind == 3, F.date_format(d, "dd/MM/yyyy")).when(kind == 4, F.concat(F.repeat(F.lit("x "), 300), F.date_format(d, "yyyy-MM-dd")))
-    text = F.concat(F.lit("Report of "), F.coalesce(told, F.lit("late")), F.lit(" for holders."))
-    meta = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("D:"), F.date_format(F.date_add(d, 1), "yyyyMMdd"), F.lit("101500Z")))
-    a, b = dates.date_in_text(text), dates.metadata_date(meta)
+    meta = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("D:"), F.date_format(F.date_add(F.to_date("o_orderdate"), 1), "yyyyMMdd"), F.lit("101500Z")))
+    a, b = dates.date_in_text(F.expr(_TOLD)), dates.metadata_date(meta)
     return table(spark, sf, "orders").select("o_orderkey", a.alias("in_text"), b.alias("in_file"), dates.latest(a, b).alias("best"))
 
 
@@ -196,10 +206,16 @@ def patent_fields(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", F.concat(F.lit("US"), patents.us_number(number), F.lit("B2")).alias("number"), patents.us_number(number).alias("us"), patents.localized(texts).alias("title"), patents.plucked(codes, "code").alias("codes"), patents.names_like(names, ["a"]).alias("held"))
 
 
-@R.add("SELECT s_suppkey, ['US' || (10000000 + s_suppkey) || 'B2', 'EP' || (2000000 + s_suppkey)] AS numbers FROM supplier")
+# Running text and an address with patent numbers of all shapes, and what only looks like one.
+_CITING = "concat('see US', 10000000 + s_suppkey, 'B2, EP', 2000000 + s_suppkey, ' and IN', 20000 + s_suppkey, 'A, RU', 33333, 'C1; US', s_suppkey, 'A or USA12345B', s_suppkey, ' (ZA', 99999 - s_suppkey, 'B) US', 10000000 + s_suppkey, 'B2')"
+_CITED_AT = "concat('https://patents.google.com/patent/USD0', s_suppkey, 'S1/en?oq=http://x.example/patent/US1')"
+
+
+@R.add(rf"""SELECT s_suppkey, list_filter(regexp_extract_all({_CITING}, '\b([A-Z]{{2}}\d{{5,}}[A-Z]\d?)\b', 1), lambda x, i: list_position(regexp_extract_all({_CITING}, '\b([A-Z]{{2}}\d{{5,}}[A-Z]\d?)\b', 1), x) = i) AS numbers, 
+list_filter(list_concat(regexp_extract_all({_CITED_AT}, 'patents\.google\.com/patent/([A-Z]{{2}}[0-9A-Z]+)', 1), regexp_extract_all({_CITING}, '\b([A-Z]{{2}}\d{{5,}}[A-Z]\d?)\b', 1)), lambda x, i: list_position(list_concat(regexp_extract_all({_CITED_AT}, 'patents\.google\.com/patent/([A-Z]{{2}}[0-9A-Z]+)', 1), regexp_extract_all({_CITING}, '\b([A-Z]{{2}}\d{{5,}}[A-Z]\d?)\b', 1)), x) = i) AS of_hit FROM supplier""")
 def patent_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = F.concat(F.lit("US"), (F.col("s_suppkey") + 10_000_000).cast("string"), F.lit("B2")), F.concat(F.lit("EP"), (F.col("s_suppkey") + 2_000_000).cast("string"))
-    return table(spark, sf, "supplier").select("s_suppkey", patents.numbers_in(F.concat(F.lit("see "), a, F.lit(", "), b, F.lit(" and "), a, F.lit(" or USA12"))).alias("numbers"))
+    told = F.expr(_CITING)
+    return table(spark, sf, "supplier").select("s_suppkey", patents.numbers_in(told).alias("numbers"), patents.numbers_of_hit(F.expr(_CITED_AT), told).alias("of_hit"))
 
 
 @R.add("SELECT DISTINCT src, dst, direction FROM (SELECT l_orderkey AS src, l_partkey AS dst, 'backward' AS direction FROM lineitem UNION ALL SELECT l_suppkey, l_orderkey, 'forward' FROM lineitem)")
@@ -215,12 +231,21 @@ def field_codes(spark: SparkSession, sf: str) -> DataFrame:
     return patents.field_codes(fields, wanted).select("code")
 
 
-@R.add("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'energy' WHEN 1 THEN 'metals' WHEN 2 THEN 'financials' WHEN 3 THEN '' ELSE 'energy' END AS of_group, CASE p_partkey % 3 WHEN 0 THEN 'agriculture' WHEN 1 THEN 'financials' ELSE '' END AS of_address FROM part")
+# Group names: every known one in turn, in other cases, longer, cut, empty and unknown.
+_GROUP_NAMES = "[" + ", ".join(f"'{g}'" for g in contracts.GROUPS) + "]"
+_GROUP_OF = "CASE p_partkey % 5 WHEN 0 THEN concat(' ', upper(g), ' ') WHEN 1 THEN concat('rare ', g, ' ii') WHEN 2 THEN substr(g, 1, 5) WHEN 3 THEN g ELSE CASE WHEN p_partkey % 10 = 4 THEN '' ELSE 'wood' END END"
+_ADDRESS_OF = "concat('https://x.example/', CASE p_partkey % 8 WHEN 0 THEN 'Sugar-11' WHEN 1 THEN 'stock-index' WHEN 2 THEN 'carbon/oil' WHEN 3 THEN 'Metals' WHEN 4 THEN 'FX-gas' WHEN 5 THEN 'cotton-equity' ELSE 'y' END)"
+_GROUP_MAP = "[" + ", ".join(f"{{'k': '{k}', 'v': '{v}'}}" for k, v in contracts.GROUPS.items()) + "]"
+
+
+@R.add(f"""WITH n AS (SELECT p_partkey, {_GROUP_NAMES}[p_partkey % {len(contracts.GROUPS)} + 1] AS g FROM part), t AS (SELECT p_partkey, lower(trim({_GROUP_OF})) AS g, lower({_ADDRESS_OF}) AS a FROM n),
+e AS (SELECT *, {_GROUP_MAP} AS m FROM t)
+SELECT p_partkey, coalesce(list_filter(m, lambda x: x.k = g)[1].v, list_filter(m, lambda x: contains(g, x.k) OR contains(x.k, g))[1].v, '') AS of_group,
+CASE WHEN regexp_matches(a, 'energy|oil|gas|power') THEN 'energy' WHEN regexp_matches(a, 'agriculture|agri|sugar|coffee|cocoa|cotton') THEN 'agriculture' WHEN regexp_matches(a, 'emission|carbon') THEN 'emissions' WHEN contains(a, 'metal') THEN 'metals'
+WHEN regexp_matches(a, 'financial|interest|equity|fx|index') THEN 'financials' ELSE '' END AS of_address FROM e""")
 def asset_classes(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("p_partkey")
-    group = F.when(k % 5 == 0, " Natural Gas ").when(k % 5 == 1, "rare battery materials").when(k % 5 == 2, "bitcoin").when(k % 5 == 3, "wood").otherwise("")
-    url = F.when(k % 3 == 0, "https://x.example/Sugar-11").when(k % 3 == 1, "https://x.example/stock-index").otherwise("https://x.example/y")
-    return table(spark, sf, "part").select("p_partkey", contracts.class_of_group(group).alias("of_group"), contracts.class_of_address(url).alias("of_address"))
+    named = table(spark, sf, "part").withColumn("g", F.element_at(F.array(*[F.lit(g) for g in contracts.GROUPS]), (F.col("p_partkey") % len(contracts.GROUPS) + 1).cast("int")))
+    return named.select("p_partkey", contracts.class_of_group(F.expr(_GROUP_OF)).alias("of_group"), contracts.class_of_address(F.expr(_ADDRESS_OF)).alias("of_address"))
 
 
 @R.add("SELECT p_partkey, CAST(p_size AS VARCHAR) AS size, map {'tick_value': p_brand} AS extras, CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN 'Head' ELSE 'Brent Crude' END AS name FROM part")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.keys import bare_host, host
 from ..operators import filters, graph, mining, reshape, resolve
-from ..operators.select import keep_first, top_per_key
+from ..operators.select import keep_first
 from ..sinks import files as sinks
 from .common import Registry, table
 from .corpus import HOST, SPLIT
@@ -16,6 +16,19 @@ from .corpus import HOST, SPLIT
 R = Registry()
 
 
+def _split_fields(text: str) -> list[str]:
+    """The fields of a select list, at commas outside of brackets and quotes."""
+    out, depth, quoted = [""], 0, False
+    for c in text:
+        quoted ^= c == "'"
+        depth += 0 if quoted else (c == "(") - (c == ")")
+        if c == "," and not depth and not quoted:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
 @R.add("""SELECT s_name AS company, 'Annual report' AS title, 'https://f.example/' || s_suppkey AS link, '' AS snippet, CAST(NULL AS TIMESTAMP) AS date, 'filing' AS source, coalesce(s_name, '') AS full_text, '' AS source_file FROM supplier
 UNION ALL SELECT c_name, '', '', substr(c_mktsegment, 1, 4), TIMESTAMP '2024-02-03', 'crm', '', 'c.parquet' FROM customer""")
 def document_union(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,14 +66,18 @@ def two_tier_filter(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", a.alias("a"), b.alias("b")).filter("a")
 
 
-_FORMATS, _ACCESS, _KINDS = ("GeoTIFF", "API JSON", "PDF; API", "HTML"), ("paid", "free", "paid/free"), ("imagery", "numeric", "text")
+# Format, access and kind of a row by its key, in words that Spark and DuckDB share.
+_CATALOG = """p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'GeoTIFF' WHEN 1 THEN 'API JSON' WHEN 2 THEN 'PDF; API' WHEN 3 THEN 'HTML, KML' WHEN 4 THEN 'shapefile' WHEN 5 THEN 'NetCDF/HDF' WHEN 6 THEN 'Web API' WHEN 7 THEN 'zarr, COG raster' END AS form,
+CASE p_partkey % 5 WHEN 0 THEN 'Paid' WHEN 1 THEN 'free' WHEN 2 THEN 'paid/free' WHEN 3 THEN 'Mixed paid' END AS access, CASE p_partkey % 4 WHEN 0 THEN 'imagery' WHEN 1 THEN 'Numeric' WHEN 2 THEN 'text' END AS kind"""
 
 
-@R.add("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'excluded_paid' WHEN p_partkey % 4 = 0 THEN 'skip_binary' WHEN p_partkey % 4 = 1 AND p_partkey % 5 IN (1, 4) THEN 'api_numeric' ELSE 'deep' END AS bucket FROM part""")
+@R.add(f"""WITH c AS (SELECT {_CATALOG} FROM part), l AS (SELECT p_partkey, lower(coalesce(form, '')) AS f, lower(coalesce(access, '')) AS a, lower(coalesce(kind, '')) AS k FROM c),
+m AS (SELECT *, regexp_matches(f, 'geotiff|netcdf|grib|hdf|kml') AS b FROM l)
+SELECT p_partkey, CASE WHEN contains(a, 'paid') AND NOT contains(a, 'free') AND NOT contains(a, 'mixed') THEN 'excluded_paid' WHEN k = 'imagery' AND b THEN 'skip_binary' WHEN b AND NOT contains(f, 'html') AND NOT contains(f, 'pdf') THEN 'skip_binary'
+WHEN contains(f, 'api') AND k = 'numeric' AND NOT regexp_matches(f, 'pdf|html|web') THEN 'api_numeric' ELSE 'deep' END AS bucket FROM m""")
 def source_buckets(spark: SparkSession, sf: str) -> DataFrame:
-    pick = lambda xs, n: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("p_partkey") % n + 1).cast("int"))
-    kind = pick((*_KINDS, "text", "numeric"), 5)
-    return table(spark, sf, "part").select("p_partkey", reshape.source_bucket(pick(_FORMATS, 4), pick(_ACCESS, 3), kind).alias("bucket"))
+    rows = table(spark, sf, "part").selectExpr(*_split_fields(_CATALOG))
+    return rows.select("p_partkey", reshape.source_bucket(F.col("form"), F.col("access"), F.col("kind")).alias("bucket"))
 
 
 @R.add(f"""WITH x AS (SELECT DISTINCT {HOST} AS domain FROM pages WHERE page_id % 7 = 0) SELECT page_id FROM pages WHERE {HOST} NOT IN (SELECT domain FROM x)
@@ -179,7 +196,7 @@ def markdown_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add("""WITH s AS (SELECT p_partkey, p_brand, substr(regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '^_+|_+\\z', '', 'g'), 1, 40) AS slug FROM part),
 n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY p_partkey) AS i, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS j FROM s)
-SELECT p_partkey, slug || '_' || substr(lpad(CAST(i AS VARCHAR), 3, '0'), 1, 3) || '.md' AS file, p_brand || CASE WHEN j > 1 THEN '__' || j ELSE '' END || '.pdf' AS member, substr(sha256('u' || p_partkey), 1, 8) || '_' || p_brand AS artefact FROM n""")
+SELECT p_partkey, slug || '_' || CASE WHEN i < 1000 THEN lpad(CAST(i AS VARCHAR), 3, '0') ELSE CAST(i AS VARCHAR) END || '.md' AS file, p_brand || CASE WHEN j > 1 THEN '__' || j ELSE '' END || '.pdf' AS member, substr(sha256('u' || p_partkey), 1, 8) || '_' || p_brand AS artefact FROM n""")
 def file_names(spark: SparkSession, sf: str) -> DataFrame:
     parts = sinks.record_names(table(spark, sf, "part"), F.col("p_type"), "p_partkey")
     url = F.concat(F.lit("u"), F.col("p_partkey").cast("string"))
@@ -192,15 +209,35 @@ def years_of_rows(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").groupBy(sinks.year_of(date).alias("year")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add(r"""WITH b AS (SELECT p_partkey, 'bell' || (2000 + p_size) || regexp_extract(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'), '^ ?([a-z0-9]*)', 1) AS base, p_name, p_size FROM part),
-n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS i FROM b), k AS (SELECT *, base || CASE WHEN i > 1 THEN chr(CAST(96 + i AS INTEGER)) ELSE '' END AS key FROM n WHERE i <= 26)
-SELECT p_partkey, key AS citekey, '@article{' || key || ',' || chr(10) || '  author    = {Anna Bell, C. D.},' || chr(10) || '  title     = {' || p_name || '},' || chr(10) || '  year      = {' || (2000 + p_size) || '}' || chr(10) || '}' AS entry FROM k""")
+# Authors, venue, numbers and link of a row by its key, in words that Spark and DuckDB share.
+_PAPER = """p_partkey, concat('Anna Bell', CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN ', C. D.' ELSE ', C. D., , E. F., G. H., I. J.' END) AS authors, 2000 + p_size AS year, concat(p_name, CASE WHEN p_partkey % 7 = 0 THEN ' {A&amp;B} & C' ELSE '' END) AS title,
+CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS venue, p_type AS source, CASE WHEN p_partkey % 5 = 0 THEN concat('10.1/', p_partkey) END AS doi, CASE WHEN p_partkey % 2 = 0 THEN concat('24', p_partkey) ELSE '' END AS arxiv, CASE WHEN p_partkey % 11 > 0 THEN concat('https://p.example/', p_partkey) END AS link"""
+_LETTERS = "concat(CASE WHEN {n} > 702 THEN chr(97 + (({n} - 703) // 676) % 26) ELSE '' END, CASE WHEN {n} > 26 THEN chr(97 + (({n} - 27) // 26) % 26) ELSE '' END, chr(97 + ({n} - 1) % 26))"
+_CLEAN = "replace(replace(regexp_replace({0}, '[{{}}]', '', 'g'), '&amp;', 'and'), '&', 'and')"
+_KEYED = f"""WITH p AS (SELECT {_PAPER} FROM part), b AS (SELECT *, 'bell' || year || regexp_extract(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'), '^ ?([a-z0-9]*)', 1) AS base FROM p),
+n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey)::INT AS i FROM b),
+f AS (SELECT base, list(l ORDER BY l) AS free FROM (SELECT DISTINCT base FROM n) x, (SELECT unnest(range(2, 27))::INT AS l) WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.base = x.base || chr(96 + l)) GROUP BY base),
+k AS (SELECT n.*, base || CASE WHEN i = 1 THEN '' WHEN i - 1 <= len(free) THEN chr(96 + free[i - 1]) ELSE '-' || {_LETTERS.format(n="(i - 1 - len(free))::INT")} END AS citekey FROM n JOIN f USING (base))"""
+
+
+def _papers(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.citekeys(table(spark, sf, "part").selectExpr(*_split_fields(_PAPER)), F.col("authors"), "year", F.col("title"), "p_partkey")
+
+
+@R.add(_KEYED + f"""SELECT p_partkey, citekey, CASE WHEN arxiv <> '' AND venue IS NULL THEN '@misc{{' ELSE '@article{{' END || citekey || ',' || chr(10) || '  author    = {{' || array_to_string(list_filter(list_transform(string_split(authors, ','), lambda a: trim(a)), lambda a: a <> ''), ' and ') || '}},' || chr(10)
+|| '  title     = {{' || {_CLEAN.format("title")} || '}},' || chr(10) || '  year      = {{' || year || '}}' || coalesce(',' || chr(10) || '  journal   = {{' || {_CLEAN.format("venue")} || '}}', '') || coalesce(',' || chr(10) || '  doi       = {{' || doi || '}}', '')
+|| CASE WHEN arxiv <> '' AND venue IS NULL THEN ',' || chr(10) || '  eprint    = {{' || arxiv || '}},' || chr(10) || '  archivePrefix = {{arXiv}}' ELSE '' END || coalesce(',' || chr(10) || '  url       = {{' || link || '}}', '') || chr(10) || '}}' AS entry FROM k""")
 def bibliography(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "part").select("p_partkey", F.lit("Anna Bell, C. D.").alias("authors"), (F.col("p_size") + 2000).alias("year"), F.col("p_name").alias("title"))
-    keyed = sinks.citekeys(rows, F.col("authors"), "year", F.col("title"), "p_partkey")
-    keyed = keyed.join(top_per_key(keyed.withColumn("_b", F.regexp_replace("citekey", "x", "x")), ["citekey"], [F.col("p_partkey")], 1).select("p_partkey"), "p_partkey", "left_semi")
-    entry = sinks.bibtex(F.col("citekey"), {"author": F.col("authors"), "title": F.col("title"), "year": F.col("year").cast("string"), "journal": F.lit("")})
-    return keyed.select("p_partkey", "citekey", entry.alias("entry"))
+    """Entries of a reference list under unique keys."""
+    names = ("authors", "title", "year", "venue", "doi", "arxiv", "link")
+    return _papers(spark, sf).select("p_partkey", "citekey", sinks.bibtex(F.col("citekey"), *[F.col(c) for c in names]).alias("entry"))
+
+
+@R.add(_KEYED + """SELECT p_partkey, '- [' || citekey || '] ' || CASE WHEN len(string_split(authors, ',')) > 4 THEN array_to_string(string_split(authors, ',')[:3], ',') || ', et al.' ELSE authors END || ' (' || year || '). *' || trim(title) || '*. ' || coalesce(venue, source) || '.'
+|| CASE WHEN doi IS NOT NULL THEN ' doi:' || doi WHEN arxiv <> '' THEN ' arXiv:' || arxiv ELSE '' END AS line FROM k""")
+def reference_lines(spark: SparkSession, sf: str) -> DataFrame:
+    names = ("authors", "title", "year", "venue", "source", "doi", "arxiv")
+    return _papers(spark, sf).select("p_partkey", sinks.reference_line(F.col("citekey"), *[F.col(c) for c in names]).alias("line"))
 
 
 QUERIES, ORACLE_SQL = R.queries, R.sql

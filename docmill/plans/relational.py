@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import entities as E
 from ..operators import filters, graph
 from ..operators.names import inside
-from ..operators.select import distinct_in_order, keep_first, number_per_key, top_per_key
+from ..operators.select import distinct_in_order, keep_first, spread_numbers, top_per_key
 from .common import Registry, table
 
 R = Registry()
@@ -93,7 +93,7 @@ def lru_keep(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add(r"""SELECT doc_id, url_no FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS url_no FROM documents)""")
 def running_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    return number_per_key(table(spark, sf, "documents").select("doc_id", "source"), ["source"], [F.col("doc_id")], "url_no").drop("source")
+    return spread_numbers(table(spark, sf, "documents").select("doc_id", "source"), [F.col("source")], [F.col("doc_id")], "url_no").drop("source")
 
 
 FORMS = E.FORMS.replace("'", "''")
@@ -182,20 +182,23 @@ f AS (SELECT domain, CAST(0 AS BIGINT) AS i, CAST({start} AS DOUBLE) AS d FROM (
 SELECT f.domain, n.i, {step} FROM f JOIN n ON n.domain = f.domain AND n.i = f.i + 1)
 SELECT domain, round(arg_max(d, i), 9) AS delay, CAST(max(i) AS INTEGER) AS n FROM f GROUP BY domain"""
 
+DELAY_SQL = _FOLD.format(log=_LOG, start="0", step="CASE WHEN status < 400 THEN d / 2 WHEN status = 429 THEN least(30, (CASE d WHEN 0 THEN 1 ELSE d END) * 2) WHEN status = 403 THEN least(30, (CASE d WHEN 0 THEN 1 ELSE d END) * 1.5) WHEN status >= 500 THEN least(30, (CASE d WHEN 0 THEN 1 ELSE d END) * 1.25) ELSE d END")
+SYNC_SQL = _FOLD.format(log=_LOG, start="1", step="CASE WHEN status < 400 THEN greatest(1, d * 0.75) WHEN status = 429 THEN least(60, d * 3) WHEN status IN (401, 403) THEN least(60, d * 2) WHEN status >= 500 THEN least(60, d * 1.5) ELSE d END")
+
 
 def _fetch_log(spark: SparkSession, sf: str) -> DataFrame:
     status = F.element_at(F.array(*[F.lit(x) for x in (429, 403, 500, 200, 404)]), (F.col("event_id") % 5 + 1).cast("int"))
     return table(spark, sf, "events").select(F.concat(F.lit("u"), "user_id").alias("domain"), F.col("event_id").alias("seq"), status.alias("status"), F.lit(None).cast("double").alias("retry_after"))
 
 
-@R.add(_FOLD.format(log=_LOG, start="0", step="CASE WHEN status < 400 THEN d / 2 WHEN status = 429 THEN least(30, (CASE d WHEN 0 THEN 1 ELSE d END) * 2) WHEN status = 403 THEN least(30, (CASE d WHEN 0 THEN 1 ELSE d END) * 1.5) WHEN status >= 500 THEN least(30, (CASE d WHEN 0 THEN 1 ELSE d END) * 1.25) ELSE d END"))
+@R.add(DELAY_SQL)
 def throttle_states(spark: SparkSession, sf: str) -> DataFrame:
     from ..streaming.throttle import fold_delays
 
     return fold_delays(_fetch_log(spark, sf)).withColumn("delay", F.round("delay", 9))
 
 
-@R.add(_FOLD.format(log=_LOG, start="1", step="CASE WHEN status < 400 THEN greatest(1, d * 0.75) WHEN status = 429 THEN least(60, d * 3) WHEN status IN (401, 403) THEN least(60, d * 2) WHEN status >= 500 THEN least(60, d * 1.5) ELSE d END"))
+@R.add(SYNC_SQL)
 def throttle_sync(spark: SparkSession, sf: str) -> DataFrame:
     from ..streaming.throttle import fold_sync_delays
 

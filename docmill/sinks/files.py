@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_words, slug
+from ..operators.select import spread_numbers
 
 
 def append_json(df: DataFrame, path: str) -> None:
@@ -54,21 +55,29 @@ def markdown_groups(df: DataFrame, group: str, seq: str, article: Column) -> Dat
     return out.select(group, "first", "n", F.concat(F.lit("---\n\n"), heading, body).alias("body"))
 
 
-def record_names(df: DataFrame, title: str, seq: str) -> DataFrame:
-    """``df`` with file: slug_001.md and so on, counted per slug."""
+def record_names(df: DataFrame, title: Column, seq: str) -> DataFrame:
+    """``df`` with file: slug_001.md and so on, counted per slug; from 1,000 on with as many digits as the number has."""
     named = df.withColumn("_slug", slug(F.coalesce(title, F.lit("")), 40))
-    at = F.row_number().over(W.partitionBy("_slug").orderBy(seq))
-    return named.withColumn("file", F.concat("_slug", F.lit("_"), F.lpad(at.cast("string"), 3, "0"), F.lit(".md"))).drop("_slug")
+    numbered = spread_numbers(named, [F.col("_slug")], [F.col(seq)], "_at")
+    digits = F.col("_at").cast("string")
+    return numbered.withColumn("file", F.concat("_slug", F.lit("_"), F.when(F.col("_at") < 1000, F.lpad(digits, 3, "0")).otherwise(digits), F.lit(".md"))).drop("_slug", "_at")
 
 
 def artefact_name(url: Column, name: Column) -> Column:
     return F.concat(F.substring(F.sha2(url, 256), 1, 8), F.lit("_"), name)
 
 
+def readable(title: Column, length: int = 80) -> Column:
+    """A title as a file name: what files can't hold goes, white space becomes one space."""
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(title, F.lit("")), r'[<>:"/\\|?*\x00-\x1f]', ""), r"\s+", " ")
+    return F.regexp_replace(F.substring(F.trim(plain), 1, length), r"[ .]+\z", "")
+
+
 def readable_names(df: DataFrame, name: str, seq: str, ending: str) -> DataFrame:
     """``df`` with member: the name, the second of a kind with __2, the third with __3."""
-    at = F.row_number().over(W.partitionBy(name).orderBy(seq))
-    return df.withColumn("member", F.concat(F.col(name), F.when(at > 1, F.concat(F.lit("__"), at.cast("string"))).otherwise(""), F.lit(ending)))
+    at = F.col("_at")
+    numbered = spread_numbers(df, [F.col(name)], [F.col(seq)], "_at")
+    return numbered.withColumn("member", F.concat(F.col(name), F.when(at > 1, F.concat(F.lit("__"), at.cast("string"))).otherwise(""), F.lit(ending))).drop("_at")
 
 
 def write_archives(df: DataFrame, path: str, shelf: str) -> None:
@@ -84,22 +93,62 @@ def write_archives(df: DataFrame, path: str, shelf: str) -> None:
     df.select(shelf, "member", "content").groupBy(shelf).applyInPandas(pack, df.select(shelf).schema.add("archive", "binary")).write.mode("overwrite").parquet(path)
 
 
-def citekeys(df: DataFrame, authors: str, year: str, title: str, seq: str) -> DataFrame:
-    """``df`` with citekey: surname, year and first word of the title; further ones of a kind get b, c and so on."""
+def letters(n: Column, most: int = 7) -> Column:
+    """1 is a, 26 is z, 27 is aa and so on; up to ``most`` letters."""
+    out, left = F.lit(""), n.cast("long")
+    for _ in range(most):
+        out = F.when(left > 0, F.concat(F.char(F.lit(97) + (left - 1) % 26), out)).otherwise(out)
+        left = F.floor((left - 1) / 26)
+    return out
+
+
+def citekeys(df: DataFrame, authors: Column, year: str, title: Column, seq: str) -> DataFrame:
+    """``df`` with citekey: surname, year and first word of the title; further ones of a kind get b, c and so on to z, then -a, -b, ..., -aa.
+
+    Keys are unique: a letter that would make another row's plain key is passed over.
+    """
     first = F.trim(F.element_at(F.split(F.coalesce(authors, F.lit("")), ","), 1))
     surname = F.regexp_replace(F.element_at(F.split(first, r"\s+"), -1), "[^A-Za-z]", "")
     surname = F.when(first == "", "anon").otherwise(F.lower(surname))
     word = F.element_at(F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9]+", " ")), " "), 1)
     base = F.concat(surname, F.substring(F.coalesce(F.col(year).cast("string"), F.lit("nd")), 1, 4), F.when(word == "", "x").otherwise(word))
-    at = F.row_number().over(W.partitionBy("_base").orderBy(seq))
-    return df.withColumn("_base", base).withColumn("_at", at).withColumn("citekey", F.concat("_base", F.when(F.col("_at") > 1, F.char(F.lit(96) + F.col("_at"))).otherwise(""))).drop("_base", "_at")
-
-
-def bibtex(key: Column, fields: dict[str, Column], kind: str = "article") -> Column:
-    """One entry; empty fields are left out, braces and ampersands of values too."""
-    plain = lambda c: F.replace(F.replace(F.regexp_replace(c, "[{}]", ""), F.lit("&amp;"), F.lit("and")), F.lit("&"), F.lit("and"))
-    lines = [F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"  {name:<9} = {{"), plain(c), F.lit("}"))) for name, c in fields.items()]
-    return F.concat(F.lit(f"@{kind}{{"), key, F.lit(",\n"), F.concat_ws(",\n", *lines), F.lit("\n}"))
+    numbered = spread_numbers(df.withColumn("_base", base), [F.col("_base")], [F.col(seq)], "_at")
+    kinds = numbered.groupBy("_base").agg(F.max("_at").alias("_n"))
+    taken = kinds.select(F.regexp_replace("_base", ".$", "").alias("_base"), (F.ascii(F.right("_base", F.lit(1))) - 96).alias("letter")).filter(F.col("letter").between(2, 26))
+    taken = taken.join(kinds.filter("_n > 1").select("_base"), "_base", "left_semi").groupBy("_base").agg(F.collect_set("letter").alias("_taken"))
+    free = F.filter(F.sequence(F.lit(2), F.lit(26)), lambda i: ~F.array_contains(F.coalesce("_taken", F.array().cast("array<int>")), i))
+    at = F.col("_at")
+    some = F.when(at == 1, "").when(at - 1 <= F.size(free), letters(F.get(free, (at - 2).cast("int")))).otherwise(F.concat(F.lit("-"), letters(at - 1 - F.size(free))))
+    return numbered.join(taken, "_base", "left").withColumn("citekey", F.concat("_base", some)).drop("_base", "_at", "_taken")
+
+
+def _plain(value: Column) -> Column:
+    """Without braces, and for ampersands."""
+    return F.replace(F.replace(F.regexp_replace(F.coalesce(value, F.lit("")), "[{}]", ""), F.lit("&amp;"), F.lit("and")), F.lit("&"), F.lit("and"))
+
+
+def bibtex(key: Column, authors: Column, title: Column, year: Column, venue: Column, doi: Column, arxiv: Column, link: Column) -> Column:
+    """One entry: author, title and year always, the rest where it is known; a preprint number counts where no venue does, and makes a @misc."""
+    none = lambda c: F.coalesce(c.cast("string"), F.lit("")) == ""
+    names = F.array_join(F.filter(F.transform(F.split(F.coalesce(authors, F.lit("")), ","), lambda a: F.trim(a)), lambda a: a != ""), " and ")
+    venue = _plain(venue)
+    preprint = ~none(arxiv) & (venue == "")
+    line = lambda name, value, there=None: (lambda x: x if there is None else F.when(there, x))(F.concat(F.lit(f"  {name:<9} = {{"), value, F.lit("}")))
+    lines = [
+        line("author", names), line("title", _plain(title)), line("year", F.substring(F.coalesce(year.cast("string"), F.lit("")), 1, 4)), line("journal", venue, venue != ""), line("doi", doi, ~none(doi)),
+        line("eprint", arxiv, preprint), F.when(preprint, F.lit("  archivePrefix = {arXiv}")), line("url", link, ~none(link)),
+    ]
+    return F.concat(F.when(preprint, "@misc{").otherwise("@article{"), key, F.lit(",\n"), F.concat_ws(",\n", *lines), F.lit("\n}"))
+
+
+def reference_line(key: Column, authors: Column, title: Column, year: Column, venue: Column, source: Column, doi: Column, arxiv: Column) -> Column:
+    """A line of a reference list: at most three authors of more than four, then year, title, venue or else source, and a number."""
+    known = lambda c: F.nullif(F.coalesce(c.cast("string"), F.lit("")), F.lit(""))
+    names = F.coalesce(known(authors), F.lit("Anon."))
+    parts = F.split(names, ",")
+    names = F.when(F.size(parts) > 4, F.concat(F.array_join(F.slice(parts, 1, 3), ","), F.lit(", et al."))).otherwise(names)
+    tail = F.when(known(doi).isNotNull(), F.concat(F.lit(" doi:"), doi)).when(known(arxiv).isNotNull(), F.concat(F.lit(" arXiv:"), arxiv)).otherwise("")
+    return F.concat(F.lit("- ["), key, F.lit("] "), names, F.lit(" ("), F.substring(F.coalesce(known(year), F.lit("n.d.")), 1, 4), F.lit("). *"), F.trim(F.coalesce(title, F.lit(""))), F.lit("*. "), F.coalesce(known(venue), known(source), F.lit("")), F.lit("."), tail)
 
 
 def write_lines(df: DataFrame, path: str, column: str) -> None:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.patents import IN_RESULT
+
 _EDGE = r"^[ \t\r\n\f\x0B]+|[ \t\r\n\f\x0B]+\z"
 
 
@@ -87,7 +89,7 @@ def from_parallel_arrays(df: DataFrame, arrays: list[str]) -> DataFrame:
 def cluster_ids(json: Column) -> Column:
     """Patent numbers in results.cluster[].result[].id, in order, each once."""
     kind = "results struct<cluster:array<struct<result:array<struct<id:string>>>>>"
-    flat = F.flatten(F.transform(F.from_json(json, kind)["results"]["cluster"], lambda c: F.transform(c["result"], lambda r: F.regexp_extract(r["id"], r"([A-Z]{2}\d+[A-Z]\d?)", 1))))
+    flat = F.flatten(F.transform(F.from_json(json, kind)["results"]["cluster"], lambda c: F.transform(c["result"], lambda r: F.regexp_extract(r["id"], IN_RESULT, 1))))
     return F.array_distinct(F.filter(flat, lambda x: x != ""))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from ..functions.keys import content_hash
 from ..functions.text import shingle_hashes
-from ..operators.dedup import cut_lineage
+from ..lineage import cut_lineage
 from . import folders
 
 #: Bands of a sketch, and minima in a band.
