@@ -125,24 +125,22 @@ def source_tag(name: Column, date: Column, kind: str, as_of: str) -> Column:
     return F.concat(file_slug(name), F.lit(f"_{kind}_"), F.year(at).cast("string"), F.lit("Q"), F.quarter(at).cast("string"), F.lit(".parquet"))
 
 
+def pieces(text: str | None, size: int = 5000) -> list[str]:
+    """Pieces of at most ``size`` characters that join to the text: cut after the last blank line, else the last sentence end, of the second half."""
+    out, at, text = [], 0, text or ""
+    while len(text) - at > size:
+        for mark in ("\n\n", ". "):
+            found = text.rfind(mark, at, at + size)
+            if found - at >= size // 2:
+                end = min(found + 2, at + size)
+                break
+        else:
+            end = at + size
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def chunk_text(s: pd.Series) -> pd.Series:
-    """Pieces of at most 5000 characters that join to the text: cut after the last blank line, else the last sentence end, of the second half."""
-    size = 5000
-
-    def cut(text: str | None) -> list[str]:
-        out, at = [], 0
-        text = text or ""
-        while len(text) - at > size:
-            for mark in ("\n\n", ". "):
-                found = text.rfind(mark, at, at + size)
-                if found - at >= size // 2:
-                    end = min(found + 2, at + size)
-                    break
-            else:
-                end = at + size
-            out.append(text[at:end])
-            at = end
-        return [*out, text[at:]]
-
-    return s.map(cut)
+    return s.map(pieces)

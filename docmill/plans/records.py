@@ -16,7 +16,7 @@ from .corpus import HOST, SPLIT
 R = Registry()
 
 
-def _split_fields(text: str) -> list[str]:
+def split_fields(text: str) -> list[str]:
     """The fields of a select list, at commas outside of brackets and quotes."""
     out, depth, quoted = [""], 0, False
     for c in text:
@@ -76,7 +76,7 @@ m AS (SELECT *, regexp_matches(f, 'geotiff|netcdf|grib|hdf|kml') AS b FROM l)
 SELECT p_partkey, CASE WHEN contains(a, 'paid') AND NOT contains(a, 'free') AND NOT contains(a, 'mixed') THEN 'excluded_paid' WHEN k = 'imagery' AND b THEN 'skip_binary' WHEN b AND NOT contains(f, 'html') AND NOT contains(f, 'pdf') THEN 'skip_binary'
 WHEN contains(f, 'api') AND k = 'numeric' AND NOT regexp_matches(f, 'pdf|html|web') THEN 'api_numeric' ELSE 'deep' END AS bucket FROM m""")
 def source_buckets(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "part").selectExpr(*_split_fields(_CATALOG))
+    rows = table(spark, sf, "part").selectExpr(*split_fields(_CATALOG))
     return rows.select("p_partkey", reshape.source_bucket(F.col("form"), F.col("access"), F.col("kind")).alias("bucket"))
 
 
@@ -221,7 +221,7 @@ k AS (SELECT n.*, base || CASE WHEN i = 1 THEN '' WHEN i - 1 <= len(free) THEN c
 
 
 def _papers(spark: SparkSession, sf: str) -> DataFrame:
-    return sinks.citekeys(table(spark, sf, "part").selectExpr(*_split_fields(_PAPER)), F.col("authors"), "year", F.col("title"), "p_partkey")
+    return sinks.citekeys(table(spark, sf, "part").selectExpr(*split_fields(_PAPER)), F.col("authors"), "year", F.col("title"), "p_partkey")
 
 
 @R.add(_KEYED + f"""SELECT p_partkey, citekey, CASE WHEN arxiv <> '' AND venue IS NULL THEN '@misc{{' ELSE '@article{{' END || citekey || ',' || chr(10) || '  author    = {{' || array_to_string(list_filter(list_transform(string_split(authors, ','), lambda a: trim(a)), lambda a: a <> ''), ' and ') || '}},' || chr(10)
