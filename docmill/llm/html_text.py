@@ -37,9 +37,18 @@ _TOKEN = re.compile(
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Elements that end a block.
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
-#: Elements whose nesting is followed.
-_NESTED = frozenset("article aside body div figure footer form header main menu nav ol section table ul button dialog".split())
-_BY_ELEMENT = {"nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "sidebar", "form": "form", "button": "form", "dialog": "notice", "article": "article", "main": "article"}
+#: Elements without an end, which hold nothing.
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose end tag may be left out, with what ends them when it starts and what keeps that inside.
+_ENDED_BY = {
+    "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))), "dt": (frozenset(("dt", "dd")), frozenset(("dl",))), "dd": (frozenset(("dt", "dd")), frozenset(("dl",))),
+    "td": (frozenset(("td", "th", "tr", "tbody", "tfoot")), frozenset(("table",))), "th": (frozenset(("td", "th", "tr", "tbody", "tfoot")), frozenset(("table",))),
+    "tr": (frozenset(("tr", "tbody", "tfoot")), frozenset(("table",))), "option": (frozenset(("option", "optgroup")), frozenset(("select", "datalist"))), "p": (_BLOCKS, frozenset()),
+}
+#: Elements whose names say less: within a line only what is no text of the page's author, for headings the same, for rows and cells no header.
+_INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var h1 h2 h3 h4 h5 h6".split())
+_CELLS = frozenset("tr td th thead tbody tfoot caption col colgroup".split())
+_BY_ELEMENT = {"nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "sidebar", "form": "form", "button": "form", "select": "form", "datalist": "form", "option": "form", "label": "form", "dialog": "notice", "article": "article", "main": "article"}
 #: Kinds by words in class, id and role; the first that is there counts.
 _BY_NAME = tuple((kind, re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I)) for kind, words in (
     ("comments", "comments?|commentlist|replies|reply|respond|disqus|discussion"),
@@ -52,8 +61,12 @@ _BY_NAME = tuple((kind, re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I
     ("form", "form|search|login|signup|register"),
     ("article", "article|content|main|post|entry|story|body-text|post-body|entry-content"),
 ))
-#: Parts of a name that say what a wrapper has or holds, not what it is.
-_ABOUT = frozenset("has with without no not layout page wrapper wrap container grid col row body main content is".split())
+#: Parts of a name before which or after which it says what an element has or lacks, not what it is.
+_ABOUT = frozenset("has with without no not is layout".split())
+#: Names by which an article is none of the page's own: another reader's, an advert, or the start of another page's.
+_OTHER_ARTICLES = frozenset("comment comments reply advert ad sponsored promo teaser card preview related recommended".split())
+#: What passing from one article into the next one costs in the scan: a teaser is not worth it, the next part of a long text is.
+BETWEEN_ARTICLES = -25.0
 #: Elements that hold the whole page or its main text, whatever their names say besides.
 _WHOLE = frozenset(("html", "body", "main", "article"))
 _APART = frozenset(("comments", "advert", "notice", "menu", "sidebar", "footer", "header", "form"))
@@ -65,18 +78,60 @@ def _kind(tag: str, rest: str) -> str | None:
         told = [n for n in names if not _ABOUT.intersection(re.split("[-_]", n.lower())[:-1])]
         if tag in _WHOLE:
             # One comment or one advert may be an article of its own; other names of an article are its topics.
-            told = [n for n in told if n.lower() in ("comment", "comments", "reply", "advert", "ad", "sponsored", "promo")] if tag == "article" else []
+            told = [n for n in told if n.lower() in _OTHER_ARTICLES] if tag == "article" else []
         for kind, pattern in _BY_NAME:
             if any(pattern.search(n) for n in told):
+                if tag in _INLINE and kind not in ("comments", "advert", "notice") or tag in _CELLS and kind == "header":
+                    continue
                 return kind
+        if told and tag == "article":
+            return "sidebar"
     return _BY_ELEMENT.get(tag)
 
 
+class _Open:
+    """The open elements, each with the kind of text in it and whether a container of another kind is around."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, str, bool]] = []
+        self.count: Counter[str] = Counter()
+
+    def state(self) -> tuple[str, bool]:
+        return self.stack[-1][1:] if self.stack else ("page", False)
+
+    def _pop(self) -> str:
+        name = self.stack.pop()[0]
+        self.count[name] -= 1
+        return name
+
+    def end(self, name: str) -> None:
+        if self.count[name]:
+            while self._pop() != name:
+                pass
+
+    def start(self, name: str, rest: str) -> None:
+        while self.stack and (top := self.stack[-1][0]) in _ENDED_BY and name in _ENDED_BY[top][0]:
+            self._pop()
+        if name in _VOID or rest.endswith("/"):
+            return
+        own, (kind, apart) = _kind(name, rest), self.state()
+        if own == "header" and kind == "article":
+            own = None  # a heading's header inside an article is part of the article
+        if name == "main":
+            kind, apart = own or "page", own in _APART  # what is around the main element says nothing of what is in it
+        elif own in _APART:
+            kind, apart = own, True
+        elif own and not apart:
+            kind = own
+        self.stack.append((name, kind, apart))
+        self.count[name] += 1
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, str, bool]]:
-    """(what, kind, text, apart): what is tag, text, break or mark; kind names the weight; apart says whether a container of another kind is around."""
-    stack: list[tuple[str, str | None]] = []
-    kind, apart = "page", False
+    """(what, kind, text, apart): what is tag, text, break, next or mark; kind names the weight; apart says whether a container of another kind is around."""
+    open_, articles = _Open(), 0
     for m in _TOKEN.finditer(page):
+        kind, apart = open_.state()
         if m["text"]:
             yield "text", f"word:{kind}", m["text"], apart
         elif m["tag"] or m["torn"]:
@@ -86,22 +141,17 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool]]:
             if tag in "!?":
                 continue
             closing, name = tag[0] == "/", tag.lstrip("/")
-            if name == "body" and closing:
+            if name in ("body", "html") and closing:
                 continue
-            if name in _NESTED:
-                if closing:
-                    if any(t == name for t, _ in stack):
-                        while stack.pop()[0] != name:
-                            pass
-                elif not (m["rest"] or "").endswith("/"):
-                    found = _kind(name, m["rest"] or "")
-                    # A heading's header inside an article is part of the article.
-                    stack.append((name, None if found == "header" and kind == "article" else found))
-                # What is around the main element says nothing of what is in it.
-                inner = max((i for i, (t, _) in enumerate(stack) if t == "main"), default=0)
-                kinds = [k for _, k in stack[inner:] if k]
-                apart = any(k in _APART for k in kinds)
-                kind = next((k for k in reversed(kinds) if k in _APART), None) or (kinds[-1] if kinds else "page")
+            if closing:
+                open_.end(name)
+            else:
+                open_.start(name, m["rest"] or "")
+            kind, apart = open_.state()
+            if name == "article" and not closing and not apart and open_.count["article"] == 1:
+                articles += 1
+                if articles > 1:
+                    yield "next", "", "", False
             if name in _BLOCKS:
                 yield "break", f"tag:{name}:{kind}", "", apart
             elif name == "br":
@@ -121,7 +171,7 @@ def learn(pages: tuple[str, ...] = PAGES) -> dict[str, float]:
         for what, kind, text, _ in tokens(page):
             if what == "mark":
                 seen = inside if text == "" and kind == "main" else outside
-            else:
+            elif what != "next":
                 seen[kind] += len(text.split()) if kind.startswith("word:") else 1
     return {k: max(-3.0, min(3.0, math.log((inside[k] + 0.5) / (outside[k] + 0.5)))) for k in inside | outside}
 
@@ -133,33 +183,35 @@ _UNSEEN = {"word": 0.2, "tag": -0.2}
 
 def main_text(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
     """The text of the best run of blocks."""
-    blocks: list[tuple[float, str, bool]] = []
-    score, parts, apart = 0.0, [], False
+    blocks: list[tuple[float, str]] = []
+    score, parts = 0.0, []
     for what, kind, text, other in tokens(page or ""):
         if what == "mark":
             continue
+        if what == "next":
+            score += BETWEEN_ARTICLES
+            continue
         weight = weights.get(kind)
         if weight is None:
             weight = (-1.0 if other else _UNSEEN["word"]) if kind.startswith("word:") else (-0.5 if other else _UNSEEN["tag"])
         if what == "break":
-            blocks.append((score, "".join(parts), apart))
+            blocks.append((score, "".join(parts)))
             score, parts = weight, []
         elif what == "text":
-            parts.append(text)
+            parts.append(" " if other else text)
             score += weight * len(text.split())
         else:
             score += weight
-        apart = other
-    blocks.append((score, "".join(parts), apart))
+    blocks.append((score, "".join(parts)))
     best, first, last = 0.0, 0, 0
     running, start = 0.0, 0
-    for i, (value, _, _) in enumerate(blocks):
+    for i, (value, _) in enumerate(blocks):
         if running <= 0:
             running, start = 0.0, i
         running += value
         if running > best:
             best, first, last = running, start, i + 1
-    kept = (" ".join(html.unescape(text).split()) for _, text, other in blocks[first:last] if not other)
+    kept = (" ".join(html.unescape(text).split()) for _, text in blocks[first:last])
     return "\n".join(t for t in kept if t)
 
 
