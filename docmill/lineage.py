@@ -17,9 +17,28 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="docmill-")
 
 
+#: While this holds, an execution gives its exchanges back to the disks when it ends.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """Checkpoint into the shared folder; what the exchanges before it held on disk is given back at once."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    before = spark.conf.get(_FREE, "false")
+    try:
+        spark.conf.set(_FREE, "true")
+        own = df.select("*")  # the setting is read when a frame is made
+    finally:
+        spark.conf.set(_FREE, before)
+    return own.checkpoint()
+
+
+def drop_checkpoint(df: DataFrame) -> None:
+    """Delete the files of a frame that ``cut_lineage`` returned, once nothing will read it again."""
+    spark = df.sparkSession
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

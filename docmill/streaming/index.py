@@ -5,8 +5,9 @@ earlier one, has the same content key or a shingle set of at least ``threshold``
 similarity.  Only admitted rows enter the index.
 
 On disk an index is two tables, each in versions named by epoch (the streaming query's id) and
-batch.  ``keys`` holds band keys of MinHash sketches, ``members`` the content key and the
-shingle hashes of each admitted row.  ``compact`` merges the versions of ended batches into one base,
+batch.  ``keys`` holds band keys of MinHash sketches, ``members`` the content key and the text
+of each admitted row, which compresses better than hashes of its shingles: these are made anew
+for the few that a batch meets.  ``compact`` merges the versions of ended batches into one base,
 whose keys are bucketed by key, so that later batches meet it without moving it.
 
 A batch meets the index on its band keys, and full sets confirm what meets: a shared key alone
@@ -21,14 +22,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import ArrayType, LongType
 
 from ..functions.keys import content_hash
 from ..functions.text import shingle_hashes
-from ..lineage import cut_lineage
+from ..lineage import cut_lineage, drop_checkpoint
 from . import folders
 
 #: Bands of a sketch, and minima in a band.
@@ -36,7 +37,7 @@ BANDS, DEPTH = 25, 5
 #: Files of a base's keys, unless the index is told otherwise.
 BUCKETS = 64
 
-MEMBERS, KEYS = "member string, content string, n int, s array<long>", "key long, n int, member string"
+MEMBERS, KEYS = "member string, content string, text string", "key long, n int, member string"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -63,23 +64,27 @@ def band_keys(hashes: pd.Series) -> pd.Series:
     return hashes.map(keys)
 
 
+def _set(text: Column, size: int) -> Column:
+    """The shingle hashes of a text; none for a blank one."""
+    blank = F.trim(F.regexp_replace(text, r"[\t\n\r\f\x0B]", " ")) == ""
+    return F.when(blank, F.array().cast("array<long>")).otherwise(F.array_sort(shingle_hashes(text, size)))
+
+
 def sketched(rows: DataFrame, text: str, seq: str, size: int = 3) -> DataFrame:
-    """(id, content, member, n, s) of rows with any text; blank texts have no set and are known by their content alone."""
+    """(id, content, member, n, keys) of rows with any text; member stands for the set, or for the content of a blank text, which has no keys."""
     named = rows.select(F.col(seq).alias("id"), F.col(text).alias("_t")).filter(F.coalesce(F.col("_t"), F.lit("")) != "")
-    blank = F.trim(F.regexp_replace("_t", r"[\t\n\r\f\x0B]", " ")) == ""
-    s = F.when(blank, F.array().cast("array<long>")).otherwise(F.array_sort(shingle_hashes(F.col("_t"), size)))
-    named = named.select("id", content_hash(F.col("_t")).alias("content"), s.alias("s"))
+    named = named.select("id", content_hash(F.col("_t")).alias("content"), _set(F.col("_t"), size).alias("s"))
     member = F.when(F.size("s") == 0, F.col("content")).otherwise(F.md5(F.array_join(F.transform("s", lambda x: x.cast("string")), ",")))
-    return named.select("id", "content", member.alias("member"), F.size("s").alias("n"), "s")
+    return named.select("id", "content", member.alias("member"), F.size("s").alias("n"), band_keys("s").alias("keys"))
 
 
-def keyed(sets: DataFrame) -> DataFrame:
+def keyed(sketches: DataFrame) -> DataFrame:
     """(key, n, member), one row per band of each distinct set."""
-    one = sets.filter("n > 0").groupBy("member").agg(F.first("n").alias("n"), F.first("s").alias("s"))
-    return one.select("member", "n", F.explode(band_keys("s")).alias("key")).select("key", "n", "member")
+    one = sketches.filter("n > 0").groupBy("member").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    return one.select("member", "n", F.explode("keys").alias("key")).select("key", "n", "member")
 
 
-def _alike(threshold: float):
+def _alike(threshold: float) -> Column:
     k = F.size(F.array_intersect("x", "y"))
     return k >= threshold * (F.size("x") + F.size("y") - k) - 1e-9
 
@@ -125,60 +130,74 @@ class NearIndex:
 
     # -- a batch -------------------------------------------------------------
 
-    def known(self, sets: DataFrame, epoch: str | None = None, batch: int = 0) -> DataFrame:
-        """(member) of those sets of a batch that the index rejects."""
+    def _sets(self, sketches: DataFrame, rows: DataFrame, text: str, seq: str, wanted: DataFrame) -> DataFrame:
+        """(member, s) of the wanted members (member) of a batch, from the text of one row each."""
+        one = sketches.join(wanted.distinct(), "member", "left_semi").groupBy("member").agg(F.min("id").alias("id"))
+        return rows.select(F.col(seq).alias("id"), F.col(text).alias("_t")).join(one, "id").select("member", _set(F.col("_t"), self.size).alias("s"))
+
+    def known(self, sketches: DataFrame, rows: DataFrame, text: str, seq: str, epoch: str | None = None, batch: int = 0) -> DataFrame:
+        """(id) of those rows of a batch that the index rejects."""
         base, beside = self._parts(epoch, batch)
+        if base is None and not beside:
+            return sketches.select("id").limit(0)
         members = self.members(epoch, batch)
-        same = sets.join(members.select("content"), "content", "left_semi").select("content")
-        probes = keyed(sets).select("key", F.col("n").alias("m"), F.col("member").alias("mine"))
+        probes = keyed(sketches).select("key", F.col("n").alias("m"), F.col("member").alias("mine"))
         room = F.least("n", "m") >= F.greatest("n", "m") * self.threshold - 1e-9
         tables = [folders.read_versions(self.spark, f"{self.folder}/keys", KEYS, beside)] + ([self._base_keys(base)] if base is not None else [])
-        met = reduce(DataFrame.unionByName, [probes.join(t, "key").filter(room).select("mine", "member") for t in tables]).distinct()
-        full = met.join(members.select("member", F.col("s").alias("y")), "member")
-        mine = sets.filter("n > 0").groupBy("member").agg(F.first("s").alias("x")).withColumnRenamed("member", "mine")
-        near = full.join(mine, "mine").filter(_alike(self.threshold)).select(F.col("mine").alias("member")).distinct()
-        return sets.join(near, "member", "left_semi").select("id").unionByName(sets.join(same.distinct(), "content", "left_semi").select("id")).distinct()
+        met = cut_lineage(reduce(DataFrame.unionByName, [probes.join(t, "key").filter(room).select("mine", "member") for t in tables]).distinct())
+        held = members.join(met.select("member").distinct(), "member", "left_semi").select("member", _set(F.col("text"), self.size).alias("y"))
+        mine = self._sets(sketches, rows, text, seq, met.select(F.col("mine").alias("member"))).withColumnRenamed("member", "mine").withColumnRenamed("s", "x")
+        near = met.join(held, "member").join(mine, "mine").filter(_alike(self.threshold)).select(F.col("mine").alias("member")).distinct()
+        same = sketches.join(members.select("content").distinct(), "content", "left_semi").select("id")
+        found = cut_lineage(sketches.join(near, "member", "left_semi").select("id").unionByName(same).distinct())
+        drop_checkpoint(met)
+        return found
 
     def admit(self, rows: DataFrame, text: str, seq: str, epoch: str = "none", batch: int | None = None) -> DataFrame:
         """(seq) of the rows that are new, which then are in the index as version (epoch, batch).
 
         Null and empty texts are always new and never indexed.  Repeating a version replaces it.
+        ``seq`` has to be unique among the rows.
         """
         if batch is None:
             known = self._in_base(self._base()) | set(folders.versions(self.spark, f"{self.folder}/members"))
             batch = 1 + max((b for e, b in known if e == epoch), default=-1)
-        sets = cut_lineage(sketched(rows, text, seq, self.size))
-        fresh = cut_lineage(sets.join(self.known(sets, epoch, batch), "id", "left_anti"))
-        kept = cut_lineage(self._among(fresh))
-        new = fresh.join(kept, "id", "left_semi")
+        sketches = cut_lineage(sketched(rows, text, seq, self.size))
+        fresh = sketches.join(self.known(sketches, rows, text, seq, epoch, batch), "id", "left_anti")
+        kept = self._among(fresh, rows, text, seq)
+        new = sketches.join(kept, "id", "left_semi")
         at = f"epoch={epoch}/batch={batch}"
         keyed(new).write.mode("overwrite").parquet(f"{self.folder}/keys/{at}")
-        new.select("member", "content", "n", "s").write.mode("overwrite").parquet(f"{self.folder}/members/{at}")
+        held = rows.select(F.col(seq).alias("id"), F.col(text).alias("text")).join(new.select("id", "member", "content"), "id").select("member", "content", "text")
+        held.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/members/{at}")
         empty = rows.filter(F.coalesce(F.col(text), F.lit("")) == "").select(F.col(seq).alias("id"))
+        drop_checkpoint(sketches)
         return kept.unionByName(empty).withColumnRenamed("id", seq)
 
-    def _among(self, sets: DataFrame) -> DataFrame:
+    def _among(self, sketches: DataFrame, rows: DataFrame, text: str, seq: str) -> DataFrame:
         """(id) as if the rows of one batch came in order of id.
 
         A row is kept once it is the first open one of its content and of its set and no open
         row before it has a similar set; what it shares a content or a similar set with, goes.
         """
-        keys = keyed(sets)
+        keys = keyed(sketches)
         right = keys.select("key", F.col("n").alias("m"), F.col("member").alias("other"))
         room = (F.col("member") < F.col("other")) & (F.least("n", "m") >= F.greatest("n", "m") * self.threshold - 1e-9)
-        one = sets.filter("n > 0").groupBy("member").agg(F.first("s").alias("s"))
-        met = keys.join(right, "key").filter(room).select("member", "other").distinct()
-        met = met.join(one.select("member", F.col("s").alias("x")), "member").join(one.select(F.col("member").alias("other"), F.col("s").alias("y")), "other")
+        pairs = cut_lineage(keys.join(right, "key").filter(room).select("member", "other").distinct())
+        both = F.explode(F.array("member", "other")).alias("member")
+        sets = cut_lineage(self._sets(sketches, rows, text, seq, pairs.select(both)))
+        met = pairs.join(sets.withColumnRenamed("s", "x"), "member").join(sets.select(F.col("member").alias("other"), F.col("s").alias("y")), "other")
         near = met.filter(_alike(self.threshold)).select("member", "other")
         edges = cut_lineage(near.unionByName(near.select(F.col("other").alias("member"), F.col("member").alias("other"))))
-        open_ = sets.select("id", "content", "member")
+        drop_checkpoint(sets)
+        open_ = sketches.select("id", "content", "member")
         kept = []
         while True:
             by_set = open_.groupBy("member").agg(F.min("id").alias("first"))
             by_content = open_.groupBy("content").agg(F.min("id").alias("led"))
             rivals = edges.join(by_set.withColumnRenamed("member", "other"), "other").groupBy("member").agg(F.min("first").alias("rival"))
             led = by_set.join(rivals, "member", "left").filter("rival IS NULL OR first < rival").select(F.col("first").alias("id"))
-            now = cut_lineage(open_.join(led, "id", "left_semi").join(by_content, "content").filter("id = led").select("id", "content", "member"))
+            now = cut_lineage(open_.join(led, "id", "left_semi").join(by_content, F.col("led") == F.col("id"), "left_semi").select("id", "content", "member"))
             kept.append(now.select("id"))
             near_now = edges.join(now.select("member"), "member", "left_semi").select(F.col("other").alias("member")).unionByName(now.select("member")).distinct()
             open_ = cut_lineage(open_.join(near_now, "member", "left_anti").join(now.select("content"), "content", "left_anti"))
