@@ -85,13 +85,14 @@ def empty_spans() -> Column:
     return F.array().cast("array<struct<s:int,e:int>>")
 
 
-def find_spans(text: Column, pattern: str, keep: Column | None = None, group: int | None = None, least: int = 0) -> Column:
+def find_spans(text: Column, pattern: str, keep: Column | None = None, group: int | None = None, least: int = 0, tail: bool = False) -> Column:
     """Leftmost non-overlapping matches of ``pattern`` as an array of (s, e) in code points.
 
     ``split`` and ``regexp_extract_all`` scan alike, so the pieces between matches and
     the matches themselves interleave to the whole text; their lengths give positions.
     With ``group`` and ``least``, matches whose group has fewer code points are dropped
-    after matching.  Texts without any match cost one scan.
+    after matching; with ``tail``, the spans are those of the group, which has to end its match.
+    Texts without any match cost one scan.
     """
     lengths = lambda xs: F.transform(xs, lambda x: F.length(x))
     matches = lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
@@ -102,7 +103,7 @@ def find_spans(text: Column, pattern: str, keep: Column | None = None, group: in
 
     def step(a: Column, x: Column) -> Column:
         s, e = a["at"] + x["g"], a["at"] + x["g"] + x["m"]
-        one = F.array(F.struct(s.alias("s"), e.alias("e")))
+        one = F.array(F.struct((e - x["i"] if tail else s).alias("s"), e.alias("e")))
         grown = F.when(x["i"] >= least, F.concat(a["out"], one)).otherwise(a["out"]) if least else F.concat(a["out"], one)
         return F.struct(e.alias("at"), grown.alias("out"))
 

@@ -37,10 +37,11 @@ WEAK = (
     r"(?<![0-9A-Za-z])(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{16,23}(?![0-9A-Za-z])"
     r"|(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])[A-Za-z0-9+/]{32,}={0,2}"
     r"|(?i:\b(?:pwd|pass|passphrase|private_?key|credential|auth)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.-]{6,})"
-    r"|(?<=://[A-Za-z0-9._-]{1,40}:)[^\s/@:\"'<>]{6,}(?=@[A-Za-z0-9])"
 )
+#: A password in an address, after the name of its user; as long as they are.
+IN_ADDRESS = r"://[A-Za-z0-9._-]+:([^\s/@:\"'<>]{6,})(?=@[A-Za-z0-9])"
 #: Complementary parts.
-IDENTIFIER = r"AKIA[A-Z0-9]{16,}|(?i:\b(?:access_?key(?:_?id)?|client_?id|account|user(?:_?name)?|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{3,})|(?<=://)[A-Za-z0-9._-]{1,40}(?=:[^\s/@:\"'<>]+@)"
+IDENTIFIER = r"AKIA[A-Z0-9]{16,}|(?i:\b(?:access_?key(?:_?id)?|client_?id|account|user(?:_?name)?|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{3,})|(?<=://)[A-Za-z0-9._-]+(?=:[^\s/@:\"'<>]+@)"
 ENDPOINT = r"(?i:\b[a-z][a-z0-9+]{1,15}://[^\s\"'<>]{3,}|\b(?:host|endpoint|server|url)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{3,})"
 SCOPE = 200
 
@@ -53,10 +54,13 @@ def scan(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     base = docs.select(
         "doc_id", *carry, row_key(F.col("doc_id"), text).alias("row_key"),
         find_spans(text, ASSIGN, group=2, least=ASSIGN_LEAST).alias("assign"), find_spans(text, ACCESS).alias("access"), find_spans(text, HEX).alias("hex"),
-        find_spans(text, WEAK).alias("weak"), text,
+        find_spans(text, WEAK).alias("weak"), find_spans(text, IN_ADDRESS, group=1, tail=True).alias("in_address"), text,
     )
-    overlaps = lambda w: F.exists(F.concat("assign", "access", "hex"), lambda b: (b["s"] < w["e"]) & (b["e"] > w["s"]))
-    base = base.withColumn("weak", F.when(F.size("weak") == 0, F.col("weak")).otherwise(F.filter("weak", lambda w: ~overlaps(w))))
+    apart = lambda w, *kinds: ~F.exists(F.concat(*kinds), lambda b: (b["s"] < w["e"]) & (b["e"] > w["s"]))
+    without = lambda own, *kinds: F.when(F.size(own) == 0, F.col(own)).otherwise(F.filter(own, lambda w: apart(w, *kinds)))
+    # A password in an address is one candidate, whatever runs lie in it.
+    base = base.withColumn("in_address", without("in_address", *BASE)).withColumn("weak", without("weak", *BASE, "in_address"))
+    base = base.withColumn("weak", F.when(F.size("in_address") == 0, F.col("weak")).otherwise(F.array_sort(F.concat("weak", "in_address"))))
     some = F.size("weak") > 0
     return base.select(
         "doc_id", *carry, "row_key", "assign", "access", "hex", "weak",
