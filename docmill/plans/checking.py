@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,12 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import registered
 from ..lineage import shared_folder
-from ..operators import checks
+from ..operators import checks, merging
 from ..sinks import files as sinks
 from ..sinks import records
 from ..sources import zipped
 from .common import Registry, table
-from .corpus import SPLIT
+from .corpus import CHUNK_SQL, SPLIT
 from .records import split_fields
 
 R = Registry()
@@ -85,4 +86,46 @@ def named_functions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Landed rows of five sources, from the documents by their id, in words that Spark and DuckDB share.
+_WHEN = "CASE doc_id % 4 WHEN 0 THEN '2024-02-03' WHEN 1 THEN '2023-12-31T10:00:00Z' WHEN 2 THEN 'soon' END"
+_LANDED = {
+    "runs/a/scrape.parquet": f"doc_id, concat('firm ', doc_id % 7) AS company, CASE WHEN doc_id % 2 = 0 THEN concat('Firm ', doc_id % 7, ' plc') ELSE '' END AS company_canonical, concat('t', doc_id) AS title, concat('https://a/', doc_id) AS link, {_WHEN} AS date, text AS full_text, CASE WHEN doc_id % 3 = 0 THEN 'own.parquet' END AS source_file",
+    "sec/filings.parquet": f"doc_id, concat('firm ', doc_id % 7) AS company, CASE WHEN doc_id % 3 > 0 THEN '10-K' END AS form, {_WHEN} AS filing_date, concat('https://s/', doc_id) AS url, text AS full_text, doc_id AS words",
+    "fca/nsm.parquet": f"doc_id, CASE WHEN doc_id % 3 > 0 THEN concat('firm ', doc_id % 7) END AS csv_company, 'hit' AS hit_company, 'L1' AS csv_lei, NULL AS hit_lei, 'Annual' AS headline, concat('https://f/', doc_id) AS download_url, {_WHEN} AS publication_date, 'ACS' AS type_code, 0.5 AS file_size_mb, text AS full_text",
+    "uk/filings.parquet": f"doc_id, concat('firm ', doc_id % 7) AS company, CASE WHEN doc_id % 3 > 0 THEN concat('00', doc_id) END AS company_number, 'AA' AS filing_type, {_WHEN} AS filing_date, CASE WHEN doc_id % 2 = 0 THEN 'full accounts' END AS description, 12 AS pages, text AS full_text",
+    "site/pages.parquet": "doc_id, concat('t', doc_id) AS title, concat('https://q/', doc_id) AS url, text, 7 AS words",
+}
+_AT = {"runs/a/scrape.parquet": "date", "sec/filings.parquet": "filing_date", "fca/nsm.parquet": "publication_date", "uk/filings.parquet": "filing_date"}
+_DOCS = {
+    "runs/a/scrape.parquet": "coalesce(nullif(company_canonical, ''), company) AS company, title, link, '' AS source, coalesce(source_file, 'scrape.parquet') AS source_file, full_text AS text",
+    "sec/filings.parquet": "company, coalesce(form, '') || ' ' || coalesce(filing_date, '') AS title, url AS link, 'SEC EDGAR ' || coalesce(form, '') AS source, 'sec/filings.parquet' AS source_file, full_text AS text",
+    "fca/nsm.parquet": "coalesce(csv_company, hit_company) AS company, headline AS title, download_url AS link, 'FCA NSM ' || type_code AS source, 'fca/nsm.parquet' AS source_file, full_text AS text",
+    "uk/filings.parquet": f"company, filing_type || ' ' || coalesce(filing_date, '') AS title, coalesce('{merging.REGISTER}' || company_number || '/filing-history', '') AS link, 'Companies House ' || filing_type AS source, 'uk/filings.parquet' AS source_file, full_text AS text",
+    "site/pages.parquet": "'Firm Q' AS company, title, url AS link, 'q.example' AS source, 'site/pages.parquet' AS source_file, text",
+}
+_ALL = " UNION ALL ".join(f"SELECT doc_id AS k, {_DOCS[s]}, {f'CAST(try_cast({_AT[s]} AS TIMESTAMP) AS TIMESTAMP)' if s in _AT else 'CAST(NULL AS TIMESTAMP)'} AS date FROM (SELECT {rows} FROM documents WHERE doc_id % 5 = {i})" for i, (s, rows) in enumerate(_LANDED.items()))
+
+
+def _merged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    kinds = (merging.scraped, merging.agency_filings, merging.storage_filings, merging.register_filings, functools.partial(merging.one_site, company="Firm Q", site="q.example"))
+    docs = table(spark, sf, "documents")
+    return merging.merged([(kind, docs.filter(F.col("doc_id") % 5 == i).selectExpr(*split_fields(rows)), source) for i, (kind, (source, rows)) in enumerate(zip(kinds, _LANDED.items(), strict=True))])
+
+
+@R.add(f"""WITH RECURSIVE t AS (SELECT * FROM ({_ALL})), {CHUNK_SQL}
+SELECT company, title, link, substr(chunk, 1, 200) AS snippet, date, source, md5(chunk) AS full_text, source_file, chunk_ix, coalesce(CAST(year(date) AS VARCHAR), 'undated') AS year FROM chunked JOIN t USING (k)""")
+def merged_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Five kinds of sources as one table of chunks, each with the folder it goes to."""
+    chunks, _ = _merged(spark, sf)
+    return chunks.withColumn("full_text", F.md5("full_text")).withColumn("year", sinks.year_of(F.col("date")))
+
+
+@R.add("SELECT CASE doc_id % 5 WHEN 0 THEN 'https://a/' || doc_id WHEN 1 THEN 'https://s/' || doc_id WHEN 2 THEN 'https://f/' || doc_id WHEN 3 THEN CASE WHEN doc_id % 3 > 0 THEN '" + merging.REGISTER + """00' || doc_id || '/filing-history' ELSE '' END ELSE 'https://q/' || doc_id END AS link,
+['runs/a/scrape.parquet', 'sec/filings.parquet', 'fca/nsm.parquet', 'uk/filings.parquet', 'site/pages.parquet'][doc_id % 5 + 1] AS source_parquet, CASE WHEN doc_id % 5 = 1 THEN CASE WHEN doc_id % 3 > 0 THEN '10-K' ELSE '' END END AS form, CASE WHEN doc_id % 5 = 2 THEN 'L1' END AS lei,
+CASE WHEN doc_id % 5 = 3 THEN CASE WHEN doc_id % 3 > 0 THEN '00' || doc_id ELSE '' END END AS company_number, CASE WHEN doc_id % 5 = 3 THEN false END AS paper_filed, CAST(CASE doc_id % 5 WHEN 1 THEN doc_id WHEN 2 THEN 0 WHEN 3 THEN 0 WHEN 4 THEN 7 END AS BIGINT) AS words FROM documents""")
+def merged_provenance(spark: SparkSession, sf: str) -> DataFrame:
+    """What each kind of source knows besides, by link; columns of other kinds are null."""
+    return _merged(spark, sf)[1].select("link", "source_parquet", "form", "lei", "company_number", "paper_filed", "words")
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql

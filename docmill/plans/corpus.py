@@ -126,7 +126,14 @@ def titles_and_slugs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.normal_title(head).alias("title"), T.snippet(F.col("text")).alias("snippet"), T.slug(head).alias("slug"))
 
 
-@R.add()
+#: Chunks as a recursion over (k, text) of a table t: from where the last one ended, to the last blank line or else sentence end of the second half.
+CHUNK_SQL = r"""c(k, ix, start, stop, text) AS (SELECT k, -1, 0::BIGINT, 0::BIGINT, coalesce(text, '') FROM t UNION ALL
+SELECT k, ix + 1, stop, CASE WHEN length(text) - stop <= 5000 THEN length(text) WHEN a > 0 AND 4999 - a >= 2500 THEN least(stop + 4999 - a + 2, stop + 5000) WHEN b > 0 AND 4999 - b >= 2500 THEN least(stop + 4999 - b + 2, stop + 5000) ELSE stop + 5000 END, text
+FROM (SELECT *, strpos(reverse(substr(text, stop + 1, 5000)), chr(10) || chr(10)) AS a, strpos(reverse(substr(text, stop + 1, 5000)), ' .') AS b FROM c WHERE stop < length(text) OR ix = -1)),
+chunked AS (SELECT k, ix AS chunk_ix, substr(text, start + 1, stop - start) AS chunk FROM c WHERE ix >= 0)"""
+
+
+@R.add(f"WITH RECURSIVE t AS (SELECT doc_id AS k, text FROM documents), {CHUNK_SQL} SELECT k AS doc_id, chunk_ix, chunk, CASE WHEN length(chunk) > 200 THEN substr(chunk, 1, 200) || '...' ELSE chunk END AS snippet FROM chunked")
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", F.posexplode(T.chunk_text(F.col("text"))).alias("chunk_ix", "chunk"))
     return docs.withColumn("snippet", T.snippet(F.col("chunk"), 200))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docmill.functions import registered
-from docmill.operators import checks
+from docmill.operators import checks, merging
 from docmill.sinks import records
 from docmill.sources import zipped
 from docmill.streaming import incremental, stopping
@@ -114,3 +114,17 @@ def test_checks_across_rows(spark):
     assert all(got[i] == {"boilerplate"} for i in range(5))
     assert (got[10], got[11], got[12], got[13], got[14]) == ({"cross_ticker"}, {"cross_ticker", "ticker_mismatch"}, {"empty"}, {"empty"}, set())
     assert checks.quality_suite(df.limit(0)).count() == 0
+
+
+def test_merged_sources_that_lack_columns(spark):
+    """What a source lacks is empty, dates that are none are null, and chunks join to the text."""
+    long = "\n\n".join("word " * 300 for _ in range(9))
+    a = spark.createDataFrame([("A", "https://a", "soon", long), (None, None, None, None)], "company string, link string, date string, full_text string")
+    b = spark.createDataFrame([("B", None, "2024-02-30", "https://b", "text"), ("B", "10-Q", "2024-02-03", "https://c", "")], "company string, form string, filing_date string, url string, full_text string")
+    chunks, provenance = merging.merged([(merging.scraped, a, "x/run.parquet"), (merging.agency_filings, b, "sec/f.parquet")])
+    rows = chunks.orderBy("link", "chunk_ix").collect()
+    assert "".join(r.full_text for r in rows if r.company == "A") == long and max(len(r.full_text) for r in rows) <= 5000
+    assert {(r.company, r.title, str(r.date), r.source, r.source_file) for r in rows} == {
+        ("A", "", "None", "", "run.parquet"), ("", "", "None", "", "run.parquet"), ("B", " 2024-02-30", "None", "SEC EDGAR ", "sec/f.parquet"), ("B", "10-Q 2024-02-03", "2024-02-03 00:00:00", "SEC EDGAR 10-Q", "sec/f.parquet"),
+    }
+    assert sorted((r.link, r.source_parquet, r.form, r.words) for r in provenance.collect() if r.form is not None) == [("https://b", "sec/f.parquet", "", 0), ("https://c", "sec/f.parquet", "10-Q", 0)]
