@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -42,8 +43,25 @@ def class_of_address(url: Column) -> Column:
     return out.otherwise("")
 
 
+# Labels of specification tables and the fields they fill, of either kind of page, and labels that head a table.
+LABELS = {
+    "contract symbol": "ticker", "symbol": "ticker", "contract size": "contract_size", "unit of trading": "contract_size", "price quotation": "quote_currency", "currency": "quote_currency",
+    "minimum price fluctuation": "tick_size", "minimum tick": "tick_size", "tick size": "tick_size", "tick value": "tick_size", "contract months": "trading_months", "contract series": "trading_months",
+    "listed contracts": "trading_months", "settlement": "settlement_type", "settlement method": "settlement_type", "delivery": "settlement_type", "last trading day": "last_trade_date_rule",
+    "last trade date": "last_trade_date_rule", "expiration": "last_trade_date_rule", "trading hours": "trading_hours", "trading period": "trading_hours",
+}
+METAL_LABELS = {
+    "contract code": "ticker", "lot size": "contract_size", "deliver type": "settlement_type", "delivery type": "settlement_type", "price quotation": "quote_currency", "contract period": "trading_months",
+    "termination of trading": "last_trade_date_rule",
+}
+HEADS = ("specification", "details", "description")
+
+
 class _Specs(HTMLParser):
-    """Rows of two cells and more: label and value; a row without a label goes on with the one above."""
+    """Rows of two cells and more: label and value; a row without a label goes on with the one above.
+
+    Pieces of a cell are joined by a space, cells of a value by a bar.
+    """
 
     def __init__(self) -> None:
         super().__init__()
@@ -68,18 +86,18 @@ class _Specs(HTMLParser):
             cells = [" ".join(c.split()) for c in self.cells]
             if self.spans > 0:
                 self.spans -= 1
-                value = " ".join(c for c in cells if c)
+                value = " | ".join(c for c in cells if c)
                 if self.last and value:
                     self.found[self.last] = f"{self.found[self.last]} | {value}" if self.found.get(self.last) else value
             elif len(cells) > 1 and cells[0]:
                 self.last = cells[0].rstrip(":").strip().lower()
-                self.found[self.last] = " ".join(c for c in cells[1:] if c)
+                self.found[self.last] = " | ".join(c for c in cells[1:] if c)
                 self.spans = max(0, getattr(self, "next", 1) - 1)
             self.cells = None
 
     def handle_data(self, data):
         if self.inside and self.cells:
-            self.cells[-1] += data
+            self.cells[-1] += f" {data}"
 
 
 def spec_table(page: str | None) -> dict[str, str]:
@@ -89,6 +107,26 @@ def spec_table(page: str | None) -> dict[str, str]:
     return parser.found
 
 
+def spec_fields(page: str | None, labels: dict[str, str], heads: tuple[str, ...] = HEADS) -> dict[str, str]:
+    """Fields of a contract by the labels that name them; other labels, cleaned, name themselves.  Of two labels of a field the last counts."""
+    out = {}
+    for label, value in spec_table(page).items():
+        name = labels.get(label) or re.sub(r"[^a-z0-9_]", "_", label).strip("_")
+        if label not in heads and name:
+            out[name] = value
+    return out
+
+
+def fields_of(pages: Column, labels: dict[str, str] = LABELS) -> Column:
+    """The fields of specification pages as a map."""
+
+    @F.pandas_udf(MapType(StringType(), StringType()))
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda page: spec_fields(page, labels))
+
+    return run(pages)
+
+
 @F.pandas_udf(MapType(StringType(), StringType()))
 def specs(pages: pd.Series) -> pd.Series:
     return pages.map(spec_table)

@@ -58,15 +58,19 @@ def news_article(html: Column) -> Column:
 
 
 class _Sections(HTMLParser):
-    """Blocks by their last h2: (kind, text, first bold text)."""
+    """Blocks by their last h2: (kind, text, first bold text).  A list is a block, and each of its items one beside it."""
 
     def __init__(self) -> None:
         super().__init__()
         self.found: dict[str, list[tuple[str, str, str]]] = {}
         self.now, self.block, self.text, self.bold, self.in_bold = "", "", "", "", 0
+        self.lists, self.whole = 0, ""
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("p", "li", "h2"):
+        if tag in ("ul", "ol"):
+            self.flush()
+            self.lists += 1
+        elif tag in ("p", "li", "h2"):
             self.flush()
             self.block = tag
         elif tag == "strong":
@@ -76,10 +80,19 @@ class _Sections(HTMLParser):
         if tag == "strong":
             self.in_bold = max(0, self.in_bold - 1)
             self.bold += "\0"
+        elif tag in ("ul", "ol") and self.lists:
+            self.flush()
+            self.lists -= 1
+            if not self.lists:
+                if text := self.whole.strip():
+                    self.found.setdefault(self.now, []).append(("list", text, ""))
+                self.whole = ""
         elif tag == self.block:
             self.flush()
 
     def handle_data(self, data):
+        if self.lists:
+            self.whole += data
         if self.block:
             self.text += data
             if self.in_bold and "\0" not in self.bold:
@@ -90,7 +103,7 @@ class _Sections(HTMLParser):
         if self.block == "h2":
             self.now = re.sub(r":+$", "", text).strip().upper()
             self.found.setdefault(self.now, [])
-        elif text:
+        elif text and not (self.lists and self.block == "p"):
             self.found.setdefault(self.now, []).append((self.block, text, self.bold.rstrip("\0").strip()))
         self.block, self.text, self.bold = "", "", ""
 
@@ -111,7 +124,7 @@ def parse(page: str | None) -> dict:
         bold for names in (REMARKS, QUESTIONS) for kind, t, bold in of(names)
         if kind == "p" and len(bold) > 2 and len(bold) >= 0.3 * len(t) and ":" not in bold and bold.split()[0] not in NO_NAMES
     }
-    join = lambda blocks: "\n".join(t for _, t, _ in blocks)
+    join = lambda blocks: "\n\n".join(t for kind, t, _ in blocks if kind != "li")
     prepared, questions = join(of(REMARKS)), join(of(QUESTIONS))
     if not (prepared and questions):
         whole = join([b for blocks in found.values() for b in blocks])

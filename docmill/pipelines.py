@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import transcripts
 from .functions.keys import bare_host, content_hash, url_hash
+from .functions.pages import extraction
 from .operators import filters, reshape
 from .operators.select import keep_first
 from .sinks import files as sinks
@@ -27,6 +28,7 @@ class Config:
     min_words: int = 100
     first_date: str | None = None
     last_date: str | None = None
+    two_passes: bool = True
     ticker_pages: bool = False
     profile_pages: bool = False
 
@@ -46,15 +48,20 @@ def page_text(html: F.Column) -> F.Column:
 def documents(pages: DataFrame, excluded: DataFrame | None = None, known: DataFrame | None = None, config: Config = Config()) -> DataFrame:
     """Pages (page_id, url, html and, if there, query, title, date) to the document table.
 
-    In order: excluded domains, URLs known or seen before, too few words, quote and profile
-    pages, dates outside the range (unreadable ones stay), contents seen before.
+    In order: excluded domains, URLs known or seen before, pages without text (of two passes,
+    or of all between tags), too few words, quote and profile pages, dates outside the range (unreadable ones stay), contents seen before.
     """
     rows = pages.withColumn("_key", url_hash(F.col("url")))
     if excluded is not None:
         rows = filters.without_domains(rows, excluded)
     if known is not None:
         rows = rows.join(known.select(url_hash(F.col("url")).alias("_key")).distinct(), "_key", "left_anti")
-    rows = keep_first(rows, ["_key"], [F.col("page_id")]).withColumn("_text", T.clean(page_text(F.col("html"))))
+    rows = keep_first(rows, ["_key"], [F.col("page_id")])
+    if config.two_passes:
+        rows = rows.withColumn("_page", extraction(F.col("html"), config.min_words)).filter(F.col("_page.method") != "failed")
+        rows = rows.withColumn("_text", T.clean(F.col("_page.text"))).withColumn("_title", F.nullif("_page.title", F.lit("")))
+    else:
+        rows = rows.withColumn("_text", T.clean(page_text(F.col("html")))).withColumn("_title", F.lit(None).cast("string"))
     rows = rows.filter(T.word_count(F.col("_text")) >= config.min_words)
     if not config.ticker_pages:
         rows = rows.filter(~filters.is_ticker_page(F.col("_text")))
@@ -64,7 +71,7 @@ def documents(pages: DataFrame, excluded: DataFrame | None = None, known: DataFr
     if "date" in pages.columns and (config.first_date or config.last_date):
         rows = rows.filter(filters.date_outcome(F.col("date"), config.first_date, config.last_date) != "outside")
     rows = keep_first(rows, [content_hash(F.col("_text"))], [F.col("page_id")])
-    return reshape.to_documents(rows, company=given("query"), title=given("title"), link=F.col("url"), snippet=T.snippet(F.col("_text")), date=T.lenient_date(given("date")), source=bare_host(F.col("url")), full_text=F.col("_text"))
+    return reshape.to_documents(rows, company=given("query"), title=F.coalesce(F.nullif(given("title"), F.lit("")), F.col("_title")), link=F.col("url"), snippet=T.snippet(F.col("_text")), date=T.lenient_date(given("date")), source=bare_host(F.col("url")), full_text=F.col("_text"))
 
 
 def transcript_documents(pages: DataFrame) -> DataFrame:

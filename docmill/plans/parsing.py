@@ -256,6 +256,21 @@ def contract_fields(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", contracts.first_of(raw, ("contractSize", "size")).alias("size"), contracts.without(raw, ("contractSize", "size")).alias("extras"), name.alias("name"))
 
 
+# A specification page by a row's key, in words that Spark and DuckDB share: known, unknown and repeated labels, a head, several cells, empty ones.
+_SPEC = """concat('<h1>Spec</h1><table><tr><th>Specification</th><td>x</td></tr><tr><th>Contract Symbol</th><td>', p_brand, '</td></tr><tr><td>Contract <b>Size</b></td><td><i>', p_size, '</i> t</td><td></td><td>lots</td></tr>',
+CASE p_partkey % 3 WHEN 0 THEN '<tr><td>Tick Value</td><td>5</td></tr><tr><td>Minimum Tick</td><td>0.01</td></tr>' WHEN 1 THEN '<tr><td></td><td>no label</td></tr><tr><td>alone</td></tr>' ELSE '' END, '</table><p>between</p><table><tr><td>Listing (venue)</td><td>', p_type, '</td></tr><tr><td>%%</td><td>y</td></tr></table>')"""
+_PLAIN = r"array_to_string(list_filter(string_split_regex(regexp_replace({0}, '<[^>]*>', ' ', 'g'), '\s+'), lambda x: x <> ''), ' ')"
+
+
+@R.add(rf"""WITH t AS (SELECT p_partkey, unnest(regexp_extract_all({_SPEC}, '<tr>.*?</tr>')) AS r FROM part), c AS (SELECT p_partkey, list_transform(regexp_extract_all(r, '<t[hd]>(.*?)</t[hd]>', 1), lambda x: {_PLAIN.format("x")}) AS cells, row_number() OVER () AS o FROM t),
+f AS (SELECT p_partkey, o, lower(cells[1]) AS label, array_to_string(list_filter(cells[2:], lambda x: x <> ''), ' | ') AS value FROM c WHERE len(cells) > 1 AND cells[1] <> ''),
+n AS (SELECT p_partkey, o, coalesce(map {{{", ".join(f"'{k}': '{v}'" for k, v in contracts.LABELS.items())}}}[label], trim(regexp_replace(label, '[^a-z0-9_]', '_', 'g'), '_')) AS field, value FROM f WHERE label NOT IN ('specification', 'details', 'description'))
+SELECT p_partkey, field, arg_max(value, o) AS value FROM n WHERE field <> '' GROUP BY p_partkey, field""")
+def contract_specs(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields of specification pages by the labels of their tables."""
+    return table(spark, sf, "part").select("p_partkey", F.explode(contracts.fields_of(F.expr(_SPEC))).alias("field", "value"))
+
+
 @R.add()
 def spec_tables(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", contracts.specs("html").alias("fields"))

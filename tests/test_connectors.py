@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docmill import __main__ as cli
 from docmill import pipelines
-from docmill.functions import contracts, dates, patents, transcripts
+from docmill.functions import contracts, dates, pages, patents, transcripts
 from docmill.operators import graph, names, reshape, resolve
 from docmill.sinks import files as sinks
 from docmill.sources import files as sources
@@ -81,6 +81,9 @@ def test_transcripts(spark):
     got = transcripts.parse(PAGE)
     assert got["participants"] == ["Ann Bell", "Carl Dorn -- Chief"] and got["speakers"] == ["Ann Bell", "Carl Dorn", "Operator"]
     assert got["prepared"].endswith("Thanks.") and got["questions"].startswith("Duration")
+    assert got["prepared"].startswith("Operator\n\nWelcome") and got["prepared"].count("\n\n") == 3
+    listed = transcripts.parse("<h2>Prepared Remarks</h2><p>One.</p><ul>\n<li>a</li>\n<li><p>b</p></li></ul><p>Two.</p><h2>Questions &amp; Answers</h2><p>Q?</p>")
+    assert (listed["prepared"], listed["questions"]) == ("One.\n\na\nb\n\nTwo.", "Q?")
     assert transcripts.parse(None) == {"participants": [], "speakers": [], "prepared": "", "questions": ""}
     url = "https://www.x.com/earnings/call-transcripts/2024/05/04/berkshire-brk-a-q1-2024-earnings-call-transcript/"
     docs = pipelines.transcript_documents(spark.createDataFrame([(url, PAGE), ("https://x.com/earnings/call-transcripts/2024/05/04/f-x-2024-earnings/", PAGE)], "url string, html string"))
@@ -92,9 +95,25 @@ def test_pages_of_patents_and_contracts():
     assert patents.meta_fields(page) == {"title": ["T - X"], "DC.contributor:inventor": ["A", "B"], "pn": ["US1"]}
     table = "<table><tr><th>Lot size:</th><td>25 t</td></tr><tr><td rowspan='2'>Months</td><td>Jan</td></tr><tr><td>Feb</td></tr><tr><td>Lot size</td><td>50 t</td></tr></table>"
     assert contracts.spec_table(table) == {"lot size": "50 t", "months": "Jan | Feb"}
+    fields = "<table><tr><td>Contract Code</td><td>CA</td><td>CB</td></tr><tr><td>Details</td><td>x</td></tr><tr><td rowspan=2>Tick size (USD)</td><td>Outright <b>0.5</b></td></tr><tr><td>Carry</td><td>0.01</td></tr><tr><td>--</td><td>y</td></tr></table>"
+    assert contracts.spec_fields(fields, contracts.METAL_LABELS) == {"ticker": "CA | CB", "tick_size__usd": "Outright 0.5 | Carry | 0.01"}
     assert contracts.spec_table(None) == patents.meta_fields("") == {}
 
 
+def test_two_passes(spark):
+    body = "<p>The harbour was dredged on Monday, the council of the town said in a long note.</p>" * 3
+    page = f"<html><head><title> A  page </title><style>p{{}}</style><body><nav><a href=/>Home of news</a></nav><div>Outside of the article stand these few words.</div><article><header><h1>Harbour</h1></header>{body}<p><a href=/x>Read more of this in another place</a></p><p>Short.</p></article><footer><p>All of our imprint is here, as ever</p></footer></body></html>"
+    title, text, n, method = pages.extract(page, 20)
+    assert (title, method) == ("A page", "precision") and text.split("\n")[0] == "Harbour" and "Read more" not in text and "Outside" not in text and "Short." not in text and n == len(text.split())
+    wide = pages.extract(page, 200)
+    assert wide[3] == "fallback" and "Outside of" in wide[1] and "Short." in wide[1] and "Home of news" not in wide[1]
+    assert pages.extract(None) == pages.extract("<script>x</script>") == ("", "", 0, "failed")
+    df = spark.createDataFrame([(1, page), (2, None)], "page_id long, html string").select("page_id", pages.extraction(F.col("html"), 20).alias("x"))
+    assert sorted((r.page_id, r.x.method, r.x.word_count) for r in df.collect()) == [(1, "precision", n), (2, "failed", 0)]
+    docs = pipelines.documents(spark.createDataFrame([(1, "https://a.example/x", page)], "page_id long, url string, html string"), config=pipelines.Config(min_words=20)).collect()
+    assert [(d.title, d.source) for d in docs] == [("A page", "a.example")] and docs[0].full_text.startswith("Harbour")
+
+
 def test_links_in_all_forms(spark):
     page = "<A HREF='/a?x=1&amp;y=2'>1</A><a class=k href=/b>2</a><a href=\"/c.PDF\">3</a><a href='/d.woff2?v=1'>4</a><a href='tel:1'>5</a><a data-href='/no'>6</a>"
     pages = spark.createDataFrame([(1, "https://www.example.com/dir/", page)], "page_id long, url string, html string")
