@@ -63,7 +63,7 @@ def claims_and_description(claims: Column, description: Column) -> Column:
 def field_codes(fields: DataFrame, wanted: DataFrame) -> DataFrame:
     """(code), each once, in order: ``wanted`` (seq, name) looked up in ``fields`` (name, codes), whatever the case; a name that is not there is an error."""
     named = fields.select(F.lower("name").alias("_n"), "codes")
-    found = wanted.join(F.broadcast(named), F.lower("name") == F.col("_n"), "left")
+    found = wanted.join(named, F.lower("name") == F.col("_n"), "left")
     codes = F.when(F.col("codes").isNull(), F.raise_error(F.concat(F.lit("unknown field: "), "name"))).otherwise(F.col("codes"))
     rows = found.select("seq", F.posexplode(codes).alias("at", "code"))
     return keep_first(rows, ["code"], [F.col("seq"), F.col("at")])

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.entities import search_name
@@ -114,23 +113,33 @@ def company_queries(companies: DataFrame) -> DataFrame:
     return companies.select("company", ticker.alias("ticker"), F.explode(every).alias("query"))
 
 
-def pairs_of_terms(spark: SparkSession, methods: tuple[str, ...], markets: tuple[str, ...]) -> DataFrame:
-    """(query): every method with every market, two short lists."""
-    return spark.createDataFrame([(f"{m} {k}",) for m in methods for k in markets], "query string").distinct()
+def pairs_of_terms(methods: DataFrame, markets: tuple[str, ...]) -> DataFrame:
+    """(query): every method (method) with every market of a short list, each once."""
+    named = methods.select("method").filter(F.coalesce(F.col("method"), F.lit("")) != "").distinct()
+    return named.select(F.explode(F.transform(F.array(*[F.lit(m) for m in markets]), lambda m: F.concat("method", F.lit(" "), m))).alias("query")).distinct()
+
+
+def expand_topics(topics: DataFrame) -> DataFrame:
+    """(topic, seq, query) from (topic, first, last): angles by year, sites, and the patterns of the first commodity in the topic; each query of a topic once, in order."""
+    years = F.sequence("first", "last")
+    literal = lambda xs: F.array(*[F.lit(x) for x in xs])
+
+    def by_year(patterns: Column, at: int) -> Column:
+        filled = lambda p, y: F.trim(F.replace(F.replace(p, F.lit("{topic}"), F.col("topic")), F.lit("{year}"), y.cast("string")))
+        return F.flatten(F.transform(years, lambda y: F.transform(patterns, lambda p, i: F.struct((F.lit(at) + y * 1000 + i).cast("long").alias("seq"), filled(p, y).alias("query")))))
+
+    named = F.array().cast("array<string>")
+    for commodity, patterns in reversed(JARGON.items()):
+        named = F.when(F.contains(F.lower("topic"), F.lit(commodity)), literal(patterns)).otherwise(named)
+    sites = F.transform(literal(SITES), lambda s, i: F.struct((F.lit(10_000_000) + i).cast("long").alias("seq"), F.trim(F.concat(F.lit("site:"), s, F.lit(" "), F.col("topic"))).alias("query")))
+    every = F.concat(by_year(literal(ANGLES), 0), sites, by_year(named, 20_000_000))
+    out = topics.filter("topic IS NOT NULL AND first <= last").select("topic", F.explode(every).alias("x")).select("topic", "x.*").filter("query <> ''")
+    return keep_first(out, ["topic", "query"], [F.col("seq")])
 
 
 def expand_queries(spark: SparkSession, topic: str, first: int, last: int) -> DataFrame:
-    """(seq, query): angles by year, sites, and the patterns of the first commodity in the topic; each query once, in order."""
-    years = spark.range(first, last + 1).select(F.col("id").alias("year"))
-    forms = spark.createDataFrame([(i, a) for i, a in enumerate(ANGLES)], "form int, pattern string")
-    fill = F.replace(F.replace("pattern", F.lit("{topic}"), F.lit(topic)), F.lit("{year}"), F.col("year").cast("string"))
-    out = forms.join(F.broadcast(years)).select((F.col("year") * 1000 + F.col("form")).alias("seq"), fill.alias("query"))
-    out = out.unionByName(spark.createDataFrame([(10_000_000 + i, f"site:{s} {topic}") for i, s in enumerate(SITES)], "seq long, query string"))
-    named = next((p for c, p in JARGON.items() if c in topic.lower()), ())
-    if named:
-        more = spark.createDataFrame([(i, a) for i, a in enumerate(named)], "form int, pattern string")
-        out = out.unionByName(more.join(F.broadcast(years)).select((F.lit(20_000_000) + F.col("year") * 1000 + F.col("form")).alias("seq"), fill.alias("query")))
-    return keep_first(out.withColumn("query", F.trim("query")).filter("query <> ''"), ["query"], [F.col("seq")])
+    """(seq, query) of one topic."""
+    return expand_topics(spark.createDataFrame([(topic, first, last)], "topic string, first int, last int")).select("seq", "query")
 
 
 def sampled_years(first: int, last: int, most: int) -> list[int]:
@@ -144,6 +153,14 @@ def sampled_years(first: int, last: int, most: int) -> list[int]:
     return [years[0], *out[1:-1], years[-1]]
 
 
+def years_between(first: Column, last: Column, most: int) -> Column:
+    """The same as an array of each row's own years; null bounds give null."""
+    n = last - first + 1
+    spaced = F.slice(F.sequence(first, last, F.greatest(F.lit(1), F.floor(n / most)).cast("int")), 1, most)
+    several = F.concat(F.array(first), F.slice(spaced, 2, max(0, most - 2)), F.array(last)) if most > 1 else F.slice(F.array(first), 1, most)
+    return F.when(n <= most, F.sequence(first, last)).when(n > most, several)
+
+
 def productive_domains(pages: DataFrame, least: int, most: int = 20, known: tuple[str, ...] = SITES) -> DataFrame:
     """The ``most`` commonest domains first, then those with ``least`` pages that are not known."""
     d = bare_host(F.col("url")).alias("domain")

@@ -242,16 +242,22 @@ def jargon_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _expanded_sql() -> str:
-    sites = ", ".join(f"'{s}'" for s in mining.SITES)
-    angles = ", ".join(f"'{a}'" for a in mining.ANGLES)
-    jargon = ", ".join(f"'{a}'" for a in mining.JARGON["gold"])
-    return f"""SELECT DISTINCT query FROM (SELECT replace(replace(a, '{{topic}}', 'gold price'), '{{year}}', CAST(y AS VARCHAR)) AS query FROM (SELECT unnest([{angles}]) AS a), range(2020, 2025) r(y)
-UNION ALL SELECT 'site:' || s || ' gold price' FROM (SELECT unnest([{sites}]) AS s) UNION ALL SELECT replace(a, '{{year}}', CAST(y AS VARCHAR)) FROM (SELECT unnest([{jargon}]) AS a), range(2020, 2025) r(y))"""
+    listed = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    named = " ".join(f"WHEN contains(lower(topic), '{c}') THEN {listed(p)}" for c, p in mining.JARGON.items())
+    return f"""WITH t AS ({_TOPICS}), y AS (SELECT topic, unnest(range(first, last + 1)) AS y FROM t)
+SELECT DISTINCT topic, query FROM (SELECT topic, replace(replace(unnest({listed(mining.ANGLES)}), '{{topic}}', topic), '{{year}}', CAST(y AS VARCHAR)) AS query FROM y
+UNION ALL SELECT topic, 'site:' || unnest({listed(mining.SITES)}) || ' ' || topic FROM t UNION ALL SELECT topic, replace(unnest(CASE {named} ELSE [] END), '{{year}}', CAST(y AS VARCHAR)) FROM y)"""
+
+
+# Topics by the names of parts, some of them with a commodity, each with years of its own; words that Spark and DuckDB share.
+_TOPICS = "SELECT DISTINCT concat(CASE p_partkey % 6 WHEN 0 THEN 'Copper ' WHEN 1 THEN 'crude oil and gold ' WHEN 2 THEN 'wheat ' ELSE '' END, lower(p_brand)) AS topic, CAST(2010 + p_size % 3 AS INT) AS first, CAST(2012 + p_size % 2 AS INT) AS last FROM part"
 
 
 @R.add(_expanded_sql())
 def expand_queries(spark: SparkSession, sf: str) -> DataFrame:
-    return mining.expand_queries(spark, "gold price", 2020, 2024).select("query")
+    """The queries of each topic of the parts, over its years."""
+    topics = spark.sql(_TOPICS.replace("FROM part", "FROM {part}"), part=table(spark, sf, "part"))
+    return mining.expand_topics(topics).select("topic", "query").distinct()
 
 
 @R.add(f"""WITH h AS (SELECT regexp_replace({HOST}, '^www\\.', '') AS domain FROM pages), c AS (SELECT domain, count(*) AS n FROM h WHERE domain <> '' GROUP BY domain ORDER BY n DESC, domain LIMIT 20)

@@ -224,10 +224,12 @@ def citation_edges(spark: SparkSession, sf: str) -> DataFrame:
     return patents.citation_edges(lists).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "direction")
 
 
-@R.add("SELECT code FROM (SELECT unnest(['H04L', 'H04N21', 'H03', 'G06F']) AS code)")
+@R.add("SELECT DISTINCT 'C' || p_size AS code FROM part WHERE lower(p_type) IN (SELECT lower(p_type) FROM part WHERE p_partkey % 7 = 0)")
 def field_codes(spark: SparkSession, sf: str) -> DataFrame:
-    fields = spark.createDataFrame([("Digital communication", ["H04L", "H04N21"]), ("Basic communication processes", ["H03"]), ("Computing", ["G06F", "H03"])], "name string, codes array<string>")
-    wanted = spark.createDataFrame([(0, "digital COMMUNICATION"), (1, "basic communication processes"), (2, "computing")], "seq int, name string")
+    """Types of parts as fields, each with the codes of its sizes; those wanted in another case."""
+    part = table(spark, sf, "part")
+    fields = part.groupBy(F.col("p_type").alias("name")).agg(F.sort_array(F.collect_set(F.concat(F.lit("C"), F.col("p_size").cast("string")))).alias("codes"))
+    wanted = part.filter("p_partkey % 7 = 0").select(F.col("p_partkey").alias("seq"), F.upper("p_type").alias("name"))
     return patents.field_codes(fields, wanted).select("code")
 
 

@@ -149,10 +149,16 @@ def crawl_frontier(spark: SparkSession, sf: str) -> DataFrame:
     return graph.frontier(graph.resolved_links(pages), seen, none, pages.groupBy(host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n")), 50)
 
 
-@R.add("""SELECT DISTINCT query FROM (SELECT CASE WHEN contains(t, 'gold') THEN '' ELSE 'gold ' END || t || ' ' || y AS query FROM (SELECT unnest(['gold etf', 'bar price', 'mint']) AS t), (SELECT unnest([2000, 2005, 2010, 2015, 2025]) AS y)) WHERE query <> 'gold etf 2000'""")
+@R.add("""WITH b AS (SELECT CAST(min(year(o_orderdate)) AS INT) AS lo, CAST(max(year(o_orderdate)) AS INT) AS hi FROM orders), y AS (SELECT unnest(range(lo, hi + 1)) AS y, unnest(range(hi - lo + 1)) AS i, hi - lo + 1 AS n, lo, hi FROM b),
+s AS (SELECT y FROM y WHERE n <= 5 OR y IN (lo, hi) OR (i % (n // 5) = 0 AND i // (n // 5) BETWEEN 1 AND 3)), t AS (SELECT DISTINCT lower(p_type) AS t FROM part)
+SELECT DISTINCT CASE WHEN contains(t, 'steel') THEN '' ELSE 'steel ' END || t || ' ' || y AS query FROM t, s WHERE query NOT IN (SELECT DISTINCT CASE WHEN contains(lower(p_type), 'steel') THEN '' ELSE 'steel ' END || lower(p_type) || ' ' || (SELECT lo FROM b) FROM part WHERE p_size % 2 = 0)""")
 def jargon_queries(spark: SparkSession, sf: str) -> DataFrame:
-    terms = spark.createDataFrame([(1, "gold etf"), (2, "bar price"), (3, "mint")], "rank int, term string")
-    return mining.expand_jargon(terms, "gold", mining.sampled_years(2000, 2025, 5), spark.createDataFrame([("gold etf 2000",)], "query string"))
+    """Types of parts as terms of one topic, over years of the orders, without what was asked before."""
+    lo, hi = table(spark, sf, "orders").agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).first()
+    part = table(spark, sf, "part").select(F.lower("p_type").alias("term"), "p_size", "p_partkey")
+    terms = part.groupBy("term").agg(F.min("p_partkey").alias("rank"))
+    asked = part.filter("p_size % 2 = 0").select(F.concat(F.when(F.col("term").contains("steel"), "").otherwise("steel "), "term", F.lit(f" {lo}")).alias("query")).distinct()
+    return mining.expand_jargon(terms, "steel", mining.sampled_years(lo, hi, 5), asked)
 
 
 @R.add("SELECT c_custkey, replace(t, '{0}', CASE WHEN k = 0 THEN 'T' || c_custkey ELSE c_name END) AS query FROM customer, (SELECT * FROM (VALUES (0, '{0} supply chain'), (0, '{0} suppliers'), (0, '{0} customers'), (0, '{0} 10-K'), (1, '{0} supply chain'), (1, '{0} suppliers'), (1, '{0} customers revenue'), (1, '{0} annual report')) v(k, t)) WHERE k = 1 OR c_custkey % 2 = 0")
@@ -162,14 +168,21 @@ def company_queries(spark: SparkSession, sf: str) -> DataFrame:
     return out.join(table(spark, sf, "customer").select("c_custkey", F.concat("c_name", F.lit(" Inc.")).alias("company")), "company").select("c_custkey", "query")
 
 
-@R.add("SELECT m || ' ' || k AS query FROM (SELECT unnest(['lstm', 'boosting']) AS m), (SELECT unnest(['oil', 'gold', 'wheat']) AS k)")
+@R.add("SELECT DISTINCT p_type || ' ' || c_mktsegment AS query FROM (SELECT DISTINCT p_type FROM part), (SELECT DISTINCT c_mktsegment FROM customer)")
 def term_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return mining.pairs_of_terms(spark, ("lstm", "boosting"), ("oil", "gold", "wheat"))
+    """Types of parts with the few segments of the market."""
+    segments = tuple(sorted(r[0] for r in table(spark, sf, "customer").select("c_mktsegment").distinct().collect()))
+    return mining.pairs_of_terms(table(spark, sf, "part").select(F.col("p_type").alias("method")), segments)
 
 
-@R.add("SELECT y AS year FROM (SELECT unnest([2000, 2005, 2010, 2015, 2025]) AS y)")
+@R.add("""WITH b AS (SELECT o_custkey, CAST(min(year(o_orderdate)) AS INT) - CAST(o_custkey % 9 AS INT) AS lo, CAST(max(year(o_orderdate)) AS INT) AS hi FROM orders GROUP BY o_custkey),
+y AS (SELECT o_custkey, unnest(range(lo, hi + 1)) AS y, unnest(range(hi - lo + 1)) AS i, hi - lo + 1 AS n, lo, hi FROM b)
+SELECT o_custkey, CAST(y AS INT) AS year FROM y WHERE n <= 4 OR y IN (lo, hi) OR (i % (n // 4) = 0 AND i // (n // 4) BETWEEN 1 AND 2)""")
 def sampled_years(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(y,) for y in mining.sampled_years(2000, 2025, 5)], "year int")
+    """At most four years of each customer's orders, and some before, evenly spaced."""
+    first = F.min(F.year("o_orderdate")) - F.col("o_custkey").cast("int") % 9
+    spans = table(spark, sf, "orders").groupBy("o_custkey").agg(first.cast("int").alias("lo"), F.max(F.year("o_orderdate")).alias("hi"))
+    return spans.select("o_custkey", F.explode(mining.years_between(F.col("lo"), F.col("hi"), 4)).alias("year"))
 
 
 @R.add("SELECT user_id, event_type, max_by(value, event_id) AS value FROM events GROUP BY user_id, event_type")
