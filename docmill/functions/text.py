@@ -89,7 +89,7 @@ def shingle_hashes(text: Column, size: int = 3) -> Column:
     """Distinct 64-bit hashes of runs of ``size`` words, or of all words if there are fewer; no strings are built."""
 
     def of(w: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(F.slice(w, i + 1, size)))
+        runs = F.slice(F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, size)])), F.lit(1), F.size(w) - size + 1)
         return F.when(F.size(w) < size, F.array(F.xxhash64(w))).otherwise(F.array_distinct(runs))
 
     return F.element_at(F.transform(F.array(ascii_words(text)), of), 1)

@@ -30,10 +30,11 @@ def similar_pairs(df: DataFrame, threshold: float = 0.85, text: str = "text", se
     # Shingles as 64-bit hashes: a fraction of their bytes in every exchange.
     hashed = F.array_sort(shingle_hashes(F.col(text), size))
     named = df.filter(F.trim(F.col(text)) != "").select(F.col(seq).alias("id"), hashed.alias("s"))
-    named = named.withColumn("h", F.md5(F.array_join(F.transform("s", lambda x: x.cast("string")), ",")))
+    # Hashed once: what follows reads the sets again and again.
+    named = cut_lineage(named.withColumn("h", F.md5(F.array_join(F.transform("s", lambda x: x.cast("string")), ","))))
     classes = named.groupBy("h").agg(F.min("id").alias("a"))
     equal = named.select("id", "h").join(classes, "h").filter("id != a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
-    reps = cut_lineage(named.join(classes, (named["h"] == classes["h"]) & (named["id"] == classes["a"])).select("id", "s", F.size("s").alias("n")))
+    reps = named.join(classes.select(F.col("a").alias("id")), "id", "left_semi").select("id", "s", F.size("s").alias("n"))
     tokens = reps.select("id", "n", F.explode("s").alias("t"))
     common = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     known = tokens.join(common, "t").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("k"))
