@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("corpus", "relational", "parsing", "records", "resolving", "walking", "checking")
+MODULES = ("corpus", "relational", "parsing", "records", "resolving", "walking", "checking", "landing")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
