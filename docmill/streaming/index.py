@@ -34,6 +34,8 @@ from . import folders
 
 #: Bands of a sketch, and minima in a band.
 BANDS, DEPTH = 25, 5
+#: Rounds by leaders before what is left of a batch is decided by pairs.
+ROUNDS = 8
 #: Files of a base's keys, unless the index is told otherwise.
 BUCKETS = 64
 
@@ -177,6 +179,42 @@ class NearIndex:
     def _among(self, sketches: DataFrame, rows: DataFrame, text: str, seq: str) -> DataFrame:
         """(id) as if the rows of one batch came in order of id.
 
+        A round looks at the first open row of each key (band keys, and the content): one that
+        is first for all its keys conflicts with no open row before it, and is kept; what shares
+        a key with it is compared with it, and goes if it is alike.  A key has one such row in a
+        round, so a row is compared with few, however many copies there are.  Rows that share
+        keys without being alike are decided one after the other that way; what is left of them
+        after ``ROUNDS`` is decided by all its pairs.
+        """
+        kept, open_ = [], cut_lineage(sketches)
+        for _ in range(ROUNDS):
+            named = F.concat(F.coalesce("keys", F.array().cast("array<long>")), F.array(F.xxhash64("content", F.lit(1))))
+            each = open_.select("id", F.explode(named).alias("key"))
+            led = each.join(each.groupBy("key").agg(F.min("id").alias("leader")), "key").select("id", "leader").distinct()
+            led = cut_lineage(led)
+            first = led.groupBy("id").agg(F.min("leader").alias("leader")).filter("id = leader").select("id")
+            now = cut_lineage(open_.join(first, "id", "left_semi").select("id", "content", "member", "n"))
+            kept.append(now.select("id"))
+            told = now.select(F.col("id").alias("leader"), F.col("content").alias("c"), F.col("member").alias("o"), F.col("n").alias("m"))
+            pairs = led.filter("id <> leader").join(told, "leader").join(open_.select("id", "content", "member", "n"), "id")
+            room = (F.least("n", "m") > 0) & (F.least("n", "m") >= F.greatest("n", "m") * self.threshold - 1e-9)
+            pairs = cut_lineage(pairs.withColumn("same", (F.col("content") == F.col("c")) | (F.col("member") == F.col("o"))).filter(F.col("same") | room).select("id", "leader", "same"))
+            ask = pairs.filter("NOT same")
+            wanted = ask.select(F.explode(F.array("id", "leader")).alias("id")).distinct()
+            sets = cut_lineage(rows.select(F.col(seq).alias("id"), F.col(text).alias("_t")).join(wanted, "id").select("id", _set(F.col("_t"), self.size).alias("s")))
+            met = ask.join(sets.withColumnRenamed("s", "x"), "id").join(sets.select(F.col("id").alias("leader"), F.col("s").alias("y")), "leader")
+            gone = pairs.filter("same").select("id").unionByName(met.filter(_alike(self.threshold)).select("id"))
+            left = cut_lineage(open_.join(now.select("id").unionByName(gone).distinct(), "id", "left_anti"))
+            for done in (open_, led, pairs, sets):
+                drop_checkpoint(done)
+            open_ = left
+            if open_.isEmpty():
+                return reduce(DataFrame.unionByName, kept)
+        return reduce(DataFrame.unionByName, [*kept, self._by_pairs(open_, rows, text, seq)])
+
+    def _by_pairs(self, sketches: DataFrame, rows: DataFrame, text: str, seq: str) -> DataFrame:
+        """The same by all pairs that share a key.
+
         A row is kept once it is the first open one of its content and of its set and no open
         row before it has a similar set; what it shares a content or a similar set with, goes.
         """

@@ -68,6 +68,22 @@ def test_halves_equal_the_whole(spark, tmp_path):
     assert ids(whole) == loop(texts) == sorted(ids(first) + ids(second))
 
 
+def test_rounds_by_leaders_and_by_pairs_agree(spark, tmp_path, monkeypatch):
+    """A group of many near copies, and texts that share keys without being alike."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(80)]
+    texts = near_texts(6, 5)
+    for k in range(40):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 5, 9])):
+            copy[rng.randrange(80)] = f"y{rng.randrange(999)}"
+        texts.append(" ".join(copy))
+    leaders = opened(spark, f"{tmp_path}/a").admit(frame(spark, texts), "text", "doc_id")
+    assert ids(leaders) == loop(texts)
+    monkeypatch.setattr(index, "ROUNDS", 1)
+    assert ids(opened(spark, f"{tmp_path}/b").admit(frame(spark, texts), "text", "doc_id")) == loop(texts)
+
+
 def test_compaction_changes_nothing_and_can_be_repeated(spark, tmp_path):
     texts = near_texts(2, 9)
     one = opened(spark, f"{tmp_path}/i")
