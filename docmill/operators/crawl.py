@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,8 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from ..lineage import cut_lineage
-from .graph import is_skipped, same_host
+from ..functions.keys import bare_host
+from ..lineage import cut_lineage, drop_checkpoint
+from .graph import is_skipped
 from .select import keep_first
 
 # Parts of paths that lead to no content, and places where a site's map may lie.
@@ -30,7 +30,6 @@ SIGNALS = (
     "production", "reserves", "throughput", "sustainability", "supply chain", "logistics", "market outlook", "trading",
 )
 
-
 def url_path(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(url, r"[?#].*", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
 
@@ -50,6 +49,10 @@ def locations(xml: pd.Series) -> pd.Series:
     return xml.map(of)
 
 
+def _reader(landed: DataFrame | Reader) -> Reader:
+    return landed if callable(landed) else lambda asked: asked.join(landed.select("url", "body"), "url")
+
+
 def sitemap_roots(domains: DataFrame, landed: DataFrame) -> DataFrame:
     """(domain, url, at): the sitemaps that a domain's robots.txt lists, in order; without any, the first usual place that holds one."""
     homes = domains.select("domain").distinct()
@@ -118,8 +121,8 @@ def _first_visits(tree: DataFrame) -> DataFrame:
 
 def url_score(url: Column, year: int, words: tuple[str, ...] = SIGNALS, optimal: int = 1) -> Column:
     """0.8 for the share of signal words in an address, 0.3 for a path depth near ``optimal``, 0.15 for a year in it near ``year`` (half without one)."""
-    low = F.lower(url)
-    hits = sum((low.contains(w).cast("int") for w in words), F.lit(0)) / F.lit(len(words))
+    held = lambda low: sum((low.contains(w).cast("int") for w in words), F.lit(0))
+    hits = F.element_at(F.transform(F.array(F.lower(url)), held), 1) / F.lit(len(words))
     depth = F.size(F.array_remove(F.split(url_path(url), "/"), ""))
     stated = F.regexp_extract(url_path(url), r"(?:^|\D)((?:19|20)\d\d)(?:\D|$)", 1)
     fresh = F.when(stated == "", F.lit(0.5)).otherwise(1 / (1 + F.abs(F.lit(year) - F.nullif(stated, F.lit("")).cast("int"))))
@@ -139,29 +142,44 @@ def best_first_crawl(
     address is skipped, on another host than the seed, deeper than ``depth`` or was seen.
     Every page carries its seed's query.
 
-    All seeds walk at once, each with its own frontier; a round is a few joins on (seed,
-    address), and the best of each seed are found before rows are moved.
+    All seeds walk at once.  As the order of addresses never changes, a seed can pop no more than
+    the best of what its budget has left: only those stay in its frontier, and of a page's links
+    on a host only the best ``pages`` are kept.  An address that left the frontier may come
+    again, later and so no better than before.  A round is one join with the pages that were
+    popped and one exchange by seed, whose rows the budget bounds.
     """
-    fit = links.select("url", "target", "at").filter(~is_skipped(F.col("target"), globs) if globs is not None else ~is_skipped(F.col("target")))
-    start = keep_first(seeds.select("seed", "query"), ["seed"], [F.col("query")])
-    open_ = cut_lineage(start.select("seed", "query", F.col("seed").alias("url"), F.lit(0).alias("depth"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("came")))
-    seen = open_.select("seed", "url")
-    visits, counts = [], start.select("seed", F.lit(0).cast("long").alias("done"))
+    plain = lambda u: F.regexp_replace(bare_host(F.col(u)), r":\d+$", "") if scoped else F.lit("")
+    skipped = is_skipped(F.col("target"), globs) if globs is not None else is_skipped(F.col("target"))
+    given = links.select("url", "target", "at").filter(F.col("url").isNotNull() & F.col("target").isNotNull())
+    # Each address is looked at once, however many links lead there.
+    targets = given.select("target").distinct().filter(~skipped).select("target", plain("target").alias("host"), score(F.col("target")).alias("score"))
+    fit = given.repartition("target").groupBy("target", "url").agg(F.min("at").cast("long").alias("at")).join(targets, "target")
+    place = F.row_number().over(W.partitionBy("url", "host").orderBy(F.desc("score"), "at", "target"))
+    fit = fit.withColumn("place", place).filter(F.col("place") <= pages)
+    fit = cut_lineage(fit.groupBy("url", "host").agg(F.collect_list(F.struct("target", "score", "at")).alias("out")))
+
+    start = keep_first(seeds.filter(F.col("seed").isNotNull()).select("seed", "query"), ["seed"], [F.col("query")])
+    # nth: of a visited address its number; place, done, waiting: of an open one its rank, and how many its seed has visited and not.
+    first = start.select("seed", "query", F.col("seed").alias("url"), F.lit(0).alias("depth"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("came"), F.lit(None).cast("int").alias("nth"))
+    state = cut_lineage(first.select("*", F.lit(1).alias("place"), F.lit(0).alias("done"), F.lit(1).cast("long").alias("waiting")).filter(F.lit(pages) > 0))
     while True:
-        rank = F.row_number().over(W.partitionBy("seed").orderBy(F.desc("score"), "came", "url"))
-        best = open_.withColumn("rank", rank).filter(F.col("rank") <= at_once).join(counts, "seed").filter(F.col("rank") + F.col("done") <= pages)
-        now = cut_lineage(best.withColumn("nth", (F.col("rank") + F.col("done")).cast("int")).drop("rank", "done"))
-        if now.isEmpty():
+        popped = F.col("nth").isNull() & (F.col("place") <= at_once)
+        if state.filter(popped).isEmpty():
             break
-        visits.append(now)
-        counts = cut_lineage(counts.join(now.groupBy("seed").agg(F.count(F.lit(1)).alias("more")), "seed", "left").select("seed", (F.col("done") + F.coalesce("more", F.lit(0))).alias("done")))
-        met = now.filter(F.col("depth") < depth).join(fit, "url").select("seed", "query", F.col("target").alias("url"), F.col("depth") + 1, F.struct("nth", "at").alias("order"))
-        met = met.toDF("seed", "query", "url", "depth", "order")
-        if scoped:
-            met = met.filter(same_host(F.col("url"), F.col("seed")))
-        fresh = keep_first(met, ["seed", "url"], [F.col("order")]).join(seen, ["seed", "url"], "left_anti")
-        came = F.col("order.nth") * (1 << 32) + F.col("order.at")
-        fresh = cut_lineage(fresh.select("seed", "query", "url", "depth", score(F.col("url")).alias("score"), came.cast("long").alias("came")))
-        seen = cut_lineage(seen.unionByName(fresh.select("seed", "url")))
-        open_ = cut_lineage(open_.join(now.select("seed", "url"), ["seed", "url"], "left_anti").unionByName(fresh))
-    return reduce(DataFrame.unionByName, visits or [now]).select("seed", "query", "url", "depth", "score", "nth")
+        known = state.withColumn("nth", F.when(popped, F.col("done") + F.col("place")).otherwise(F.col("nth")))
+        more = (F.col("depth") < depth) & (F.col("done") + F.least(F.lit(at_once), F.col("waiting")) < pages)
+        now = state.filter(popped & more).select("seed", "query", "url", "depth", (F.col("done") + F.col("place")).cast("long").alias("from"), plain("seed").alias("host"))
+        met = now.join(fit, ["url", "host"]).select("seed", "query", (F.col("depth") + 1).alias("depth"), "from", F.explode("out").alias("x"))
+        met = met.select("seed", "query", F.col("x.target").alias("url"), "depth", F.col("x.score").alias("score"), (F.col("from") * (1 << 32) + F.col("x.at")).alias("came"), F.lit(None).cast("int").alias("nth"), F.struct(F.lit(1).alias("kind"), F.col("from").alias("nth"), F.col("x.at").alias("at")).alias("order"))
+        old = known.select("seed", "query", "url", "depth", "score", "came", "nth", F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("nth"), F.lit(0).cast("long").alias("at")).alias("order"))
+        every = old.unionByName(met).repartition("seed")
+        row = F.min_by(F.struct("query", "depth", "score", "came", "nth"), "order").alias("r")
+        every = every.groupBy("seed", "url").agg(row).select("seed", "r.query", "url", "r.depth", "r.score", "r.came", "r.nth")
+        own = W.partitionBy("seed")
+        every = every.withColumn("done", F.coalesce(F.max("nth").over(own), F.lit(0))).withColumn("open", F.col("nth").isNull())
+        every = every.withColumn("place", F.row_number().over(W.partitionBy("seed", "open").orderBy(F.desc("score"), "came", "url")))
+        every = every.filter(~F.col("open") | (F.col("place") <= pages - F.col("done")))
+        before, state = state, cut_lineage(every.withColumn("waiting", F.sum(F.col("open").cast("long")).over(own)).drop("open"))
+        drop_checkpoint(before)
+    drop_checkpoint(fit)
+    return state.filter(F.col("nth").isNotNull()).select("seed", "query", "url", "depth", "score", "nth")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from urllib.parse import urldefrag, urljoin, urlsplit
 from urllib.robotparser import RobotFileParser
 
@@ -42,9 +43,16 @@ def raw_links(pages: DataFrame) -> DataFrame:
 
 
 def is_skipped(url: Column, globs: tuple[str, ...] = SKIP) -> Column:
-    """Whether an address matches any glob, in lower case."""
-    forms = ["^" + re.escape(g).replace(r"\*", ".*") + "$" for g in globs]
-    return F.coalesce(F.lower(url).rlike("(?s)" + "|".join(forms)), F.lit(False))
+    """Whether an address matches any glob, in lower case; a glob with stars at its ends alone is a search for what it holds."""
+    inner = [g[1:-1] for g in globs if re.fullmatch(r"\*[^*]+\*", g)]
+    forms = ["^" + re.escape(g).replace(r"\*", ".*") + "$" for g in globs if not re.fullmatch(r"\*[^*]+\*", g)]
+
+    def found(low: Column) -> Column:
+        out = reduce(lambda a, b: a | b, [F.contains(low, F.lit(g)) for g in inner], F.lit(False))
+        return out | low.rlike("(?s)" + "|".join(forms)) if forms else out
+
+    # Bound once: a filter would make the address anew for each glob.
+    return F.coalesce(F.exists(F.array(F.lower(url)), found), F.lit(False))
 
 
 def is_pdf(url: Column, content_type: Column) -> Column:

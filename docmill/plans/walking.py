@@ -98,7 +98,6 @@ def best_first_crawl(spark: SparkSession, sf: str) -> DataFrame:
     """From every supplier's page over the links of what was ordered, 30 pages each, with scores by signal words, depth and year."""
     pairs = table(spark, sf, "lineitem").select(F.expr(SUPPLIER_URL.format(k="l_suppkey")).alias("s"), F.expr(PART_URL.format(k="l_partkey")).alias("p"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at"))
     links = pairs.select(F.col("s").alias("url"), F.col("p").alias("target"), "at").unionByName(pairs.select(F.col("p").alias("url"), F.col("s").alias("target"), "at"))
-    links = links.groupBy("url", "target").agg(F.min("at").alias("at"))
     seeds = table(spark, sf, "supplier").select(F.expr(SUPPLIER_URL.format(k="s_suppkey")).alias("seed"), F.col("s_name").alias("query"))
     return crawl.best_first_crawl(links, seeds, lambda url: crawl.url_score(url, 2025), pages=30)
 

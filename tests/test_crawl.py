@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docmill.functions import contracts, dates, patents
+from docmill.lineage import cut_lineage
 from docmill.operators import crawl, mining, reshape, select
 from docmill.sinks import files as sinks
 from docmill.sources import files as sources
@@ -176,3 +177,22 @@ def test_month_first_where_the_day_is_none(spark):
 
 def test_one_sampled_year():
     assert mining.sampled_years(2000, 2025, 1) == [2000] and mining.sampled_years(2000, 2025, 5)[-1] == 2025
+
+
+def test_a_frontier_holds_no_more_than_the_budget(spark, monkeypatch):
+    """A page with more links than a crawl can visit: what no budget reaches is not carried along."""
+    sizes = []
+
+    def cut(df):
+        out = cut_lineage(df)
+        if "seed" in out.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(crawl, "cut_lineage", cut)
+    urls = [f"https://a.example/{'news/' if i % 3 == 0 else ''}{i}" for i in range(200)]
+    rows = spark.createDataFrame([(urls[0], v, i) for i, v in enumerate(urls)] + [(urls[9], v, i) for i, v in enumerate(urls[::-1])], "url string, target string, at int")
+    found = crawl.best_first_crawl(rows, spark.createDataFrame([(urls[0], "q")], "seed string, query string"), lambda u: crawl.url_score(u, 2025), pages=7, at_once=3).collect()
+    score = {r.u: r.s for r in spark.createDataFrame([(u,) for u in urls], "u string").select("u", crawl.url_score(F.col("u"), 2025).alias("s")).collect()}
+    assert [(r.url, r.depth) for r in sorted(found, key=lambda r: r.nth)] == heap_loop({urls[0]: urls, urls[9]: urls[::-1]}, urls[0], score, 7, 2, 3, lambda u: False)
+    assert sizes and max(sizes) <= 7
