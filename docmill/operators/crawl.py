@@ -30,6 +30,10 @@ SIGNALS = (
     "production", "reserves", "throughput", "sustainability", "supply chain", "logistics", "market outlook", "trading",
 )
 
+#: Adds body to the rows of a table with url, as far as there is a file.
+Reader = Callable[[DataFrame], DataFrame]
+
+
 def url_path(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(url, r"[?#].*", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
 
@@ -53,20 +57,20 @@ def _reader(landed: DataFrame | Reader) -> Reader:
     return landed if callable(landed) else lambda asked: asked.join(landed.select("url", "body"), "url")
 
 
-def sitemap_roots(domains: DataFrame, landed: DataFrame) -> DataFrame:
+def sitemap_roots(domains: DataFrame, landed: DataFrame | Reader) -> DataFrame:
     """(domain, url, at): the sitemaps that a domain's robots.txt lists, in order; without any, the first usual place that holds one."""
-    homes = domains.select("domain").distinct()
-    robots = homes.withColumn("_u", F.concat(F.lit("https://"), "domain", F.lit("/robots.txt"))).join(landed.select(F.col("url").alias("_u"), "body"), "_u")
+    read, homes = _reader(landed), domains.select("domain").distinct()
+    robots = read(homes.withColumn("url", F.concat(F.lit("https://"), "domain", F.lit("/robots.txt"))))
     lines = robots.select("domain", F.posexplode(F.split("body", r"\r\n|\r|\n")).alias("at", "line"))
-    listed = lines.select("domain", F.regexp_extract("line", r"^(?i)\s*sitemap:\s*(.*?)\s*$", 1).alias("url"), "at").filter("url <> ''")
+    listed = cut_lineage(lines.select("domain", F.regexp_extract("line", r"^(?i)\s*sitemap:\s*(.*?)\s*$", 1).alias("url"), "at").filter("url <> ''"))
     places = F.posexplode(F.array(*[F.lit(p) for p in USUAL_PLACES])).alias("at", "place")
     tried = homes.join(listed.select("domain"), "domain", "left_anti").select("domain", places).withColumn("url", F.concat(F.lit("https://"), "domain", "place"))
     head = F.lower(F.substring("body", 1, 500))
-    maps = landed.filter(head.contains("<urlset") | head.contains("<sitemapindex")).select("url")
-    return listed.unionByName(keep_first(tried.join(maps, "url", "left_semi"), ["domain"], [F.col("at")]).select("domain", "url", "at"))
+    maps = read(tried).filter(head.contains("<urlset") | head.contains("<sitemapindex"))
+    return listed.unionByName(keep_first(maps.select("domain", "url", "at"), ["domain"], [F.col("at")]))
 
 
-def sitemap_seeds(domains: DataFrame, landed: DataFrame, depth: int = 2, children: int = 20, most: int = 2000, skipped: tuple[str, ...] = SKIPPED_PARTS) -> DataFrame:
+def sitemap_seeds(domains: DataFrame, landed: DataFrame | Reader, depth: int = 2, children: int = 20, most: int = 2000, skipped: tuple[str, ...] = SKIPPED_PARTS) -> DataFrame:
     """(domain, url, n): seed addresses of each domain in order, from landed files (url, body; one row per url).
 
     Sitemaps are read as one would depth first: an index leads to its first ``children``
@@ -75,27 +79,33 @@ def sitemap_seeds(domains: DataFrame, landed: DataFrame, depth: int = 2, childre
     included; a domain left without any has its homepage.  A file that is missing or no XML
     holds nothing.
 
-    Each level is one join with the landed files; a place in the tree is the list of
-    positions that lead there, so depth-first order is the order of these lists.
+    Each level is one join with the landed files, and no file is parsed that the walk does not
+    reach; ``landed`` may also be a function that adds body to the rows of a table with url,
+    where files are costly to make.  A place in the tree is the list of positions that lead
+    there, so depth-first order is the order of these lists.
     """
-    homes = domains.select("domain").distinct()
-    maps = landed.filter(F.col("body").isNotNull()).select("url", "body")
-    head = F.lower(F.substring("body", 1, 500))
-    indexes = cut_lineage(maps.filter(head.contains("<sitemapindex")).select("url", F.slice(locations("body"), 1, children).alias("kids")))
-    level = cut_lineage(sitemap_roots(homes, landed).select("domain", F.trim("url").alias("url"), F.array("at").alias("place")))
+    read, homes = _reader(landed), domains.select("domain").distinct()
+    index = F.coalesce(F.lower(F.substring("body", 1, 500)).contains("<sitemapindex"), F.lit(False))
+    level = cut_lineage(sitemap_roots(homes, read).select("domain", F.trim("url").alias("url"), F.array("at").alias("place")))
     tree = level
     for _ in range(depth):
+        indexes = read(level.select("url").distinct()).filter(index).select("url", F.slice(locations("body"), 1, children).alias("kids"))
         kids = level.join(indexes, "url").select("domain", F.posexplode("kids").alias("at", "kid"), "place")
         level = cut_lineage(kids.select("domain", F.col("kid").alias("url"), F.concat("place", F.array("at")).alias("place")))
         tree = tree.unionByName(level)
     tree = cut_lineage(tree)
     visited = _first_visits(tree)
-    leaves = visited.join(indexes.select("url"), "url", "left_anti").join(maps, "url")
-    found = leaves.select("domain", "place", F.posexplode(locations("body")).alias("at", "loc"))
-    path = F.lower(url_path(F.col("loc")))
-    plain = found.filter((F.col("loc") != "") & ~F.coalesce(F.greatest(*[F.contains(path, F.lit(p)) for p in skipped], F.lit(False)), F.lit(False)))
+
+    def counts(loc: Column) -> Column:
+        path = F.lower(url_path(loc))
+        return (loc != "") & ~F.coalesce(F.greatest(*[F.contains(path, F.lit(p)) for p in skipped], F.lit(False)), F.lit(False))
+
+    # Of one file no more than ``most`` can stay.
+    leaves = read(visited).filter(~index & F.col("body").isNotNull())
+    kept = leaves.select("domain", "place", F.slice(F.filter(locations("body"), counts), 1, most).alias("locs"))
+    plain = kept.select("domain", "place", F.posexplode("locs").alias("at", "loc"))
     order = W.partitionBy("domain").orderBy("place", "at")
-    first = plain.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).select("domain", F.col("loc").alias("url"), "n")
+    first = cut_lineage(plain.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).select("domain", F.col("loc").alias("url"), "n"))
     bare = homes.join(first.select("domain"), "domain", "left_anti")
     return first.unionByName(bare.select("domain", F.concat(F.lit("https://"), "domain", F.lit("/")).alias("url"), F.lit(1).alias("n")))
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lineage import shared_folder
+from ..lineage import cut_lineage, shared_folder
 from ..operators import crawl
 from .common import Registry, table
 from .relational import DELAY_SQL, SYNC_SQL
@@ -31,6 +31,7 @@ UNION ALL SELECT concat(home, CASE WHEN n % 2 = 0 THEN '/map.xml' WHEN n % 4 = 1
 UNION ALL SELECT concat(home, '/s', s, '.xml'), concat('<sitemapindex{_NS}><sitemap><loc>', home, '/t', s, '.xml</loc></sitemap><sitemap><loc>', home, '/s', s, '.xml</loc></sitemap></sitemapindex>') FROM one WHERE s % 5 = 0
 UNION ALL SELECT concat(home, CASE WHEN s % 5 = 0 THEN '/t' ELSE '/s' END, s, '.xml'), concat('<urlset{_NS}>', xs, CASE WHEN s % 11 = 0 THEN '' ELSE '</urlset>' END) FROM leaf
 """
+_LEAF = "concat(home, CASE WHEN s % 5 = 0 THEN '/t' ELSE '/s' END, s, '.xml')"
 
 
 @R.add(f"""WITH RECURSIVE landed AS MATERIALIZED (SELECT url, body, contains(lower(substr(body, 1, 500)), '<sitemapindex') AS idx,
@@ -48,13 +49,21 @@ SELECT domain, url, CAST(n AS INTEGER) AS n FROM numbered WHERE n <= 2000
 UNION ALL SELECT domain, 'https://' || domain || '/', 1 FROM homes WHERE domain NOT IN (SELECT domain FROM numbered)""")
 def sitemap_seeds(spark: SparkSession, sf: str) -> DataFrame:
     """Seeds of a site per nation, from its robots.txt, indexes of two levels and sitemaps; a site without any has its homepage."""
+    given = {n: table(spark, sf, n) for n in ("nation", "supplier", "customer")}
     text = _LANDED.replace("chr(10)", "char(10)")
-    for name in ("nation", "supplier", "customer"):
+    for name in given:
         text = text.replace(f"FROM {name}", f"FROM {{{name}}}")
-    for inner in ("x, '' ORDER BY c", "concat('<sitemap><loc>', home, '/s', s, '.xml</loc></sitemap>'), '' ORDER BY s"):
-        value, order = inner.rsplit(", '' ORDER BY ", 1)
-        text = text.replace(f"string_agg({inner})", f"listagg({value}, '') WITHIN GROUP (ORDER BY {order})")
-    landed = spark.sql(text, **{n: table(spark, sf, n) for n in ("nation", "supplier", "customer")})
+    index = "concat('<sitemap><loc>', home, '/s', s, '.xml</loc></sitemap>')"
+    text = text.replace(f"string_agg({index}, '' ORDER BY s)", f"listagg({index}, '') WITHIN GROUP (ORDER BY s)")
+    # A sitemap's addresses depend on its site and number % 7 alone: joined once for these, and with those sitemaps only that a walk asks for.
+    goods = text[text.index("goods AS (") + len("goods AS (") : text.index("),\nleaf AS")]
+    shelf = cut_lineage(spark.sql(f"SELECT n, c % 7 AS k, listagg(x, '') WITHIN GROUP (ORDER BY c) AS xs FROM ({goods}) GROUP BY n, c % 7", customer=given["customer"]))
+    leaf = text[text.index("leaf AS (") : text.index("\nSELECT concat(home, '/robots.txt')")]
+    text = text.replace(leaf, f"leaf AS (SELECT one.n, s, home, xs FROM one LEFT SEMI JOIN {{asked}} a ON a.url = {_LEAF} JOIN {{shelf}} f ON f.n = one.n AND f.k = s % 7)")
+
+    def landed(asked: DataFrame) -> DataFrame:
+        return asked.join(spark.sql(text, **given, shelf=shelf, asked=asked.select("url").distinct()), "url")
+
     domains = table(spark, sf, "nation").select(F.concat(F.lit("d"), F.col("n_nationkey").cast("string"), F.lit(".example")).alias("domain"))
     return crawl.sitemap_seeds(domains, landed)
 

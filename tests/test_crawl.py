@@ -196,3 +196,18 @@ def test_a_frontier_holds_no_more_than_the_budget(spark, monkeypatch):
     score = {r.u: r.s for r in spark.createDataFrame([(u,) for u in urls], "u string").select("u", crawl.url_score(F.col("u"), 2025).alias("s")).collect()}
     assert [(r.url, r.depth) for r in sorted(found, key=lambda r: r.nth)] == heap_loop({urls[0]: urls, urls[9]: urls[::-1]}, urls[0], score, 7, 2, 3, lambda u: False)
     assert sizes and max(sizes) <= 7
+
+
+def test_sitemaps_that_no_walk_reaches_are_not_read(spark):
+    """Files may come from a function: it is asked for those that the walk meets, and for nothing else."""
+    domains, landed = made_sites(1)
+    files, asked = spark.createDataFrame(list(landed.items()), "url string, body string"), set()
+
+    def read(rows):
+        asked.update(r.url for r in rows.select("url").collect())
+        return rows.join(files, "url")
+
+    found = crawl.sitemap_seeds(spark.createDataFrame([(d,) for d in domains], "domain string"), read, children=1, most=9).collect()
+    got = {d: [r.url for r in sorted((r for r in found if r.domain == d), key=lambda r: r.n)] for d in domains}
+    assert got == {d: depth_first(d, landed, 1, 9) for d in domains}
+    assert set(landed) - asked
