@@ -8,11 +8,13 @@ letters, rarest first, as far as the threshold says that similar names must shar
 from __future__ import annotations
 
 import difflib
+import hashlib
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 #: Lengths of the pieces that names are found by: of each name the longest that fits.
 PIECES = (1, 2, 4, 8, 16)
@@ -118,6 +120,86 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
     return met.unionByName(brief)
 
 
+#: Pairs of lengths whose names have no more cut forms than this meet on them, others on pairs of letters.
+FORMS = 400
+#: Longer names are not cut.
+LONGEST = 200
+
+
+def losses(left: list[int], right: list[int], threshold: float) -> dict[tuple[int, int], tuple[int, int] | None]:
+    """For lengths of two names that may be similar, how many letters each may lose; None where that makes too many forms."""
+    out = {}
+    for n in left:
+        for m in right:
+            match = math.ceil(threshold * (n + m) / 2 - 1e-9)
+            if match <= min(n, m):
+                few = max(n, m) <= LONGEST and max(math.comb(n, match), math.comb(m, match)) <= FORMS
+                out[n, m] = (n - match, m - match) if few else None
+    return out
+
+
+def cut_forms(lost: dict[tuple[int, int], tuple[int, int]], side: int):
+    """Hashes of a name without as many letters as it may lose, for each pair of lengths that it is of."""
+    own: dict[int, list[tuple[str, int]]] = {}
+    for pair, k in lost.items():
+        own.setdefault(pair[side], []).append((f"{pair[0]},{pair[1]},", k[side]))
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def run(names: pd.Series) -> pd.Series:
+        def of(name: str) -> list[int]:
+            wanted, forms, out = own.get(len(name), []), {name}, []
+            for k in range(1 + max((k for _, k in wanted), default=-1)):
+                if k:
+                    forms = {x[:i] + x[i + 1 :] for x in forms for i in range(len(x))}
+                for tag in (tag for tag, n in wanted if n == k):
+                    out += [int.from_bytes(hashlib.blake2b((tag + x).encode(), digest_size=8).digest(), "little", signed=True) for x in forms]
+            return out
+
+        return names.map(of)
+
+    return run
+
+
+def first_similar(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(name, found): for each name (name) the first of ``right`` (found, seq; distinct names) by seq that is similar enough.
+
+    Matching blocks are letters in the same order, so similar names are equal once each has
+    lost as many letters as their lengths allow; names of a list that differ by a digit or two
+    meet on few of these forms, where the pairs of letters are the same in all of them.  Longer
+    names meet on pairs of letters.  The candidates of a name are looked at in order of seq, as
+    far as the first similar one.
+    """
+    if threshold <= 0.7:
+        raise ValueError("the bound on shared pairs of letters needs a threshold above 0.7")
+    sizes = lambda rows, c: [r["n"] for r in rows.select(F.least(F.length(c), F.lit(LONGEST + 1)).alias("n")).distinct().collect()]
+    every = losses(sizes(left, "name"), sizes(right, "found"), threshold)
+    cheap = {pair: k for pair, k in every.items() if k is not None}
+    a = left.select("name", F.explode(cut_forms(cheap, 0)("name")).alias("x"))
+    b = right.select("found", "seq", F.explode(cut_forms(cheap, 1)("found")).alias("x"))
+    met = a.join(b, "x").select("name", "found", "seq")
+    if others := [pair for pair, k in every.items() if k is None]:
+        long_l = left.filter(F.least(F.length("name"), F.lit(LONGEST + 1)).isin(*{n for n, _ in others}))
+        long_r = right.filter(F.least(F.length("found"), F.lit(LONGEST + 1)).isin(*{n for _, n in others}))
+        met = met.unionByName(candidates(long_l.select("name"), long_r.select("found"), threshold).join(long_r, "found").select("name", "found", "seq"))
+    ordered = met.repartition("name").sortWithinPartitions("name", "seq")
+
+    def firsts(parts):
+        name, done, seen = None, False, None
+        for part in parts:
+            out = []
+            for n, f in zip(part["name"], part["found"], strict=True):
+                if n != name:
+                    name, done, seen = n, False, None
+                if not done and f != seen:
+                    seen = f
+                    if difflib.SequenceMatcher(None, n, f).ratio() >= threshold:
+                        done = True
+                        out.append((n, f))
+            yield pd.DataFrame(out, columns=["name", "found"])
+
+    return ordered.select("name", "found").mapInPandas(firsts, "name string, found string")
+
+
 def similar_names(left: DataFrame, right: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(name, found): for each name of ``left`` the first of ``right`` (found, seq) that is similar enough, else the first that lies in it.
 
@@ -125,7 +207,7 @@ def similar_names(left: DataFrame, right: DataFrame, threshold: float = 0.85) ->
     """
     asked = left.select("name").filter(F.length("name") > 0).distinct()
     firsts = right.filter(F.length("found") > 0).groupBy("found").agg(F.min("seq").alias("seq"))
-    near = candidates(asked, firsts.select("found"), threshold).filter(similarity("name", "found") >= threshold).withColumn("rank", F.lit(0))
+    near = first_similar(asked, firsts, threshold).withColumn("rank", F.lit(0))
     within = inside(asked, "name", firsts.select("found"), "found").select("name", "found").withColumn("rank", F.lit(1))
     both = near.unionByName(within).join(firsts, "found")
     return both.groupBy("name").agg(F.min_by("found", F.struct("rank", "seq")).alias("found"))

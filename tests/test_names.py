@@ -82,3 +82,14 @@ def test_one_letter_entry_inside_a_longer_name(spark):
 def test_a_low_threshold_is_refused(spark):
     with pytest.raises(ValueError, match="threshold"):
         names.candidates(table(spark, ["a"], "name"), table(spark, ["a"], "found"), 0.5)
+
+
+def test_names_of_one_template_meet_few_others(spark, monkeypatch):
+    """Names that differ by their digits: the first similar one is right, and pairs of letters, alike in all of them, propose nothing."""
+    listed = [f"supplier#{i:09d}" for i in range(0, 3000, 7)]
+    right = spark.createDataFrame([(x, -i) for i, x in enumerate(listed)], "found string, seq long")
+    asked = [f"zupplier#{i:09d}" for i in range(0, 3000, 50)]
+    monkeypatch.setattr(names, "candidates", lambda *_: pytest.fail("all pairs"))
+    found = {r["name"]: r["found"] for r in names.similar_names(table(spark, asked, "name"), right).collect()}
+    assert found == {a: x for a in asked if (x := next((b for b in reversed(listed) if ratio(a, b) >= 0.85), None))}
+    assert len(found) > 50
