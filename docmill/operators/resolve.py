@@ -22,10 +22,13 @@ def by_identifier(rows: DataFrame, listings: DataFrame, registry: DataFrame) ->
 
 
 def by_code_or_name(companies: DataFrame, filings: DataFrame) -> DataFrame:
-    """(company key columns, filing): filings whose code, whole or its first four, is the ticker; names only where no code meets."""
-    codes = filings.select("filing", F.explode(F.array_distinct(F.array("sec_code", F.substring("sec_code", 1, 4)))).alias("ticker")).filter("ticker <> ''")
-    first = companies.join(codes, "ticker").select("company", "ticker", "filing").distinct()
-    rest = companies.join(first.select("company", "ticker").distinct(), ["company", "ticker"], "left_anti")
+    """(company key columns, filing): filings whose code, whole or its first four, is the ticker; names only where no code meets.
+
+    Both sides are made distinct before they meet, so pairs, which may be many more than rows, are not moved again.
+    """
+    codes = filings.select("filing", F.explode(F.array_distinct(F.array("sec_code", F.substring("sec_code", 1, 4)))).alias("ticker")).filter("ticker <> ''").distinct()
+    first = companies.select("company", "ticker").distinct().join(codes, "ticker").select("company", "ticker", "filing")
+    rest = companies.join(codes.select("ticker"), "ticker", "left_anti")
     second = rest.join(filings.select("filing", F.col("filer_name").alias("company")), "company").select("company", "ticker", "filing")
     return first.unionByName(second)
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from docmill.operators import names
+from docmill.operators import names, resolve
 
 
 def table(spark, xs, column):
@@ -93,3 +93,14 @@ def test_names_of_one_template_meet_few_others(spark, monkeypatch):
     found = {r["name"]: r["found"] for r in names.similar_names(table(spark, asked, "name"), right).collect()}
     assert found == {a: x for a in asked if (x := next((b for b in reversed(listed) if ratio(a, b) >= 0.85), None))}
     assert len(found) > 50
+
+
+def test_pairs_by_code_are_not_moved_again(spark):
+    """Repeated companies, filings and codes give each pair once, without an exchange of pairs."""
+    firms = spark.createDataFrame([("a", "1000"), ("a", "1000"), ("b", "1000"), ("c", "none"), (None, "1000"), ("d", None)], "company string, ticker string")
+    filings = spark.createDataFrame([(1, "1000", "z"), (1, "1000", "z"), (2, "10000", "c"), (3, "", "d"), (4, None, "c")], "filing int, sec_code string, filer_name string")
+    out = resolve.by_code_or_name(firms, filings)
+    want = [(c, "1000", f) for c in ("a", "b", None) for f in (1, 2)] + [("c", "none", 2), ("c", "none", 4), ("d", None, 3)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate" in line and "company" in line and "filing" in line]
