@@ -11,7 +11,7 @@ from ..functions.entities import name_guard, search_name
 from ..operators import graph
 from ..operators.reshape import urls_in
 from ..sources import files
-from .common import Registry, table
+from .common import Registry, spread, table
 
 R = Registry()
 
@@ -270,7 +270,8 @@ n AS (SELECT p_partkey, o, coalesce(map {{{", ".join(f"'{k}': '{v}'" for k, v in
 SELECT p_partkey, field, arg_max(value, o) AS value FROM n WHERE field <> '' GROUP BY p_partkey, field""")
 def contract_specs(spark: SparkSession, sf: str) -> DataFrame:
     """Fields of specification pages by the labels of their tables."""
-    return table(spark, sf, "part").select("p_partkey", F.explode(contracts.fields_of(F.expr(_SPEC))).alias("field", "value"))
+    pages = spread(table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", "p_type"))
+    return pages.select("p_partkey", F.explode(contracts.fields_of(F.expr(_SPEC))).alias("field", "value"))
 
 
 @R.add()

@@ -128,3 +128,10 @@ def test_merged_sources_that_lack_columns(spark):
         ("A", "", "None", "", "run.parquet"), ("", "", "None", "", "run.parquet"), ("B", " 2024-02-30", "None", "SEC EDGAR ", "sec/f.parquet"), ("B", "10-Q 2024-02-03", "2024-02-03 00:00:00", "SEC EDGAR 10-Q", "sec/f.parquet"),
     }
     assert sorted((r.link, r.source_parquet, r.form, r.words) for r in provenance.collect() if r.form is not None) == [("https://b", "sec/f.parquet", "", 0), ("https://c", "sec/f.parquet", "10-Q", 0)]
+
+
+def test_costly_pages_of_a_small_table_use_every_core(spark):
+    """A table in one small file would be one task."""
+    from docmill.plans import parsing
+
+    assert parsing.contract_specs(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
