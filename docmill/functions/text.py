@@ -6,6 +6,7 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -41,9 +42,19 @@ BOILERPLATE = (
 )
 
 
-@F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+@F.arrow_udf(StringType())
+def _composed(texts: pa.Array) -> pa.Array:
+    """NFKC of each text that is not in it; null for the others, so a batch holds one text at a time besides what came and what changed."""
+
+    def of(text: str | None) -> str | None:
+        return None if text is None or unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)
+
+    return pa.array([of(t.as_py()) for t in texts], pa.string())
+
+
+def nfkc(text: Column) -> Column:
+    """NFKC; a text of ASCII alone is in it and does not leave the engine."""
+    return F.coalesce(_composed(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def strip_boilerplate(text: Column, unicode: bool = True) -> Column:

@@ -135,3 +135,17 @@ def test_costly_pages_of_a_small_table_use_every_core(spark):
     from docmill.plans import parsing
 
     assert parsing.contract_specs(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_texts_in_normal_form_do_not_leave_the_engine(spark):
+    """Only texts beyond ASCII go to Python, and only those that change come back."""
+    import unicodedata
+
+    from docmill.functions import text
+
+    rows = ["plain\n", "", None, "é", "é ﬁ ①", "x" * 50 + "Ω"]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    found = df.select("t", text.nfkc(F.col("t")).alias("n")).collect()
+    assert [r.n for r in found] == [None if t is None else unicodedata.normalize("NFKC", t) for t in rows]
+    back = df.select(text._composed("t").alias("n")).collect()
+    assert [r.n is None for r in back] == [True, True, True, True, False, False]
