@@ -149,3 +149,20 @@ def test_texts_in_normal_form_do_not_leave_the_engine(spark):
     assert [r.n for r in found] == [None if t is None else unicodedata.normalize("NFKC", t) for t in rows]
     back = df.select(text._composed("t").alias("n")).collect()
     assert [r.n is None for r in back] == [True, True, True, True, False, False]
+
+
+def test_records_are_written_by_all_cores_and_read_many_to_a_task(spark, tmp_path):
+    """Not in as few tasks as their bytes would fill, nor in one for every 32 files."""
+    (tmp_path / "out").mkdir()
+    df = spark.range(3000).coalesce(1).select(F.concat(F.lit("r_"), F.col("id").cast("string")).alias("f"), F.col("id").cast("string").alias("t"))
+    records.write_records(df, f"{tmp_path}/out", F.col("f"), F.col("t"))
+    (tmp_path / "out" / "_hidden").write_text("x")
+    (tmp_path / "out" / "folder").mkdir()
+    found = records.read_records(spark, f"{tmp_path}/out")
+    assert found.rdd.getNumPartitions() == 1
+    assert {(r.path, bytes(r.content)) for r in found.collect()} == {(f"file:{tmp_path}/out/r_{i}", str(i).encode()) for i in range(3000)}
+    assert list(records._runs([("a", 9), ("b", 1), ("c", 1), ("d", 1)], (2, 5))) == [[("a", 9)], [("b", 1), ("c", 1)], [("d", 1)]]
+    with pytest.raises(Exception, match="no name for a file"):  # one name meets in one task
+        records.write_records(spark.range(2).repartition(2), f"{tmp_path}/again", F.lit("same"), F.col("id").cast("string"))
+    (tmp_path / "empty").mkdir()
+    assert records.read_records(spark, f"{tmp_path}/empty").count() == 0
