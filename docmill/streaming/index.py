@@ -22,6 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -80,6 +81,13 @@ def sketched(rows: DataFrame, text: str, seq: str, size: int = 3) -> DataFrame:
     return named.select("id", "content", member.alias("member"), F.size("s").alias("n"), band_keys("s").alias("keys"))
 
 
+def _by_id(rows: DataFrame, text: str, seq: str) -> DataFrame:
+    """(id, _t) of rows with any text, dealt and sorted by id on the executors' disks: what asks for texts of a batch comes to them, and they move once."""
+    named = rows.select(F.col(seq).alias("id"), F.col(text).alias("_t")).filter(F.coalesce(F.col("_t"), F.lit("")) != "")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return named.repartition(parts, "id").sortWithinPartitions("id").persist(StorageLevel.DISK_ONLY)
+
+
 def keyed(sketches: DataFrame) -> DataFrame:
     """(key, n, member), one row per band of each distinct set."""
     one = sketches.filter("n > 0").groupBy("member").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
@@ -164,16 +172,18 @@ class NearIndex:
         if batch is None:
             known = self._in_base(self._base()) | set(folders.versions(self.spark, f"{self.folder}/members"))
             batch = 1 + max((b for e, b in known if e == epoch), default=-1)
-        sketches = cut_lineage(sketched(rows, text, seq, self.size))
-        fresh = sketches.join(self.known(sketches, rows, text, seq, epoch, batch), "id", "left_anti")
-        kept = self._among(fresh, rows, text, seq)
+        texts = _by_id(rows, text, seq)
+        sketches = cut_lineage(sketched(texts, "_t", "id", self.size))
+        fresh = sketches.join(self.known(sketches, texts, "_t", "id", epoch, batch), "id", "left_anti")
+        kept = self._among(fresh, texts, "_t", "id")
         new = sketches.join(kept, "id", "left_semi")
         at = f"epoch={epoch}/batch={batch}"
         keyed(new).write.mode("overwrite").parquet(f"{self.folder}/keys/{at}")
-        held = rows.select(F.col(seq).alias("id"), F.col(text).alias("text")).join(new.select("id", "member", "content"), "id").select("member", "content", "text")
+        held = texts.withColumnRenamed("_t", "text").join(new.select("id", "member", "content"), "id").select("member", "content", "text")
         held.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/members/{at}")
         empty = rows.filter(F.coalesce(F.col(text), F.lit("")) == "").select(F.col(seq).alias("id"))
         drop_checkpoint(sketches)
+        texts.unpersist()
         return kept.unionByName(empty).withColumnRenamed("id", seq)
 
     def _among(self, sketches: DataFrame, rows: DataFrame, text: str, seq: str) -> DataFrame:
@@ -184,8 +194,10 @@ class NearIndex:
         a key with it is compared with it, and goes if it is alike.  A key has one such row in a
         round, so a row is compared with few, however many copies there are.  Rows that share
         keys without being alike are decided one after the other that way; what is left of them
-        after ``ROUNDS`` is decided by all its pairs.
+        after ``ROUNDS`` is decided by all its pairs.  A round meets rows that are open when it
+        begins and no others, so it moves the texts of these alone.
         """
+        texts, held = rows.select(F.col(seq).alias("id"), F.col(text).alias("_t")), None
         kept, open_ = [], cut_lineage(sketches)
         for _ in range(ROUNDS):
             named = F.concat(F.coalesce("keys", F.array().cast("array<long>")), F.array(F.xxhash64("content", F.lit(1))))
@@ -201,16 +213,21 @@ class NearIndex:
             pairs = cut_lineage(pairs.withColumn("same", (F.col("content") == F.col("c")) | (F.col("member") == F.col("o"))).filter(F.col("same") | room).select("id", "leader", "same"))
             ask = pairs.filter("NOT same")
             wanted = ask.select(F.explode(F.array("id", "leader")).alias("id")).distinct()
-            sets = cut_lineage(rows.select(F.col(seq).alias("id"), F.col(text).alias("_t")).join(wanted, "id").select("id", _set(F.col("_t"), self.size).alias("s")))
+            sets = cut_lineage(texts.join(wanted, "id").select("id", _set(F.col("_t"), self.size).alias("s")))
             met = ask.join(sets.withColumnRenamed("s", "x"), "id").join(sets.select(F.col("id").alias("leader"), F.col("s").alias("y")), "leader")
             gone = pairs.filter("same").select("id").unionByName(met.filter(_alike(self.threshold)).select("id"))
             left = cut_lineage(open_.join(now.select("id").unionByName(gone).distinct(), "id", "left_anti"))
             for done in (open_, led, pairs, sets):
                 drop_checkpoint(done)
             open_ = left
+            if not open_.isEmpty():
+                texts = cut_lineage(texts.join(open_.select("id"), "id", "left_semi"))
+            if held is not None:
+                drop_checkpoint(held)
             if open_.isEmpty():
                 return reduce(DataFrame.unionByName, kept)
-        return reduce(DataFrame.unionByName, [*kept, self._by_pairs(open_, rows, text, seq)])
+            held = texts
+        return reduce(DataFrame.unionByName, [*kept, self._by_pairs(open_, texts, "_t", "id")])
 
     def _by_pairs(self, sketches: DataFrame, rows: DataFrame, text: str, seq: str) -> DataFrame:
         """The same by all pairs that share a key.

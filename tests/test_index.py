@@ -84,6 +84,23 @@ def test_rounds_by_leaders_and_by_pairs_agree(spark, tmp_path, monkeypatch):
     assert ids(opened(spark, f"{tmp_path}/b").admit(frame(spark, texts), "text", "doc_id")) == loop(texts)
 
 
+def test_a_batch_reads_its_texts_once_however_many_rounds_it_takes(spark, tmp_path):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(9999)}" for _ in range(400)]
+    texts = [" ".join(words[i * 5 : i * 5 + 100]) for i in range(40)] + ["", None]  # each near the one before it, and not to those before that
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            read.add(len(part))
+            yield part
+
+    rows = frame(spark, texts).mapInPandas(counted, "doc_id long, text string")
+    kept = opened(spark, f"{tmp_path}/i").admit(rows, "text", "doc_id")
+    assert read.value == len(texts)
+    assert ids(kept) == loop(texts) and 10 < len(loop(texts)) < 40
+
+
 def test_compaction_changes_nothing_and_can_be_repeated(spark, tmp_path):
     texts = near_texts(2, 9)
     one = opened(spark, f"{tmp_path}/i")
